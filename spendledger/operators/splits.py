@@ -55,7 +55,7 @@ def explode_splits(records: DataFrame, specs: Sequence[SourceSpec]) -> DataFrame
         chain = None
         for name, group in groups.items():
             test = F.col("country_code").isin(*[s.country_code for s in group])
-            value = F.transform(children, lambda c, n=name: F.try_variant_get(c, json_path(n), "string"))
+            value = F.transform(children, lambda c: F.try_variant_get(c, json_path(name), "string"))
             chain = F.when(test, value) if chain is None else chain.when(test, value)
         return chain
 
@@ -64,7 +64,7 @@ def explode_splits(records: DataFrame, specs: Sequence[SourceSpec]) -> DataFrame
         test = F.col("country_code") == s.country_code
         value = F.transform(
             children,
-            lambda c, s=s: _child_amount(c, json_path(s.child_field("amount")), s.strip_suffixes),
+            lambda c: _child_amount(c, json_path(s.child_field("amount")), s.strip_suffixes),
         )
         amounts = F.when(test, value) if amounts is None else amounts.when(test, value)
 

@@ -5,6 +5,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType, VariantType
 
 from ..config import SourceSpec
 from ..functions.dates import parse_date
@@ -20,10 +21,9 @@ def read_json_array(spark: SparkSession, path: str, spec: SourceSpec) -> DataFra
     """
     keys = [k for k in spec.records_path.split(".") if k]
     if keys:
-        schema = "array<variant>"
+        schema = ArrayType(VariantType())
         for key in reversed(keys):
-            schema = f"struct<`{key}`: {schema}>"
-        schema = schema[len("struct<"):-1]
+            schema = StructType([StructField(key, schema)])
         docs = spark.read.schema(schema).option("multiLine", True).json(path)
         records = F.col(".".join(f"`{k}`" for k in keys))
     else:
