@@ -53,18 +53,34 @@ def parse_format(col: Column, fmt: str) -> Column:
     return F.when(col.rlike(shape), day)
 
 
-def parse_date(col: Column, formats: Sequence[str]) -> Column:
-    """Declared formats in order, any part after ``T`` dropped, ISO as a last resort."""
-    day = F.substring_index(strip(col), "T", 1)
-    iso = F.when(day.rlike(_ISO), F.try_to_date(F.substring(day, 1, 10), "yyyy-MM-dd")).when(
+def day_part(col: Column) -> Column:
+    """Stripped text without anything from ``T`` on."""
+    return F.substring_index(strip(col), "T", 1)
+
+
+def declared_date(day: Column, formats: Sequence[str]) -> Column:
+    """The first declared format that the whole text fits."""
+    if not formats:
+        return F.lit(None).cast("date")
+    return F.coalesce(*[parse_format(day, f) for f in formats])
+
+
+def iso_date(day: Column) -> Column:
+    """ISO calendar dates, extended or basic, with or without a time."""
+    return F.when(day.rlike(_ISO), F.try_to_date(F.substring(day, 1, 10), "yyyy-MM-dd")).when(
         day.rlike(r"^\d{8}$"), F.try_to_date(day, "yyyyMMdd")
     )
-    return F.coalesce(*[parse_format(day, f) for f in formats], iso)
+
+
+def parse_date(col: Column, formats: Sequence[str]) -> Column:
+    """Declared formats in order, any part after ``T`` dropped, ISO as a last resort."""
+    day = day_part(col)
+    return F.coalesce(declared_date(day, formats), iso_date(day))
 
 
 def date_problem(raw: Column, parsed: Column) -> Column:
     """NULL, ``missing`` or ``unparseable:…`` for a raw text and its parsed date."""
-    shown = F.substring(F.substring_index(strip(raw), "T", 1), 1, 40)
+    shown = F.substring(day_part(raw), 1, 40)
     return F.when(is_blank(raw), F.lit("missing")).when(
         parsed.isNull(), F.concat(F.lit("unparseable:"), shown)
     )

@@ -1,13 +1,18 @@
 """Token-set similarity between a text and a list of labels, on the 0-100 scale."""
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The score travels with the query, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, by bit-parallel row updates."""

@@ -9,8 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The four separators U+001C..U+001F count as blanks although Java's \s leaves them out.
-_BLANK = r"[\s\x1C-\x1F]"
+# Every character that counts as a blank.
+_BLANK = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 _BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
@@ -21,7 +21,7 @@ def strip(col: Column) -> Column:
 
 def normalise_text(col: Column) -> Column:
     """Collapse blank runs to one space, trim, empty becomes NULL; case is kept."""
-    return F.nullif(F.trim(F.regexp_replace(col, rf"(?U){_BLANK}+", " ")), F.lit(""))
+    return F.nullif(F.trim(F.regexp_replace(col, rf"{_BLANK}+", " ")), F.lit(""))
 
 
 def clean_code(col: Column) -> Column:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from ..config import SourceSpec
 from ..functions.amounts import AMOUNT_TYPE, compact, parse_amount
-from ..functions.dates import date_problem, parse_date
+from ..functions.dates import date_problem, day_part, declared_date, iso_date
 from ..functions.text import clean_code, normalise_text, strip
-from .currency import convert_to_usd
+from .currency import apply_rates, with_rates
 from .landing import RECORD_KEY, convention
 from .splits import explode_splits
 
@@ -39,55 +39,61 @@ def harmonise(
     table outgrows a broadcast.
     """
     has = set(canonical.columns)
-    raw_amount = F.col("amount")
-    compacted = convention(specs, "strip_suffixes", lambda s: compact(raw_amount, s))
+    default_currency = convention(specs, "currency", _literal).cast("string")
+    default_year = convention(specs, "fiscal_year", _literal).cast("string")
+    currency = F.coalesce(F.nullif(F.col("currency"), F.lit("")), default_currency)
+    optional = [c for c in ("amount_number", "amount_is_number", "children", "extracted_on") if c in has]
+    # Texts first, then the rate lookup, then amounts and dates: each group of expressions
+    # stays in a generated method of its own that the JVM still compiles.
+    texts = canonical.select(
+        "country_code", "batch_id", "row_no", "source_file", "source_sheet", "source_record_id",
+        F.coalesce(normalise_text(F.col("fiscal_year")), default_year).alias("fiscal_year"),
+        clean_code(F.col("ministry_code")).alias("ministry_code"),
+        normalise_text(F.col("ministry_name")).alias("ministry_name"),
+        F.nullif(strip(F.col("account_code")), F.lit("")).alias("account_code"),
+        normalise_text(F.col("description")).alias("description"),
+        F.col("description").alias("description_raw"),
+        normalise_text(F.col("supplier")).alias("supplier"),
+        clean_code(F.col("payment_method")).alias("payment_method"),
+        F.nullif(F.upper(currency), F.lit("")).alias("currency_original"),
+        F.col("amount").alias("amount_raw"),
+        F.col("txn_date").alias("date_raw"),
+        *optional,
+    )
+    rated = with_rates(texts, fx, RECORD_KEY[:-1])
+
+    raw_amount, raw_day = F.col("amount_raw"), F.col("date_raw")
     parsed = parse_amount(
-        canonical,
-        "amount",
+        rated,
+        "amount_raw",
         decimal_separator=convention(specs, "decimal_separator", _literal),
-        compacted=compacted,
+        compacted=convention(specs, "strip_suffixes", lambda s: compact(raw_amount, s)),
         number="amount_number" if "amount_number" in has else None,
         is_number="amount_is_number" if "amount_number" in has else None,
         into="amount_original",
     )
-    raw_day = F.col("txn_date")
-    parsed = parsed.withColumn(
-        "_day", convention(specs, "date_formats", lambda formats: parse_date(raw_day, formats))
-    )
+    text = F.col("_day_text")
+    parsed = parsed.withColumn("_day_text", day_part(raw_day)).withColumn("_day", F.coalesce(
+        convention(specs, "date_formats", lambda formats: declared_date(text, formats)), iso_date(text)))
     start = convention(specs, "period_start", _literal).cast("date")
     end = convention(specs, "period_end", _literal).cast("date")
     extracted = F.col("extracted_on") if "extracted_on" in has else F.lit(None).cast("date")
     outside = F.coalesce(F.col("_day") < start, F.lit(False)) | F.coalesce(F.col("_day") > end, F.lit(False))
     after = F.coalesce(F.col("_day") > extracted, F.lit(False))
-    default_currency = convention(specs, "currency", _literal).cast("string")
-    default_year = convention(specs, "fiscal_year", _literal).cast("string")
-    currency = F.coalesce(F.nullif(F.col("currency"), F.lit("")), default_currency)
 
     typed = parsed.select(
         "country_code", "batch_id", "row_no", F.lit(0).alias("child_pos"),
         "source_file", "source_sheet", "source_record_id",
         F.lit("STANDALONE").alias("record_level"),
         F.col("_day").alias("txn_date"),
-        F.coalesce(normalise_text(F.col("fiscal_year")), default_year).alias("fiscal_year"),
-        clean_code(F.col("ministry_code")).alias("ministry_code"),
-        normalise_text(F.col("ministry_name")).alias("ministry_name"),
-        F.nullif(strip(F.col("account_code")), F.lit("")).alias("account_code"),
-        normalise_text(F.col("description")).alias("description"),
-        F.col("description").alias("description_raw"),
-        normalise_text(F.col("supplier")).alias("supplier"),
-        clean_code(F.col("payment_method")).alias("payment_method"),
-        F.col("amount_original").cast(AMOUNT_TYPE).alias("amount_original"),
-        F.nullif(F.upper(currency), F.lit("")).alias("currency_original"),
+        "fiscal_year", "ministry_code", "ministry_name", "account_code", "description", "description_raw",
+        "supplier", "payment_method", "amount_original", "currency_original",
         F.lit(True).alias("is_countable"),
-        F.col("amount").alias("amount_raw"),
-        F.col("amount_original_problem").alias("amount_problem"),
-        F.col("txn_date").alias("date_raw"),
-        date_problem(raw_day, F.col("_day")).alias("date_problem"),
-        outside.alias("outside_period"),
-        after.alias("after_extraction"),
-        start.alias("period_start"),
-        end.alias("period_end"),
-        extracted.alias("extracted_on"),
+        "amount_raw", F.col("amount_original_problem").alias("amount_problem"),
+        "date_raw", date_problem(raw_day, F.col("_day")).alias("date_problem"),
+        outside.alias("outside_period"), after.alias("after_extraction"),
+        start.alias("period_start"), end.alias("period_end"), extracted.alias("extracted_on"),
+        "_rate", "_rate_source",
         *(["children"] if "children" in has else []),
     )
     bad_amount = F.col("amount_problem").isNotNull() & ~F.col("amount_problem").startswith("ambiguous")
@@ -98,7 +104,7 @@ def harmonise(
     else:
         typed = typed.withColumn("split_sum", F.lit(None).cast(AMOUNT_TYPE)).withColumn(
             "split_reconciles", F.lit(None).cast("boolean"))
-    return convert_to_usd(typed, fx, RECORD_KEY)
+    return apply_rates(typed)
 
 
 def facts(harmonised: DataFrame) -> DataFrame:
