@@ -112,7 +112,7 @@ def id_collisions(
     ids that repeat are joined back, salted.
     """
     firsts = (
-        rows.where(F.col(group[-1]).isNotNull() & (F.col(group[-1]) != ""))
+        rows.where(F.col(group[-1]).isNotNull() & (F.col(group[-1]).cast("string") != ""))
         .groupBy(*group)
         .agg(F.min(position).alias("first_position"), F.count(F.lit(1)).alias("occurrences"))
         .where("occurrences > 1")

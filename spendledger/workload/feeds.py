@@ -150,7 +150,8 @@ def line_position() -> Column:
     """A position that orders lines of one id and is unique in the table."""
     return F.concat(
         F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.lpad(F.col("l_linenumber").cast("string"), 2, "0"),
-        F.lpad(F.col("l_partkey").cast("string"), 11, "0"), F.lpad(F.col("l_suppkey").cast("string"), 10, "0"))
+        F.lpad(F.col("l_partkey").cast("string"), 11, "0"), F.lpad(F.col("l_suppkey").cast("string"), 10, "0"),
+        F.date_format("l_shipdate", "yyyyMMdd"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
