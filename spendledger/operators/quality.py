@@ -36,7 +36,10 @@ def _text(*parts: str | Column) -> Column:
 
 
 def row_issues(harmonised: DataFrame, specs: Sequence[SourceSpec], detected_at: datetime | None = None) -> DataFrame:
-    """All per-record rules in one pass: each row builds its issues, then they are exploded."""
+    """All per-record rules in one pass: each row builds its issues, then they are exploded.
+
+    Rows that went through the guard (``guard_text``) also report what it found.
+    """
 
     def source_field(name: str) -> Column:
         return convention([_Named(s.country_code, s.field_map.get(name)) for s in specs], "column",
@@ -88,7 +91,10 @@ def row_issues(harmonised: DataFrame, specs: Sequence[SourceSpec], detected_at:
                   F.round(F.col("split_sum") - F.coalesce(amount, F.lit(0)), 2),
                   "). The parent counts; the splits are kept but not counted."))),
     ]
-    found = F.array_compact(F.array(*[F.when(own & test, issue) for test, issue in rules]))
+    found = [F.when(own & test, issue) for test, issue in rules]
+    if "guard_hits" in harmonised.columns:
+        found.append(F.when(F.size("guard_hits") > 0, _untrusted()))
+    found = F.array_compact(F.array(*found))
     return harmonised.select(*RECORD_KEY, F.inline(found)).withColumn(
         "detected_at", F.lit(detected_at).cast("timestamp")).select(*ISSUE_COLUMNS)
 
@@ -149,15 +155,19 @@ def batch_issues(rows: DataFrame, rule: str, field: Column, raw_value: Column, m
     ).withColumn("detected_at", F.lit(detected_at).cast("timestamp")).select(*ISSUE_COLUMNS)
 
 
-def untrusted_issues(classified: DataFrame, detected_at: datetime | None = None) -> DataFrame:
-    """UNTRUSTED_TEXT_IN_DESCRIPTION for classified rows whose guard found something."""
-    issue = _issue(
+def _untrusted() -> Column:
+    return _issue(
         "UNTRUSTED_TEXT_IN_DESCRIPTION", F.lit("description"), F.col("text"),
         _text("Description addresses an automated classifier (patterns: ",
               F.array_join(F.slice("guard_hits", 1, 3), "; "),
               "). Text rules are off for this record and a person has to look at it."),
     )
-    return classified.where(F.size("guard_hits") > 0).select(*RECORD_KEY, F.inline(F.array(issue))).withColumn(
+
+
+def untrusted_issues(guarded: DataFrame, detected_at: datetime | None = None) -> DataFrame:
+    """UNTRUSTED_TEXT_IN_DESCRIPTION for rows whose guard found something."""
+    return guarded.where(F.size("guard_hits") > 0).select(
+        *RECORD_KEY, F.inline(F.array(_untrusted()))).withColumn(
         "detected_at", F.lit(detected_at).cast("timestamp")).select(*ISSUE_COLUMNS)
 
 

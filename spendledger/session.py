@@ -16,6 +16,8 @@ def local_session(app: str = "spendledger", cores: str = "*", shuffle_partitions
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # The JVM never compiles methods above this size; unfused operators beat them.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", "16g")
         .getOrCreate()
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import SourceSpec, catalogue_table
 from ..operators.canonical import canonical_spellings, spelling_counts, variant_issues
-from ..operators.classify import classify
+from ..operators.classify import guard_text
 from ..operators.dims import (
     accounts, canonical_labels, complete_countries, ministries, override_countries, override_scheme,
 )
@@ -17,7 +17,7 @@ from ..operators.landing import project_canonical, stage
 from ..operators.maintenance import (
     check_country_edits, check_reference_edits, edit_mapping, reference_overrides,
 )
-from ..operators.quality import collision_issues, id_collisions, register, row_issues, untrusted_issues
+from ..operators.quality import collision_issues, id_collisions, register, row_issues
 from ..operators.splits import counted_totals, reconcile_splits
 from ..operators.validate import column_checks, foreign_key_check, unique_check
 from ..plans import reports
@@ -37,9 +37,8 @@ _AT = datetime(2025, 1, 1)
 def full_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row rules, id collisions and guard findings of the ledger of order lines."""
     rows = feeds.ledger(spark, sf_dir)
-    guarded = classify(rows, feeds.mapping(spark), feeds.RULES)
-    return register(row_issues(rows, feeds.SPECS, _AT), collision_issues(rows, feeds.SPECS, _AT),
-                    untrusted_issues(guarded, _AT))
+    return register(row_issues(guard_text(rows, feeds.RULES), feeds.SPECS, _AT),
+                    collision_issues(rows, feeds.SPECS, _AT))
 
 
 # ------------------------------------------------------------------ landing
