@@ -188,7 +188,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part name against a label list; repeated names are scored once per worker."""
     parts = feeds.table(spark, sf_dir, "part").select("p_partkey", fold(F.col("p_name")).alias("folded"))
     scored = parts.withColumn("best", best_label(F.col("folded"), _FUZZY_LABELS, 88))
-    label = F.element_at(F.array(*[F.lit(x) for x in _FUZZY_LABELS]), F.col("best.position") + 1)
+    listed = F.element_at(F.array(*[F.lit(x) for x in _FUZZY_LABELS]), F.col("best.position") + 1)
+    label = F.when(F.col("best.score").isNotNull(), listed)
     return scored.groupBy("folded", label.alias("label"), F.round("best.score", 6).alias("score")).agg(
         F.count(F.lit(1)).alias("n"))
 
