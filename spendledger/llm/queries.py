@@ -5,8 +5,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spendledger.llm import bpe_count, token_files
+from spendledger.llm import bin_packing, bpe_count, contamination, line_dedup, permuted_shards, token_files
 from spendledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,7 +27,51 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest)
 
 
+@register
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of at least ten code points stay in the smallest document that holds them."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+ORACLES["op4_line_dedup"] = """
+WITH line AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+    FROM documents
+), keyed AS (
+    SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM line
+), first AS (
+    SELECT k, min(doc_id) AS first_id FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1
+), judged AS (
+    SELECT keyed.*, coalesce(keyed.doc_id > first_id, false) AS gone FROM keyed LEFT JOIN first USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+@register
+def op5_permuted_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place among 16 shards of a reproducible shuffle."""
+    return permuted_shards.shard_documents(table(spark, sf_dir, "documents"), 16)
+
+
+@register
+def op7_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    return contamination.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register
 def op8_bpe_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece counts of every text."""
     return bpe_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
+
+
+@register
+def op9_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, as byte-level tokens, packed into sequences of four permitted lengths."""
+    return bin_packing.pack(bin_packing.byte_lengths(table(spark, sf_dir, "documents")))
