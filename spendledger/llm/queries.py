@@ -7,7 +7,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendledger.llm import bin_packing, bpe_count, contamination, line_dedup, permuted_shards, token_files
+from spendledger.llm import (
+    bin_packing,
+    bpe_count,
+    contamination,
+    hyper_language,
+    line_dedup,
+    permuted_shards,
+    simhash,
+    token_files,
+)
 from spendledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +68,13 @@ def op5_permuted_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permuted_shards.shard_documents(table(spark, sf_dir, "documents"), 16)
 
 
+@register
+def op6_hyper_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return hyper_language.identify(docs, hyper_language.learn(docs.where(~hyper_language.held_out())))
+
+
 @register
 def op7_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in documents."""
@@ -75,3 +91,9 @@ def op8_bpe_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, as byte-level tokens, packed into sequences of four permitted lengths."""
     return bin_packing.pack(bin_packing.byte_lengths(table(spark, sf_dir, "documents")))
+
+
+@register
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited form, with the near ones of every twentieth id counted."""
+    return simhash.fingerprint_report(table(spark, sf_dir, "documents"))
