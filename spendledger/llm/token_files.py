@@ -29,9 +29,9 @@ from spendledger.session import scratch_path
 SEQUENCE = 2048
 BATCH = 256
 #: Entries of a worker's word table; it is emptied when full.
-WORDS_KEPT = 250_000
+WORDS_KEPT = 1_000_000
 
-_ODD_SPACE = re.compile(r"(?:^|\s) | (?:\s|$)")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -52,6 +52,10 @@ class WordEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        # Bytes of text that each id stands for: a byte-level piece has one character for each byte.
+        self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.width[i] = len(piece)
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
@@ -60,21 +64,41 @@ class WordEncoder:
         """The ids of a text as little-endian integers of ``dtype``."""
         if any(s in text for s in self.special):
             return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        parts = (_LONE_SPACE.split if _ODD_SPACE.search(text) else lambda t: t.split(" "))(text)
-        first, known = parts[0], self.known
+        first, *rest = self._parts(text)
         head = self._pack(self.tokenizer.encode(first, add_special_tokens=False).ids) if first else b""
-        rest = parts[1:]
+        known = self.known
         got = list(map(known.get, rest))
         if None in got:
             if len(known) > WORDS_KEPT:
                 known.clear()
-            new = list({w for w, g in zip(rest, got, strict=True) if g is None})
-            done = self.tokenizer.encode_batch_fast([" " + w for w in new], add_special_tokens=False)
-            fresh = {w: self._pack(e.ids) for w, e in zip(new, done, strict=True)}
+            fresh = self._words(list({w for w, g in zip(rest, got, strict=True) if g is None}))
             known.update(fresh)
             got = [fresh[w] if g is None else g for w, g in zip(rest, got, strict=True)]
         return head + b"".join(got)
 
+    @staticmethod
+    def _parts(text: str) -> list[str]:
+        """The text cut at every space between two characters that are not white space."""
+        odd = text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text
+        return _LONE_SPACE.split(text) if odd or _OTHER_SPACE.search(text) else text.split(" ")
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that each follow a space: the library encodes them in one text, which is cut by the pieces' bytes."""
+        ends = [w for w in words if w[-1].isspace()]  # would run into the next word's space
+        words = [w for w in words if not w[-1].isspace()]
+        out = {w: self._pack(self.tokenizer.encode(" " + w, add_special_tokens=False).ids) for w in ends}
+        if words:
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+            stop = np.cumsum([len(w.encode("utf-8", "surrogatepass")) + 1 for w in words])
+            reach = np.cumsum(self.width[ids])
+            cut = np.searchsorted(reach, stop) + 1
+            if not np.array_equal(reach[cut - 1], stop):
+                raise ValueError("the vocabulary is not byte-level: pieces do not end where words do")
+            data, size = ids.tobytes(), self.dtype.itemsize
+            cut *= size
+            out.update(zip(words, (data[a:b] for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)), strict=True))
+        return out
+
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
