@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendledger.llm import (
+    anchor_dedup,
     bin_packing,
     bpe_count,
     contamination,
+    forest_dedup,
     hyper_language,
     line_dedup,
     permuted_shards,
@@ -36,6 +38,19 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest)
 
 
+@register
+def op2_forest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: three-word shingles, similarity of 0.85 or more."""
+    return forest_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+@register
+def op3_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left after removing passages of 50 words that an earlier document holds."""
+    return anchor_dedup.dedup_passages(table(spark, sf_dir, "documents"), width=50).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 @register
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of at least ten code points stay in the smallest document that holds them."""
