@@ -167,6 +167,16 @@ def _wide(key: bytes) -> tuple[int, int]:
     return int.from_bytes(data[:8], "little", signed=True), int.from_bytes(data[8:], "little", signed=True)
 
 
+def _without(text: str, drop: list[dict] | None, least: int) -> tuple[str, int, int]:
+    """The text without the lines whose key hashes are in ``drop``, its lines before, and the lines gone."""
+    lines = text.split("\n")
+    if not drop:
+        return text, len(lines), 0
+    gone = {(x["high"], x["low"]) for x in drop}
+    left = [x for x in lines if (k := line_key(x, least)) is None or _wide(k) not in gone]
+    return "\n".join(left), len(lines), len(lines) - len(left)
+
+
 def dedup_lines(docs: DataFrame, bits: int = BITS, least: int = LEAST,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, kept, n_lines, n_dropped`` of every document; ``kept`` is the text left.
@@ -181,20 +191,35 @@ def dedup_lines(docs: DataFrame, bits: int = BITS, least: int = LEAST,
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, n_lines, n_dropped = [], [], []
-            for value, drop in zip(batch.column(1), batch.column(2), strict=True):
-                lines = value.as_py().split("\n")
-                n_lines.append(len(lines))
-                gone = {(x["high"], x["low"]) for x in drop.as_py() or ()}
-                if gone:
-                    left = [x for x in lines if (k := line_key(x, least)) is None or _wide(k) not in gone]
-                    n_dropped.append(len(lines) - len(left))
-                    kept.append("\n".join(left))
-                else:
-                    n_dropped.append(0)
-                    kept.append(value.as_py())
+            rows = [_without(t.as_py(), d.as_py(), least) for t, d in zip(batch.column(1), batch.column(2), strict=True)]
+            kept, n_lines, n_dropped = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.record_batch(
                 [batch.column(0), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
                 names=["doc_id", "kept", "n_lines", "n_dropped"])
 
     return joined.select("doc_id", "text", "drop").mapInArrow(rebuild, "doc_id long, kept string, n_lines long, n_dropped long")
+
+
+def remove_lines(docs: DataFrame, bits: int = BITS, least: int = LEAST,
+                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the lines dropped from their texts; all other columns stay as they are.
+
+    A document that had words and has none left goes; one that had none stays.
+    """
+    names, at, schema = docs.columns, docs.columns.index(text_col), docs.schema
+    lost = repeats(documents(docs, id_col, text_col), bits, least).select(F.col("doc_id").alias("__line_id"), F.col("drop").alias("__line_drop"))
+    joined = docs.join(lost, F.col(id_col).cast("long") == F.col("__line_id"), "left").select(*names, "__line_drop")
+
+    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, stay = [], []
+            for value, drop in zip(batch.column(at), batch.column(len(names)), strict=True):
+                text = value.as_py()
+                kept = text if text is None or not drop.is_valid else _without(text, drop.as_py(), least)[0]
+                texts.append(kept)
+                stay.append(kept is text or bool(kept.strip(WHITE)) or not text.strip(WHITE))
+            columns = list(batch.columns[: len(names)])
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay, pa.bool_()))
+
+    return joined.mapInArrow(rebuild, schema)
