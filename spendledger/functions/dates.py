@@ -80,9 +80,8 @@ def parse_date(col: Column, formats: Sequence[str]) -> Column:
 
 def date_problem(raw: Column, parsed: Column) -> Column:
     """NULL, ``missing`` or ``unparseable:…`` for a raw text and its parsed date."""
-    shown = F.substring(day_part(raw), 1, 40)
     return F.when(is_blank(raw), F.lit("missing")).when(
-        parsed.isNull(), F.concat(F.lit("unparseable:"), shown)
+        parsed.isNull(), F.concat(F.lit("unparseable:"), day_part(raw))
     )
 
 

@@ -58,14 +58,15 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
 def fold(col: Column) -> Column:
     """Accent-free lower case used as a matching key; NULL stays NULL.
 
-    Plain ASCII text, the common case, only pays for a regex probe and ``lower``.  Characters that expand to several (ligatures, fractions) take a per-character map.
+    Plain ASCII text, the common case, only pays for a regex probe and ``lower``.
+    Characters that expand to several (ligatures, fractions) are replaced one kind at a
+    time, so a text pays for the kinds it holds and not for its length in look-ups.
     """
     source, target, multi = _fold_tables()
     plain = F.translate(col, source, target)
     table = F.from_json(F.lit(json.dumps(multi)), "map<string,string>")
-    expanded = F.array_join(
-        F.transform(F.split(col, ""), lambda c: F.coalesce(F.element_at(table, c), c)), ""
-    )
+    present = F.array_distinct(F.regexp_extract_all(col, F.lit("[" + "".join(multi) + "]"), F.lit(0)))
+    expanded = F.aggregate(present, col, lambda text, c: F.replace(text, c, F.element_at(table, c)))
     expanded = F.translate(expanded, source, target)
     folded = (
         F.when(~col.rlike(r"[^\x00-\x7F]"), col)
@@ -97,7 +98,3 @@ def contains_ignoring_case(col: Column, needle: str) -> Column:
     wanted = wanted.replace("\\", "\\\\")
     return F.translate(col, upper, lower).like(f"%{wanted}%")
 
-
-def clip(col: Column, length: int = 500) -> Column:
-    """The register keeps at most ``length`` characters of a raw value; the payload has the rest."""
-    return F.substring(col.cast("string"), 1, length)

@@ -3,17 +3,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
 from .joins import salted_lookup
-from .landing import RECORD_KEY
+from .landing import POSITION, RECORD_KEY
 from .quality import batch_issues
 
-# Beyond this many spellings a joined list is certainly longer than the 500 characters kept.
-_SHOWN_SPELLINGS = 126
-
 
 def spelling_counts(rows: DataFrame, group: Sequence[str], text: str, order: Sequence[str]) -> DataFrame:
     """Per group and spelling: fold key, occurrences and first position."""
@@ -40,7 +37,7 @@ def canonicalise(
     facts: DataFrame,
     group: Sequence[str] = ("country_code", "batch_id"),
     text: str = "description",
-    order: Sequence[str] = ("row_no", "child_pos"),
+    order: Sequence[str] = (*POSITION, "child_pos"),
     row_key: Sequence[str] = RECORD_KEY,
 ) -> DataFrame:
     """Rewrite ``text`` to its group's canonical spelling; the raw text column is left alone.
@@ -58,30 +55,33 @@ def canonicalise(
 
 
 def variant_issues(facts: DataFrame, detected_at=None) -> DataFrame:
-    """DESCRIPTION_CASE_VARIANTS: one entry per load that has any, with the widest example."""
+    """DESCRIPTION_CASE_VARIANTS: one entry per load that has any, naming the text with most spellings.
+
+    ``variant_spellings`` lists every spelling.
+    """
     group = ["country_code", "batch_id"]
-    counts = spelling_counts(facts, group, "description", ("row_no", "child_pos"))
+    counts = spelling_counts(facts, group, "description", (*POSITION, "child_pos"))
     groups = canonical_spellings(counts, group).where("n_spellings > 1")
     summary = groups.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n_texts"),
         F.sum("n_spellings").alias("n_spellings"),
         F.sum("n_changed").alias("n_changed"),
-        F.min_by("fold_key", F.struct(-F.col("n_spellings"), F.col("first_seen"))).alias("fold_key"),
-    )
-    by_spelling = Window.partitionBy(*group).orderBy("spelling")
-    example = (
-        counts.join(summary.select(*group, "fold_key"), [*group, "fold_key"], "left_semi")
-        .withColumn("_rank", F.row_number().over(by_spelling))
-        .where(F.col("_rank") <= _SHOWN_SPELLINGS)
-        .groupBy(*group)
-        .agg(F.array_sort(F.collect_list("spelling")).alias("spellings"))
+        F.min_by("canonical", F.struct(-F.col("n_spellings"), F.col("first_seen"))).alias("canonical"),
     )
-    joined = summary.join(example, group)
     return batch_issues(
-        joined, "DESCRIPTION_CASE_VARIANTS", F.lit("description"), F.array_join("spellings", " | "),
+        summary, "DESCRIPTION_CASE_VARIANTS", F.lit("description"), F.col("canonical"),
         F.format_string(
             "%d descriptions come in more than one casing (%d spellings); %d rows now carry the most"
             " frequent one. The text as supplied is kept.",
             "n_texts", "n_spellings", "n_changed"),
         detected_at,
     )
+
+
+def variant_spellings(facts: DataFrame, group: Sequence[str] = ("country_code", "batch_id"),
+                      text: str = "description", order: Sequence[str] = (*POSITION, "child_pos")) -> DataFrame:
+    """Every spelling of every text that has more than one: ``fold_key, spelling, n, canonical``."""
+    counts = spelling_counts(facts, group, text, order)
+    several = canonical_spellings(counts, group).where("n_spellings > 1").select(*group, "fold_key", "canonical")
+    return salted_lookup(counts, several, [*group, "fold_key"], ["spelling"], how="inner").select(
+        *group, "fold_key", "spelling", "n", "canonical")

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from ..functions.text import fold, strip
 from .canonical import canonical_spellings, spelling_counts
 from .joins import reference_lookup
+from .landing import POSITION
 
 CHART, OBSERVED = "country_chart_of_accounts", "observed_in_extract"
-_ORDER = ("batch_id", "row_no", "child_pos")
+_ORDER = ("batch_id", *POSITION, "child_pos")
 
 
 def ministries(facts: DataFrame, order: Sequence[str] = _ORDER) -> DataFrame:

@@ -15,7 +15,7 @@ from .landing import RECORD_KEY, convention
 from .splits import explode_splits
 
 FACT_COLUMNS = (
-    *RECORD_KEY, "source_file", "source_sheet", "source_record_id", "record_level", "txn_date",
+    *RECORD_KEY, "source_record_id", "record_level", "txn_date",
     "fiscal_year", "ministry_code", "ministry_name", "account_code", "description",
     "description_raw", "supplier", "payment_method", "amount_original", "currency_original",
     "amount_usd", "fx_rate", "fx_rate_source", "is_countable", "dq_status",
@@ -46,7 +46,8 @@ def harmonise(
     # Texts first, then the rate lookup, then amounts and dates: each group of expressions
     # stays in a generated method of its own that the JVM still compiles.
     texts = canonical.select(
-        "country_code", "batch_id", "row_no", "source_file", "source_sheet", "source_record_id",
+        "country_code", "batch_id", "row_no", "source_file", F.coalesce("source_sheet", F.lit("")).alias("source_sheet"),
+        "source_record_id",
         F.coalesce(normalise_text(F.col("fiscal_year")), default_year).alias("fiscal_year"),
         clean_code(F.col("ministry_code")).alias("ministry_code"),
         normalise_text(F.col("ministry_name")).alias("ministry_name"),

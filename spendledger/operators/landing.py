@@ -14,7 +14,9 @@ STAGED_COLUMNS = (
     "batch_id", "country_code", "source_file", "source_sheet", "row_no",
     "source_record_id", "payload", "ingested_at",
 )
-RECORD_KEY = ("country_code", "batch_id", "row_no", "child_pos")
+# A row number counts inside one sheet of one file; a source without sheets has the sheet ''.
+POSITION = ("source_file", "source_sheet", "row_no")
+RECORD_KEY = ("country_code", "batch_id", *POSITION, "child_pos")
 
 
 def json_path(*names: str) -> str:
@@ -41,7 +43,7 @@ def stage(
     ``payload`` is the untouched record as JSON text; by default it is built from the
     column ``payload`` when present, else from every column but the position columns.
     """
-    position = {"source_file", "source_sheet", "row_no"}
+    position = set(POSITION)
     if payload is None:
         payload = (
             F.col("payload").cast("string") if "payload" in records.columns
@@ -53,7 +55,7 @@ def stage(
         F.lit(batch_id).alias("batch_id"),
         F.lit(spec.country_code).alias("country_code"),
         "source_file",
-        sheet.alias("source_sheet"),
+        F.coalesce(sheet, F.lit("")).alias("source_sheet"),
         F.col("row_no").cast("long").alias("row_no"),
         payload.alias("payload"),
     )

@@ -8,12 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SEVERITY, SourceSpec
-from ..functions.text import clip
 from .joins import salted_lookup
-from .landing import RECORD_KEY, convention
+from .landing import POSITION, RECORD_KEY, convention
 
 ISSUE_COLUMNS = (
-    *RECORD_KEY, "rule_code", "severity", "field", "raw_value", "message", "detected_at",
+    *RECORD_KEY, "source_record_id", "rule_code", "severity", "field", "raw_value", "message", "detected_at",
 )
 _ISSUE_TYPE = "struct<rule_code:string,severity:string,field:string,raw_value:string,message:string>"
 
@@ -23,7 +22,7 @@ def _issue(rule: str, field: Column, raw_value: Column, message: Column) -> Colu
         F.lit(rule).alias("rule_code"),
         F.lit(SEVERITY[rule]).alias("severity"),
         field.cast("string").alias("field"),
-        clip(raw_value).alias("raw_value"),
+        raw_value.cast("string").alias("raw_value"),
         message.alias("message"),
     ).cast(_ISSUE_TYPE)
 
@@ -95,7 +94,7 @@ def row_issues(harmonised: DataFrame, specs: Sequence[SourceSpec], detected_at:
     if "guard_hits" in harmonised.columns:
         found.append(F.when(F.size("guard_hits") > 0, _untrusted()))
     found = F.array_compact(F.array(*found))
-    return harmonised.select(*RECORD_KEY, F.inline(found)).withColumn(
+    return harmonised.select(*RECORD_KEY, "source_record_id", F.inline(found)).withColumn(
         "detected_at", F.lit(detected_at).cast("timestamp")).select(*ISSUE_COLUMNS)
 
 
@@ -109,7 +108,7 @@ class _Named:
 def id_collisions(
     rows: DataFrame,
     group: Sequence[str],
-    position: str,
+    position: Sequence[str],
     row_key: Sequence[str],
 ) -> DataFrame:
     """Rows whose id already occurred, with the position of its first occurrence.
@@ -120,27 +119,27 @@ def id_collisions(
     firsts = (
         rows.where(F.col(group[-1]).isNotNull() & (F.col(group[-1]).cast("string") != ""))
         .groupBy(*group)
-        .agg(F.min(position).alias("first_position"), F.count(F.lit(1)).alias("occurrences"))
+        .agg(F.min(F.struct(*position)).alias("first_position"), F.count(F.lit(1)).alias("occurrences"))
         .where("occurrences > 1")
     )
     return salted_lookup(rows, firsts, group, row_key, how="inner").where(
-        F.col(position) != F.col("first_position"))
+        F.struct(*position) != F.col("first_position"))
 
 
 def collision_issues(harmonised: DataFrame, specs: Sequence[SourceSpec],
                      detected_at: datetime | None = None) -> DataFrame:
     """SOURCE_ID_COLLISION: both records are kept, the later one is reported."""
     own = harmonised.where("child_pos = 0").select(*RECORD_KEY, "source_record_id")
-    repeated = id_collisions(own, ["country_code", "batch_id", "source_record_id"], "row_no", RECORD_KEY)
+    repeated = id_collisions(own, ["country_code", "batch_id", "source_record_id"], POSITION, RECORD_KEY)
     named = [_Named(s.country_code, s.field_map.get("source_record_id")) for s in specs]
     issue = _issue(
         "SOURCE_ID_COLLISION",
         convention(named, "column", lambda c: F.lit(c).cast("string")),
         F.col("source_record_id"),
-        _text("Transaction id already used by source row ", F.col("first_position"),
+        _text("Transaction id already used by source row ", F.col("first_position.row_no"),
               "; both are kept, so the id cannot serve as a key."),
     )
-    return repeated.select(*RECORD_KEY, F.inline(F.array(issue))).withColumn(
+    return repeated.select(*RECORD_KEY, "source_record_id", F.inline(F.array(issue))).withColumn(
         "detected_at", F.lit(detected_at).cast("timestamp")).select(*ISSUE_COLUMNS)
 
 
@@ -150,6 +149,7 @@ def batch_issues(rows: DataFrame, rule: str, field: Column, raw_value: Column, m
     issue = _issue(rule, field, raw_value, message)
     return rows.select(
         "country_code", "batch_id",
+        *[F.lit(None).cast("string").alias(c) for c in (*POSITION[:2], "source_record_id")],
         F.lit(None).cast("long").alias("row_no"), F.lit(None).cast("int").alias("child_pos"),
         F.inline(F.array(issue)),
     ).withColumn("detected_at", F.lit(detected_at).cast("timestamp")).select(*ISSUE_COLUMNS)
@@ -159,7 +159,7 @@ def _untrusted() -> Column:
     return _issue(
         "UNTRUSTED_TEXT_IN_DESCRIPTION", F.lit("description"), F.col("text"),
         _text("Description addresses an automated classifier (patterns: ",
-              F.array_join(F.slice("guard_hits", 1, 3), "; "),
+              F.array_join("guard_hits", "; "),
               "). Text rules are off for this record and a person has to look at it."),
     )
 
@@ -167,7 +167,7 @@ def _untrusted() -> Column:
 def untrusted_issues(guarded: DataFrame, detected_at: datetime | None = None) -> DataFrame:
     """UNTRUSTED_TEXT_IN_DESCRIPTION for rows whose guard found something."""
     return guarded.where(F.size("guard_hits") > 0).select(
-        *RECORD_KEY, F.inline(F.array(_untrusted()))).withColumn(
+        *RECORD_KEY, "source_record_id", F.inline(F.array(_untrusted()))).withColumn(
         "detected_at", F.lit(detected_at).cast("timestamp")).select(*ISSUE_COLUMNS)
 
 

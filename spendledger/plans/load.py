@@ -16,11 +16,11 @@ from ..functions.amounts import parse_amount
 from ..operators.canonical import canonicalise, variant_issues
 from ..operators.classify import classification_rows, classify, run_stats
 from ..operators.dims import accounts as account_dim
-from ..operators.dims import canonical_labels, complete_countries
+from ..operators.dims import CHART, canonical_labels, complete_countries
 from ..operators.dims import ministries as ministry_dim
 from ..operators.harmonise import FACT_COLUMNS, harmonise
 from ..operators.history import SCHEME_KEY, apply_decisions, current, merge_decisions
-from ..operators.landing import RECORD_KEY, field_text, project_canonical
+from ..operators.landing import POSITION, field_text, project_canonical
 from ..operators.quality import (
     assumed_rates_issue, batch_issues, collision_issues, register, row_issues, untrusted_issues,
 )
@@ -48,15 +48,21 @@ class Reference:
 
 
 def control_totals(total_rows: DataFrame, spec: SourceSpec) -> DataFrame:
-    """Printed totals ``source_file, raw, control_total`` read under the source's own conventions."""
+    """Printed totals, with their position, ``raw`` and ``control_total``, read under the source's own conventions."""
     raw = field_text(F.try_parse_json("payload"), spec.field_map.get("amount"))
     return parse_amount(
-        total_rows.select("source_file", raw.alias("raw")), "raw",
+        total_rows.select(*POSITION, raw.alias("raw")), "raw",
         decimal_separator=spec.decimal_separator, suffixes=spec.strip_suffixes, into="control_total")
 
 
+def last_total(totals: DataFrame, *group: str) -> DataFrame:
+    """The number of printed totals and the one that stands last; a subtotal above it does not count."""
+    return totals.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n_totals"), F.max_by("control_total", F.struct(*POSITION)).alias("control_total"))
+
+
 def control_issues(totals: DataFrame, spec: SourceSpec, batch_id: str, at: datetime) -> DataFrame:
-    rows = totals.withColumns({"country_code": F.lit(spec.country_code), "batch_id": F.lit(batch_id)})
+    rows = totals.select("raw", "control_total", F.lit(spec.country_code).alias("country_code"), F.lit(batch_id).alias("batch_id"))
     return batch_issues(
         rows, "SRC_CONTROL_TOTAL", F.lit(spec.field_map.get("amount")), F.col("raw"),
         F.concat(F.lit("Source prints a control total of "), F.coalesce(F.col("control_total").cast("string"), F.lit("none")),
@@ -124,26 +130,32 @@ def load_source(
 
     canonical = project_canonical(landed, [spec])
     meta = None
-    if spec.reader == "json" and spec.metadata_path:
-        meta = source_metadata(spark, path, spec).limit(1).first()
-    if meta is not None:
-        canonical = canonical.withColumn("extracted_on", F.lit(meta["extracted_on"]).cast("date"))
-    harmonised_path = f"{warehouse.root}/_harmonised/{batch_id}"
-    harmonise(canonical, [spec], reference.fx).write.mode("overwrite").parquet(harmonised_path)
-    harmonised = spark.read.parquet(harmonised_path)
+    if spec.reader in ("json", "jsonl") and spec.metadata_path:
+        # One row for each file: a record is checked against its own file's extraction day.
+        by_file = source_metadata(spark, path, spec)
+        canonical = canonical.join(by_file.select("source_file", "extracted_on"), "source_file", "left")
+        meta = by_file.agg(
+            F.sum("declared_records").alias("declared_records"), F.max("extracted_on").alias("extracted_on"),
+            F.max_by("source_metadata", "source_file").alias("source_metadata")).first()
+    with warehouse.step("harmonised", harmonise(canonical, [spec], reference.fx)) as harmonised:
+        return _finish(spark, warehouse, spec, path, reference, at, batch_id, write, landed, harmonised, totals, meta, grid)
+
+
+def _finish(spark, warehouse, spec, path, reference, at, batch_id, write, landed, harmonised, totals, meta, grid) -> str:
+    """Facts, the load's figures, its findings and the dimensions, from the harmonised rows."""
     write("facts", canonicalise(harmonised.select(*FACT_COLUMNS)))
     facts = spark.read.parquet(warehouse.path("facts")).where(
         (F.col("country_code") == spec.country_code) & (F.col("batch_id") == batch_id))
 
     printed = control_totals(totals, spec) if totals is not None else None
-    figures = printed.agg(F.count(F.lit(1)).alias("n"), F.max("control_total").alias("t")).first() if printed else None
+    figures = last_total(printed).first() if printed is not None else None
     n_staged = landed.count()
     loaded = facts.where("is_countable").agg(
         F.round(F.sum("amount_original"), 2).cast("decimal(24,6)").alias("t")).first()["t"]
     batch = spark.createDataFrame([(
         spec.country_code, batch_id, path, spec.source_system, at,
-        n_staged + (figures["n"] if figures else 0), n_staged,
-        meta["declared_records"] if meta else None, figures["t"] if figures else None, loaded,
+        n_staged + (figures["n_totals"] if figures else 0), n_staged,
+        meta["declared_records"] if meta else None, figures["control_total"] if figures else None, loaded,
         meta["extracted_on"] if meta else None, meta["source_metadata"] if meta else None,
     )], BATCH_SCHEMA)
     parts = [
@@ -156,32 +168,54 @@ def load_source(
         parts.append(control_issues(printed, spec, batch_id, at))
     write("issues", register(*parts))
     write("batches", batch)
-    if spec.chart_sheet and grid is not None:
-        write("charts", chart_of_accounts(grid, spec))
-    refresh_dimensions(spark, warehouse)
+    if spec.chart_sheet and spec.reader in ("excel", "grid"):
+        write("charts", chart_of_accounts(grid if grid is not None else spark.read.parquet(path), spec))
+    refresh_dimensions(spark, warehouse, spec.country_code)
+    write_rate_issue(spark, warehouse, reference, at)
     return batch_id
 
 
-def refresh_dimensions(spark: SparkSession, warehouse: Warehouse) -> None:
-    """Grow the ministry and account dimensions from the live facts.
+def write_rate_issue(spark: SparkSession, warehouse: Warehouse, reference: Reference, at: datetime) -> None:
+    """The finding about assumed rates stands in a table of its own, written anew by every load."""
+    warehouse.rewrite("rate_issues", assumed_rates_issue(spark, reference.fx_about, at))
+
 
-    Rows of an earlier load are kept: a dimension only ever gains members.
+def refresh_dimensions(spark: SparkSession, warehouse: Warehouse, country: str) -> None:
+    """Grow one country's ministries and accounts from its live facts.
+
+    A stored member stays as it is: its name changes only where it was empty, and an
+    account's label only where the chart of accounts gives one.  Members never go.
     """
-    facts = warehouse.read("facts")
-    chart = spark.read.parquet(warehouse.path("charts")) if warehouse.exists("charts") else None
+    facts = warehouse.read("facts").where(F.col("country_code") == country)
+    chart = None
+    if warehouse.exists("charts"):
+        chart = spark.read.parquet(warehouse.path("charts")).where(F.col("country_code") == country)
     fresh = {
-        "ministries": (ministry_dim(facts), ["country_code", "ministry_code"]),
-        "accounts": (canonical_labels(account_dim(facts, chart), facts), ["country_code", "account_code"]),
+        "ministries": (ministry_dim(facts), "ministry_code", "ministry_name"),
+        "accounts": (canonical_labels(account_dim(facts, chart), facts), "account_code", "account_label"),
     }
-    for name, (dim, key) in fresh.items():
+    for name, (dim, key, label) in fresh.items():
         if warehouse.exists(name):
-            old = spark.read.parquet(warehouse.path(name)).alias("o")
-            same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in key]
-            gone = old.join(dim.alias("n"), same[0] & same[1], "left_anti")
-            dim = dim.unionByName(gone)
-        step = f"{warehouse.root}/_next/{name}"
-        dim.write.mode("overwrite").parquet(step)
-        warehouse.rewrite(name, spark.read.parquet(step))
+            old = spark.read.parquet(warehouse.path(name)).where(F.col("country_code") == country)
+            dim = merge_dimension(old, dim, key, label)
+        with warehouse.step(name, dim) as rows:
+            warehouse.replace_countries(name, rows)
+
+
+def merge_dimension(old: DataFrame, new: DataFrame, key: str, label: str) -> DataFrame:
+    """Stored members with what a load adds: new members, labels that were empty, labels of a chart."""
+    both = old.alias("o").join(new.alias("n"), F.col(f"o.{key}").eqNullSafe(F.col(f"n.{key}")), "full")
+    takes = F.col("o.country_code").isNull()
+    if "source" in new.columns:
+        takes = takes | (F.col("n.source") == CHART)
+        observed = F.coalesce(F.col("o.source") != CHART, F.lit(True))
+    else:
+        observed = F.lit(True)
+    takes = takes | (F.col("n.country_code").isNotNull() & F.col(f"o.{label}").isNull() & observed)
+    takes = F.coalesce(takes, F.lit(False))
+    return both.select(*[
+        (F.when(takes, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) if c in (label, "source")
+         else F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}"))).alias(c) for c in new.columns])
 
 
 def classify_country(
@@ -202,37 +236,28 @@ def classify_country(
         facts = facts.where(F.col("country_code") == country)
     run = int(at.timestamp() * 1_000_000)
     classified = classify(facts, reference.mapping, reference.rules, reference.sha_labels)
-    step = f"{warehouse.root}/_classified/{run}"
-    classified.write.mode("overwrite").parquet(step)
-    classified = spark.read.parquet(step)
-    rows = classification_rows(classified, at, run)
-    if preserve_manual and warehouse.exists("classification"):
-        manual = current(warehouse.read("classification")).where("method = 'manual'")
-        rows = rows.join(manual.select(*SCHEME_KEY), list(SCHEME_KEY), "left_anti")
-    warehouse.append("classification", rows)
-    replace_untrusted(warehouse, classified, at)
-    return run_stats(classified)
-
-
-def replace_untrusted(warehouse: Warehouse, classified: DataFrame, at: datetime) -> None:
-    """Guard findings are derived anew: drop the old ones of the classified countries, add the new."""
-    spark = warehouse.spark
-    scope = classified.select(F.col("country_code").alias("_c")).distinct()
-    old = warehouse.read("issues")
-    stale = (F.col("rule_code") == "UNTRUSTED_TEXT_IN_DESCRIPTION") & (F.col("country_code") == F.col("_c"))
-    kept = old.join(scope, stale, "left_anti").join(scope, F.col("country_code") == F.col("_c"), "left_semi")
-    step = f"{warehouse.root}/_next/issues"
-    kept.unionByName(untrusted_issues(classified, at)).write.mode("overwrite").parquet(step)
-    warehouse.replace_countries("issues", spark.read.parquet(step))
+    with warehouse.step("classified", classified) as done:
+        rows = classification_rows(done, at, run)
+        if preserve_manual and warehouse.exists("classification"):
+            manual = current(warehouse.read("classification")).where("method = 'manual'")
+            rows = rows.join(manual.select(*SCHEME_KEY), list(SCHEME_KEY), "left_anti")
+        warehouse.append("classification", rows)
+        # Guard findings belong to a run; a run is recorded for its countries even where it found nothing.
+        warehouse.append("guard_issues", untrusted_issues(done, at).withColumn("seq", F.lit(run)))
+        ran = spark.createDataFrame([(country,)], "country_code string") if country else (
+            spark.read.parquet(warehouse.path("batches")).select("country_code").distinct())
+        warehouse.append("runs", ran.withColumn("seq", F.lit(run)))
+        return spark.createDataFrame(run_stats(done).collect())
 
 
 def record_decisions(warehouse: Warehouse, decisions: DataFrame) -> None:
-    """Apply review decisions to the pending rows and store the resulting history."""
+    """Apply review decisions to the pending rows; only the history of the countries they touch is written."""
+    touched = decisions.select(F.col("country_code").alias("_t")).distinct()
     history = warehouse.read("classification")
+    history = history.join(touched, F.col("country_code") == F.col("_t"), "left_semi")
     decided = apply_decisions(current(history), decisions)
-    step = f"{warehouse.root}/_next/classification"
-    merge_decisions(history, decided).write.mode("overwrite").parquet(step)
-    warehouse.replace_countries("classification", warehouse.spark.read.parquet(step))
+    with warehouse.step("classification", merge_decisions(history, decided)) as rows:
+        warehouse.replace_countries("classification", rows)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -270,7 +295,6 @@ def build(
             continue
         loaded[code] = load_source(spark, warehouse, spec, path, reference, at, grid=grid)
     if loaded:
-        warehouse.append("issues", assumed_rates_issue(spark, reference.fx_about, at))
         stats = classify_country(spark, warehouse, reference, at).first().asDict()
     else:
         stats = {}

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import contains_ignoring_case
 from ..operators.history import is_pending
-from ..operators.landing import RECORD_KEY
+from ..operators.landing import POSITION, RECORD_KEY
 from .views import sha_bucket, srhr_bucket
 
 
@@ -89,7 +89,7 @@ def _by_bucket(view: DataFrame, name: str, bucket: Column, labels: DataFrame, de
 
 def by_sha(view: DataFrame, labels: DataFrame) -> DataFrame:
     description = F.when(
-        F.col("sha_outcome") == "ADMIN_INPUT", "Inputs with no determinable function (provisional HC.7)"
+        F.col("sha_outcome") == "ADMIN_INPUT", "Cost of inputs; function unknown, HC.7 for now"
     ).otherwise(F.coalesce("_label", "sha_outcome"))
     return _by_bucket(view, "sha", sha_bucket(), labels, description)
 
@@ -176,9 +176,10 @@ def search_totals(selected: DataFrame) -> DataFrame:
     return selected.agg(F.count(F.lit(1)).alias("n"), money(F.sum("amount_usd")).alias("usd"))
 
 
-def largest_records(selected: DataFrame, limit: int = 5000, row_key: Sequence[str] = RECORD_KEY) -> DataFrame:
-    """The largest by US dollars, NULL last; ties by record key so the cut is reproducible."""
-    return selected.orderBy(F.col("amount_usd").desc_nulls_last(), *row_key).limit(limit)
+def largest_records(selected: DataFrame, limit: int | None = None, row_key: Sequence[str] = RECORD_KEY) -> DataFrame:
+    """All records by US dollars, NULL last, or the first ``limit``; ties by record key so a cut is reproducible."""
+    ordered = selected.orderBy(F.col("amount_usd").desc_nulls_last(), *row_key)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def largest_per_country(view: DataFrame, row_key: Sequence[str] = RECORD_KEY) -> DataFrame:
@@ -298,9 +299,9 @@ def pending_count(current_rows: DataFrame, by: Sequence[str] = ("scheme",)) -> D
     return current_rows.where(is_pending()).groupBy(*by).agg(F.count(F.lit(1)).alias("pending"))
 
 
-def review_page(queue: DataFrame, scheme: str, country: str | None = None, limit: int = 500,
+def review_page(queue: DataFrame, scheme: str, country: str | None = None, limit: int | None = None,
                 row_key: Sequence[str] = RECORD_KEY) -> DataFrame:
-    """The largest waiting records of a scheme."""
+    """The waiting records of a scheme, largest first."""
     mine = queue.where(F.col("scheme") == scheme)
     if country:
         mine = mine.where(F.col("country_code") == country)
@@ -331,31 +332,28 @@ def rule_catalogue(catalogue: DataFrame, issues: DataFrame) -> DataFrame:
     return catalogue.join(fired, "rule_code", "left").withColumn("fired", F.coalesce("fired", F.lit(0)))
 
 
-def issue_positions(issues: DataFrame, facts: DataFrame, row_key: Sequence[str] = RECORD_KEY) -> DataFrame:
-    """The register with the source id, file and row behind each finding.
+def issue_positions(issues: DataFrame) -> DataFrame:
+    """The register with the source id, file and row behind each finding, which every finding carries.
 
     Findings about a whole load or the whole ledger have no row and keep NULL there.
     """
-    where = facts.select(*row_key, "source_record_id", "source_file")
-    located = issues.where("row_no IS NOT NULL").join(where, list(row_key), "left")
-    general = issues.where("row_no IS NULL").withColumns({
-        "source_record_id": F.lit(None).cast("string"), "source_file": F.lit(None).cast("string")})
-    return located.unionByName(general)
+    return issues.select("country_code", "batch_id", *POSITION, "child_pos", "source_record_id",
+                         "rule_code", "severity", "field", "raw_value", "message", "detected_at")
 
 
-def issue_detail(positions: DataFrame, rule: str, limit: int = 300) -> DataFrame:
-    """The first findings of one rule in register order."""
-    return positions.where(F.col("rule_code") == rule).orderBy(
-        "country_code", "batch_id", "row_no", "child_pos").limit(limit)
+def issue_detail(positions: DataFrame, rule: str, limit: int | None = None) -> DataFrame:
+    """The findings of one rule in register order, or the first ``limit`` of them."""
+    ordered = positions.where(F.col("rule_code") == rule).orderBy("country_code", "batch_id", *POSITION, "child_pos")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def trace(facts: DataFrame, staged: DataFrame, batches: DataFrame, country: str, source_record_id: str) -> DataFrame:
     """Record to staged payload to load, for every record with the id, counted or not."""
     mine = facts.where((F.col("country_code") == country) & (F.col("source_record_id") == source_record_id))
     raw = staged.where(F.col("country_code") == country).select(
-        "country_code", "batch_id", "row_no", "payload", "ingested_at")
+        "country_code", "batch_id", *POSITION, "payload", "ingested_at")
     loads = batches.where(F.col("country_code") == country).select("country_code", "batch_id", "source_system")
-    return mine.join(raw, ["country_code", "batch_id", "row_no"]).join(loads, ["country_code", "batch_id"])
+    return mine.join(raw, ["country_code", "batch_id", *POSITION]).join(loads, ["country_code", "batch_id"])
 
 
 def trace_history(history: DataFrame, hits: DataFrame, key: Sequence[str] = RECORD_KEY) -> DataFrame:
@@ -370,8 +368,9 @@ def trace_history(history: DataFrame, hits: DataFrame, key: Sequence[str] = RECO
 
 def trace_children(facts: DataFrame, hits: DataFrame) -> DataFrame:
     """Splits below the traced records, whether counted or not."""
-    parents = hits.where("child_pos = 0").select("country_code", "batch_id", "row_no").distinct()
-    return facts.where("child_pos > 0").join(parents, ["country_code", "batch_id", "row_no"], "left_semi")
+    record = list(RECORD_KEY[:-1])
+    parents = hits.where("child_pos = 0").select(*record).distinct()
+    return facts.where("child_pos > 0").join(parents, record, "left_semi")
 
 
 def countries_loaded(batches: DataFrame, countries: DataFrame, facts: DataFrame) -> DataFrame:

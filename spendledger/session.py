@@ -45,9 +45,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/spendledger/{name}-{uuid.uuid4().hex}"
 
 
-def write_and_read(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage by writing a parquet table to the shared folder and reading it back."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that is read more than once to the shared folder and read it back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

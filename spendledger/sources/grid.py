@@ -15,7 +15,6 @@ from ..functions.text import strip
 from ..operators.joins import salted_lookup
 from ..operators.landing import stage
 
-SCAN_ROWS = 30
 _SHEET = ("source_file", "source_sheet")
 
 
@@ -40,8 +39,7 @@ def find_headers(grid: DataFrame, spec: SourceSpec) -> DataFrame:
     known = F.size(F.array_intersect(
         F.array_distinct(F.transform("_texts", F.lower)), F.array(*[F.lit(e) for e in expected])))
     candidates = (
-        grid.where((F.col("row_no") <= SCAN_ROWS) | (F.col("row_no") == spec.header_row))
-        .withColumn("_texts", _cell_text(grid))
+        grid.withColumn("_texts", _cell_text(grid))
         .where(known >= enough)
     )
     preferred = F.struct((F.col("row_no") != spec.header_row).alias("scanned"), F.col("row_no").alias("at"))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType, VariantType
 
@@ -34,15 +34,30 @@ def read_json_array(spark: SparkSession, path: str, spec: SourceSpec) -> DataFra
         "source_file", (F.col("pos") + 1).cast("long").alias("row_no"), F.to_json("col").alias("payload"))
 
 
-def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One record per line, read in parallel blocks; the number is the line's, blank lines dropped."""
+def _metadata_line(spec: SourceSpec | None) -> Column:
+    """Whether a line carries the feed's metadata block instead of a record."""
+    if spec is None or not spec.metadata_path:
+        return F.lit(False)
+    block = F.try_variant_get(F.try_parse_json("payload"), json_path(spec.metadata_path), "variant")
+    return F.coalesce(F.to_json(block).startswith("{"), F.lit(False))
+
+
+def read_json_lines(spark: SparkSession, path: str, spec: SourceSpec | None = None) -> DataFrame:
+    """One record per line, read in parallel blocks; the number is the line's.
+
+    Blank lines are dropped, and so is a line that holds the source's metadata block.
+    """
     lines = spark.read.text(path).withColumnRenamed("value", "payload")
-    return number_records(mark_blocks(lines), first=1).where(F.trim("payload") != "")
+    return number_records(mark_blocks(lines), first=1).where(F.trim("payload") != "").where(~_metadata_line(spec))
 
 
 def source_metadata(spark: SparkSession, path: str, spec: SourceSpec) -> DataFrame:
     """The source's own metadata block per file: declared record count and extraction day."""
-    docs = spark.read.option("multiLine", True).option("singleVariantColumn", "_doc").json(path)
+    if spec.reader == "jsonl":
+        lines = spark.read.text(path).withColumnRenamed("value", "payload").where(_metadata_line(spec))
+        docs = lines.select(F.try_parse_json("payload").alias("_doc"), "_metadata")
+    else:
+        docs = spark.read.option("multiLine", True).option("singleVariantColumn", "_doc").json(path)
     block = F.try_variant_get("_doc", json_path(spec.metadata_path or "metadata"), "variant")
     stamp = F.try_variant_get(block, json_path(spec.metadata_extracted_at or "extractedAt"), "string")
     return docs.select(
@@ -56,5 +71,5 @@ def source_metadata(spark: SparkSession, path: str, spec: SourceSpec) -> DataFra
 
 def stage_json(spark: SparkSession, path: str, spec: SourceSpec, batch_id: str, ingested_at: datetime) -> DataFrame:
     """A JSON feed staged verbatim; nested children stay inside the record."""
-    records = read_json_lines(spark, path) if spec.reader == "jsonl" else read_json_array(spark, path, spec)
+    records = read_json_lines(spark, path, spec) if spec.reader == "jsonl" else read_json_array(spark, path, spec)
     return stage(records, spec, batch_id, ingested_at)

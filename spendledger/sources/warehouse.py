@@ -1,6 +1,10 @@
 """The ledger as parquet tables partitioned by country; a country is the unit of replacement."""
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,14 +49,29 @@ class Warehouse:
         is_live = (rows.country_code == live._c) & (rows.batch_id == live._b)
         kept = rows.join(live, is_live, "left_semi")
         if table == "issues":
-            kept = kept.unionByName(rows.where("batch_id IS NULL"))
+            kept = kept.unionByName(self._guard_findings(live))
+            if self.exists("rate_issues"):
+                kept = kept.unionByName(self.spark.read.parquet(self.path("rate_issues")))
         return kept
 
+    def _guard_findings(self, live: DataFrame) -> DataFrame:
+        """Guard findings of each country's latest classification run, live loads only.
+
+        ``runs`` says which run is the latest, so a run without a finding hides the ones before it.
+        """
+        if not self.exists("guard_issues"):
+            return self.spark.read.parquet(self.path("issues")).limit(0)
+        rows = self.spark.read.parquet(self.path("guard_issues"))
+        latest = self.spark.read.parquet(self.path("runs")).groupBy(F.col("country_code").alias("_rc")).agg(
+            F.max("seq").alias("_seq"))
+        found = rows.join(latest, (rows.country_code == F.col("_rc")) & (rows.seq == F.col("_seq")), "left_semi")
+        return found.join(live, (found.country_code == live._c) & (found.batch_id == live._b), "left_semi").drop("seq")
+
     def append(self, table: str, rows: DataFrame) -> None:
         rows.write.mode("append").partitionBy("country_code").parquet(self.path(table))
 
     def replace_countries(self, table: str, rows: DataFrame) -> None:
-        """Overwrite exactly the countries present in ``rows``."""
+        """Overwrite exactly the countries present in ``rows``; a country without a row keeps what it had."""
         (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("country_code").parquet(self.path(table)))
 
@@ -60,6 +79,17 @@ class Warehouse:
         """Overwrite a whole unpartitioned reference table."""
         rows.write.mode("overwrite").parquet(self.path(table))
 
+    @contextmanager
+    def step(self, name: str, rows: DataFrame) -> Iterator[DataFrame]:
+        """``rows`` written to a folder of this run alone and read back; the folder goes when the block ends."""
+        path = f"{self.root}/_steps/{name}-{uuid.uuid4().hex}"
+        try:
+            rows.write.parquet(path)
+            yield self.spark.read.schema(rows.schema).parquet(path)
+        finally:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
 
 def export_csv(report: DataFrame, path: str) -> None:
     """A report as UTF-8 CSV with a header, one file per partition."""

@@ -19,11 +19,10 @@ def load_arrivals(
     folder: str,
     reference: Reference,
     checkpoint: str,
-    files_per_batch: int = 1,
 ) -> StreamingQuery:
     """Load every new file of one source once; the stream's checkpoint remembers what was seen.
 
-    The newest file of a micro-batch wins, as a re-delivery supersedes the earlier one.
+    A micro-batch is one file, so each arrival is loaded in its turn and a re-delivery supersedes the one before.
     """
 
     def load(arrived: DataFrame, _: int) -> None:
@@ -35,7 +34,7 @@ def load_arrivals(
         classify_country(spark, warehouse, reference, at, spec.country_code)
 
     files = (
-        spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_batch)
+        spark.readStream.format("binaryFile").option("maxFilesPerTrigger", 1)
         .schema("path string, modificationTime timestamp, length long, content binary").load(folder)
         .select("path", "modificationTime")
     )

@@ -21,7 +21,6 @@ _FIELDS = {
     "account_code": "account", "description": "text", "supplier": "payee", "amount": "amount",
     "currency": "ccy", "payment_method": "method", "fiscal_year": "year",
 }
-SPREAD = ("lineitem", "orders", "events", "documents")
 PERIOD = (date(1996, 1, 1), date(2000, 12, 31))
 
 
@@ -66,18 +65,8 @@ SRHR_LABELS = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; one in fewer files than there are cores is spread over all of them.
-
-    A table of many files is read as it lies, without a shuffle.
-    """
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows, rows) if name in SPREAD else rows
-
-
-def spread(rows: DataFrame, source: DataFrame) -> DataFrame:
-    """Use every core where ``source`` lies in fewer files than there are cores; else leave it alone."""
-    cores = source.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(source.inputFiles()) < cores else rows
+    """A driver table, read as it lies."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fx(spark: SparkSession) -> DataFrame:
@@ -182,7 +171,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("L-"), F.col("country_code")).alias("batch_id"),
         "country_code",
         F.lit("lineitem").alias("source_file"),
-        F.lit(None).cast("string").alias("source_sheet"),
+        F.lit("").alias("source_sheet"),
         line_position().alias("row_no"),
         F.concat(key.cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("source_record_id"),
         F.when(key % 53 == 0, F.lit("n/a")).when(key % 59 == 0, F.lit(None).cast("string"))
@@ -199,9 +188,9 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("l_returnflag", "l_linestatus").alias("payment_method"),
         F.lit(None).cast("string").alias("fiscal_year"),
     )
-    # Rendering stands in for the files a source would deliver; on small inputs a shuffle keeps
-    # its generated code apart from that of the operators under test.
-    return spread(rendered, spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    # Rendering stands in for the files a source would deliver: evenly sized, and apart from the
+    # operators that read them.
+    return rendered.hint("rebalance")
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,6 +237,6 @@ def nested_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Order").alias("text"), money(cents).alias("amount"), parts.alias("parts"))
     return orders.select(
         F.lit("N-C1").alias("batch_id"), F.lit("C1").alias("country_code"), F.lit("orders").alias("source_file"),
-        F.lit(None).cast("string").alias("source_sheet"), key.alias("row_no"),
+        F.lit("").alias("source_sheet"), key.alias("row_no"),
         key.cast("string").alias("source_record_id"),
         F.to_json(record, {"ignoreNullFields": "false"}).alias("payload"))

@@ -21,8 +21,8 @@ from ..operators.quality import collision_issues, id_collisions, register, row_i
 from ..operators.splits import counted_totals, reconcile_splits
 from ..operators.validate import column_checks, foreign_key_check, unique_check
 from ..plans import reports
-from ..plans.load import batch_close_issues, control_totals
-from ..session import scratch_path
+from ..plans.load import batch_close_issues, control_totals, last_total
+from ..session import scratch_path, stored
 from ..sources.delimited import read_delimited
 from ..sources.grid import grid_records
 from ..sources.json_records import read_json_lines
@@ -36,7 +36,7 @@ _AT = datetime(2025, 1, 1)
 
 def full_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row rules, id collisions and guard findings of the ledger of order lines."""
-    rows = feeds.ledger(spark, sf_dir)
+    rows = stored(feeds.ledger(spark, sf_dir), "harmonised")
     return register(row_issues(guard_text(rows, feeds.RULES), feeds.SPECS, _AT),
                     collision_issues(rows, feeds.SPECS, _AT))
 
@@ -150,8 +150,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     loaded = rows.groupBy("source_file").agg(
         F.count(F.lit(1)).alias("rows_staged"),
         F.round(F.sum(F.when(F.col("is_countable"), F.col("amount_original"))), 2).alias("loaded_total"))
-    printed = control_totals(totals, _GRID_SPEC).groupBy("source_file").agg(
-        F.count(F.lit(1)).alias("n_totals"), F.max("control_total").alias("control_total"))
+    printed = last_total(control_totals(totals, _GRID_SPEC), "source_file")
     batches = loaded.join(printed, "source_file", "left").select(
         F.lit("C2").alias("country_code"), F.col("source_file").alias("batch_id"), "source_file",
         (F.col("rows_staged") + F.coalesce("n_totals", F.lit(0))).alias("rows_read"), "rows_staged",
@@ -228,19 +227,28 @@ SELECT rule_code, country_code, row_no, source_record_id, 'lineitem' AS source_f
 """))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole register with the source position behind each finding."""
-    rows = feeds.ledger(spark, sf_dir)
-    positions = reports.issue_positions(full_register(spark, sf_dir), rows)
+    positions = reports.issue_positions(full_register(spark, sf_dir))
     return positions.select("rule_code", "country_code", "row_no", "source_record_id", "source_file")
 
 
+def _unparseable(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
+    positions = reports.issue_positions(row_issues(feeds.ledger(spark, sf_dir), feeds.SPECS, _AT))
+    return reports.issue_detail(positions, "AMOUNT_UNPARSEABLE", limit).select("country_code", "row_no", "source_record_id")
+
+
+@query("dq_detail", with_(REGISTER, """
+SELECT country_code, row_no, source_record_id FROM register WHERE rule_code = 'AMOUNT_UNPARSEABLE'
+"""))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unparseable(spark, sf_dir)
+
+
 @query("dq_detail_top", with_(REGISTER, """
 SELECT country_code, row_no, source_record_id FROM register WHERE rule_code = 'AMOUNT_UNPARSEABLE'
 ORDER BY country_code, row_no LIMIT 300
 """))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = feeds.ledger(spark, sf_dir)
-    positions = reports.issue_positions(row_issues(rows, feeds.SPECS, _AT), rows)
-    return reports.issue_detail(positions, "AMOUNT_UNPARSEABLE").select("country_code", "row_no", "source_record_id")
+    return _unparseable(spark, sf_dir, 300)
 
 
 @query("source_id_collision", """
@@ -253,8 +261,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = feeds.table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         (F.col("l_partkey") * 10000000 + F.col("l_suppkey")).alias("position"))
-    found = id_collisions(rows, ["l_orderkey", "l_linenumber"], "position", ["l_partkey", "l_suppkey"])
-    return found.select("l_orderkey", "l_linenumber", "l_partkey", "first_position", "occurrences")
+    found = id_collisions(rows, ["l_orderkey", "l_linenumber"], ["position"], ["l_partkey", "l_suppkey"])
+    return found.select("l_orderkey", "l_linenumber", "l_partkey",
+                        F.col("first_position.position").alias("first_position"), "occurrences")
 
 
 @query("domain_checks", """
@@ -391,11 +400,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 firsts AS (SELECT country_code, fold_key, min(first_row) AS first_row, count(*) AS n FROM spelt GROUP BY ALL),
 widest AS (SELECT country_code, fold_key FROM (
   SELECT *, row_number() OVER (PARTITION BY country_code ORDER BY n DESC, first_row) AS r FROM firsts) WHERE r = 1)
-SELECT country_code, (SELECT left(string_agg(spelling, ' | ' ORDER BY spelling), 500) FROM spelt s
-        WHERE s.country_code = g.country_code AND s.fold_key = w.fold_key) AS raw_value,
+SELECT country_code, canonical AS raw_value,
   texts || ' descriptions come in more than one casing (' || spellings || ' spellings); ' || changed
     || ' rows now carry the most frequent one. The text as supplied is kept.' AS message
-FROM groups g JOIN widest w USING (country_code)
+FROM groups g JOIN widest w USING (country_code) JOIN winners USING (country_code, fold_key)
 """.replace("\n, groups", ", groups", 1)))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = feeds.ledger(spark, sf_dir).withColumn("child_pos", F.lit(0))
@@ -497,10 +505,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("reference_edit_guards", """
-SELECT CAST(s_suppkey AS VARCHAR) AS code, 'needs both a code and a description' AS problem FROM supplier WHERE s_suppkey % 11 = 3
-UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'appears twice' FROM supplier WHERE s_suppkey % 11 = 4
-UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'is a supplied code and cannot be deleted' FROM supplier WHERE s_suppkey % 11 IN (2, 3) AND s_suppkey % 2 = 0
-UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'is used by classifications and cannot be deleted' FROM supplier
+SELECT CAST(s_suppkey AS VARCHAR) AS code, 'code or description is empty' AS problem FROM supplier WHERE s_suppkey % 11 = 3
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'listed more than once' FROM supplier WHERE s_suppkey % 11 = 4
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'comes with the supplied list and has to stay' FROM supplier WHERE s_suppkey % 11 IN (2, 3) AND s_suppkey % 2 = 0
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'still carried by classified records' FROM supplier
   WHERE s_suppkey % 11 IN (2, 3) AND s_suppkey % 2 = 1 AND s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R')
 """)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -541,11 +549,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("country_edit_guards", """
 SELECT * FROM (SELECT CASE WHEN s_suppkey % 9 = 1 THEN 'LONGCODE' || s_suppkey WHEN s_suppkey % 9 = 2 THEN 'S-' || s_suppkey
        WHEN s_suppkey % 9 IN (3, 4) THEN 'S' || s_suppkey END AS code,
-       CASE s_suppkey % 9 WHEN 3 THEN 'needs a code, a name and a currency' WHEN 4 THEN 'currency must be a three-letter ISO code'
-         ELSE 'letters and digits only, up to 8' END AS problem FROM supplier)
+       CASE s_suppkey % 9 WHEN 3 THEN 'code, name or currency is empty' WHEN 4 THEN 'currency is not three letters'
+         ELSE 'code is not one to eight letters or digits' END AS problem FROM supplier)
 WHERE code IS NOT NULL
-UNION ALL SELECT 'C' || r_regionkey, CASE WHEN r_regionkey < 2 THEN 'is supplied and cannot be deleted here'
-  ELSE 'has data loaded and cannot be deleted' END FROM region
+UNION ALL SELECT 'C' || r_regionkey, CASE WHEN r_regionkey < 2 THEN 'part of the supplied countries'
+  ELSE 'still has loaded records' END FROM region
 WHERE r_regionkey < 2 OR r_regionkey IN (SELECT n_regionkey FROM nation JOIN supplier ON s_nationkey = n_nationkey
   JOIN lineitem ON l_suppkey = s_suppkey)
 """)

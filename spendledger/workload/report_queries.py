@@ -11,11 +11,12 @@ from ..operators.classify import classification_rows, classify, run_stats
 from ..operators.dims import accounts, ministries
 from ..operators.harmonise import harmonise
 from ..operators.history import apply_decisions, current, merge_decisions, with_previous
-from ..operators.landing import project_canonical
+from ..operators.landing import RECORD_KEY, project_canonical
 from ..operators.quality import row_issues
 from ..plans import reports
 from ..plans.reports import RecordFilter
 from ..plans.views import classified_view, flatten_results, pivot_schemes, review_queue
+from ..session import stored
 from . import feeds
 from .answers import BUCKET, CLASSIFIED, LINES, MAPPED_CODES, REGISTER, SPLITS, with_
 from .ledger_queries import full_register
@@ -99,7 +100,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The analyst view over the stored layout: history rows pivoted, dimensions joined."""
     facts = feeds.ledger(spark, sf_dir)
     wide = facts.join(pivot_schemes(current(current_rows(spark, sf_dir))),
-                      ["country_code", "batch_id", "row_no", "child_pos"], "left")
+                      list(RECORD_KEY), "left")
     view = classified_view(wide, feeds.countries(spark, sf_dir), ministries(facts), accounts(facts),
                            feeds.labels(spark), feeds.labels(spark, feeds.SRHR_LABELS))
     return view.select("row_no", "country_name", "ministry_name", "account_code", "sha_code", "sha_description",
@@ -181,6 +182,7 @@ def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "array<struct<action:string,new_code:string,decision_no:int>>")
     return rows.select(
         F.concat(F.lit("C"), "n_regionkey").alias("country_code"), F.concat(F.lit("L-C"), "n_regionkey").alias("batch_id"),
+        F.lit("lineitem").alias("source_file"), F.lit("").alias("source_sheet"),
         feeds.line_position().alias("row_no"), F.lit(0).alias("child_pos"),
         F.explode(F.array(F.lit("SHA"), F.lit("SRHR"))).alias("scheme"), both.alias("both"),
         F.concat(F.lit("user"), F.col("l_orderkey") % 3).alias("reviewed_by"), F.lit("seen").alias("review_note"),
@@ -225,18 +227,30 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.pending_count(live, ["scheme", "country_code"])
 
 
-@query("review_queue", with_(CLASSIFIED, """
+_WAITING = """
 SELECT country_code, row_no, code, outcome, method, CAST(usd_cents AS DOUBLE) / 100 AS amount_usd FROM current_rows
 WHERE scheme = 'SHA' AND review_status = 'PENDING' AND (needs_review OR outcome = 'UNCLASSIFIED')
-ORDER BY usd_cents DESC NULLS LAST, country_code, batch_id, row_no LIMIT 500
-"""))
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = feeds.ledger(spark, sf_dir)
-    queue = review_queue(current_rows(spark, sf_dir), facts, accounts(facts))
-    return reports.review_page(queue, "SHA").select(
+"""
+
+
+def _waiting(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
+    """The ledger is parsed and classified once, written, and read back as facts and as results."""
+    done = stored(feeds.classified(spark, sf_dir), "classified")
+    queue = review_queue(classification_rows(done), done)
+    return reports.review_page(queue, "SHA", limit=limit).select(
         "country_code", "row_no", "code", "outcome", "method", F.col("amount_usd").cast("double").alias("amount_usd"))
 
 
+@query("review_queue", with_(CLASSIFIED, _WAITING))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _waiting(spark, sf_dir)
+
+
+@query("review_queue_top", with_(CLASSIFIED, _WAITING + "ORDER BY usd_cents DESC NULLS LAST, country_code, batch_id, row_no LIMIT 500"))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _waiting(spark, sf_dir, 500)
+
+
 # ------------------------------------------------------------------ reports
 
 @query("headline_kpis", with_(CLASSIFIED + """,
@@ -276,7 +290,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("sha_report", with_(CLASSIFIED, f"""
-SELECT {BUCKET} AS sha, CASE WHEN sha_outcome = 'ADMIN_INPUT' THEN 'Inputs with no determinable function (provisional HC.7)'
+SELECT {BUCKET} AS sha, CASE WHEN sha_outcome = 'ADMIN_INPUT' THEN 'Cost of inputs; function unknown, HC.7 for now'
     ELSE coalesce(l.description, sha_outcome) END AS description,
   count(*) AS records, CAST(sum(usd_cents) AS DOUBLE) / 100 AS total_usd
 FROM classified LEFT JOIN sha_labels l ON l.code = sha_code GROUP BY 1, 2
@@ -363,7 +377,7 @@ SELECT country_code, row_no, CAST(usd_cents AS DOUBLE) / 100 AS amount_usd FROM
 ORDER BY usd_cents DESC NULLS LAST, country_code, batch_id, row_no LIMIT 5000
 """))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.largest_records(flat(spark, sf_dir).where("is_countable")).select(
+    return reports.largest_records(flat(spark, sf_dir).where("is_countable"), 5000).select(
         "country_code", "row_no", F.col("amount_usd").cast("double").alias("amount_usd"))
 
 
