@@ -2,17 +2,20 @@
 from __future__ import annotations
 
 import sys
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The score travels with the query, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Labels compared in one pass.
+BLOCK = 5_000
+
 
 def _common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, by bit-parallel row updates."""
@@ -52,31 +55,87 @@ def token_set_ratio(left: str, right: str) -> float:
     return best
 
 
-def best_label(text: Column, labels: Sequence[str], threshold: float) -> Column:
-    """Struct(position, score) of the most similar label at or above ``threshold``, else NULL.
+class LabelIndex:
+    """Labels by word and by length, so that a text is scored against possible winners alone.
 
-    Rows whose text is NULL cost nothing in Python beyond the Arrow slot, repeated
-    texts are scored once per worker, and no shuffle is needed.  Ties go to the
-    earlier label.
+    A label that shares no word with the text can reach a threshold only if the lengths
+    are close: the score is at most twice the shorter length over the sum of both.
     """
-    choices = tuple(labels)
+
+    def __init__(self, labels: Sequence[str], threshold: float):
+        self.labels, self.threshold = list(labels), threshold
+        self.by_word: dict[str, list[int]] = {}
+        sized = []
+        for i, label in enumerate(self.labels):
+            words = set(label.split())
+            for w in words:
+                self.by_word.setdefault(w, []).append(i)
+            sized.append((len(" ".join(words)), i))
+        sized.sort()
+        self.lengths, self.order = [n for n, _ in sized], [i for _, i in sized]
+
+    def candidates(self, text: str) -> list[int]:
+        words = set(text.split())
+        found = {i for w in words for i in self.by_word.get(w, ())}
+        n, share = len(" ".join(words)), self.threshold / 100
+        ratio = share / (2 - share)
+        if n and ratio > 0:
+            at = slice(bisect_left(self.lengths, n * ratio), bisect_right(self.lengths, n / ratio))
+            found.update(self.order[at])
+        return sorted(found)
+
+    def best(self, text: str | None) -> tuple[int | None, float | None]:
+        """Position and score of the most similar label at or above the threshold; ties go to the earlier one."""
+        top, at = -1.0, None
+        for i in self.candidates(text) if text else ():
+            score = token_set_ratio(text, self.labels[i])
+            if score > top:
+                top, at = score, i
+        return (at, top) if at is not None and top >= self.threshold else (None, None)
+
+
+def best_label(text: Column, labels: Sequence[str], threshold: float) -> Column:
+    """Struct(position, score) of the most similar label at or above ``threshold``, else NULL."""
+    index = LabelIndex(labels, threshold)
 
     @F.pandas_udf("position int, score double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        @lru_cache(maxsize=200_000)
-        def best(value: str) -> tuple[int | None, float | None]:
-            top, at = -1.0, None
-            for i, label in enumerate(choices):
-                s = token_set_ratio(value, label)
-                if s > top:
-                    top, at = s, i
-            return (at, top) if at is not None and top >= threshold else (None, None)
-
         for series in batches:
-            found = [best(v) if v else (None, None) for v in series]
+            found = [index.best(v) for v in series]
             yield pd.DataFrame({
                 "position": pd.array([f[0] for f in found], dtype="Int32"),
                 "score": pd.array([f[1] for f in found], dtype="Float64"),
             })
 
     return score(text)
+
+
+def similar_labels(texts: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """``folded, code, label, score``: the most similar label of each distinct text that has one.
+
+    ``texts``: folded; ``labels``: code, folded.  Any number of labels: they are compared in
+    blocks of ``BLOCK``, one pass over the distinct texts for each, and the best of all
+    passes stays.  Ties go to the smaller code.
+    """
+    distinct = texts.where("folded <> ''").select("folded").distinct()
+    shape = "folded string, code string, label string, score double"
+    out, block = None, []
+
+    def compare(block: list) -> DataFrame:
+        codes, names = [c for c, _ in block], [n for _, n in block]
+        found = distinct.withColumn("best", best_label(F.col("folded"), names, threshold)).where("best.position IS NOT NULL")
+        at = F.col("best.position") + 1
+        return found.select("folded", F.element_at(F.array(*map(F.lit, codes)), at).alias("code"),
+                            F.element_at(F.array(*map(F.lit, names)), at).alias("label"), F.col("best.score").alias("score"))
+
+    rows = labels.where("code IS NOT NULL AND folded <> ''").groupBy("folded").agg(F.max("code").alias("code")).orderBy("code")
+    for r in rows.toLocalIterator():
+        block.append((r["code"], r["folded"]))
+        if len(block) == BLOCK:
+            out, block = compare(block) if out is None else out.unionByName(compare(block)), []
+    if block:
+        out = compare(block) if out is None else out.unionByName(compare(block))
+    if out is None:
+        return texts.sparkSession.createDataFrame([], shape)
+    best = out.groupBy("folded").agg(F.min_by(F.struct("code", "label", "score"), F.struct(-F.col("score"), "code")).alias("b"))
+    return best.select("folded", "b.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_RULES, Rule
 from ..functions.amounts import parse_amount
 from ..functions.dates import declared_date, fiscal_year_label, parse_date
-from ..functions.similarity import best_label
+from ..functions.similarity import similar_labels
 from ..functions.text import fold, matching_patterns, normalise_text
 from ..operators.classify import keyword_result
 from ..operators.currency import convert_to_usd
@@ -37,6 +37,18 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5("t").alias("folded_md5"), F.length("t").cast("long").alias("n_chars"))
 
 
+@query("fold_expanding", rf"""
+SELECT doc_id, md5(t) AS folded_md5, CAST(length(t) AS BIGINT) AS n_chars FROM (
+  SELECT doc_id, regexp_replace(lower(strip_accents(replace(text, 'e', 'e...'))) || ' 1⁄2 fi ss', '^{_BLANKS}+|{_BLANKS}+$', '', 'g') AS t
+  FROM documents)
+""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters that fold to several, in every document and many times over."""
+    text = F.concat(F.replace("text", F.lit("e"), F.lit("e…")), F.lit(" ½ ﬁ ss"))
+    docs = feeds.table(spark, sf_dir, "documents").select("doc_id", fold(text).alias("t"))
+    return docs.select("doc_id", F.md5("t").alias("folded_md5"), F.length("t").cast("long").alias("n_chars"))
+
+
 @query("guard_hits", r"""
 SELECT doc_id, CAST(n_hits AS INTEGER) AS n_hits FROM (
   SELECT doc_id, length(list_filter(
@@ -180,18 +192,49 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("o_orderkey", F.col("amount").cast("double").alias("amount"))
 
 
-_FUZZY_LABELS = ("small rings", "hot plates and gears", "old", "colder anvils", "widget blue", "new rod")
-
-
-@query("fuzzy_labels")
+_FUZZY_LABELS = ("small rings", "hot plates and gears", "old", "colder anvils", "widget blue", "new rod", "hotter gears", "bolds widgets")
+
+# The longest common subsequence of the words left on each side, one table cell for each step.
+_FUZZY_SQL = """
+WITH RECURSIVE names AS (SELECT lower(p_name) AS folded, count(*) AS n FROM part GROUP BY 1),
+labels AS (SELECT unnest([%s]) AS label),
+words AS (
+  SELECT folded, label, list_sort(list_distinct(string_split(folded, ' '))) AS a, list_sort(list_distinct(string_split(label, ' '))) AS b
+  FROM names, labels),
+parted AS (
+  SELECT folded, label, array_to_string(list_filter(a, lambda x: list_contains(b, x)), ' ') AS shared,
+         array_to_string(list_filter(a, lambda x: NOT list_contains(b, x)), ' ') AS l,
+         array_to_string(list_filter(b, lambda x: NOT list_contains(a, x)), ' ') AS r FROM words),
+texts AS (SELECT DISTINCT l, r FROM parted WHERE l <> '' AND r <> ''),
+cells AS (
+  SELECT l, r, 1 AS i, 1 AS j, list_transform(range(length(r) + 1), lambda x: CAST(0 AS BIGINT)) AS up, [CAST(0 AS BIGINT)] AS row FROM texts
+  UNION ALL
+  SELECT l, r, CASE WHEN j = length(r) THEN i + 1 ELSE i END, CASE WHEN j = length(r) THEN 1 ELSE j + 1 END,
+         CASE WHEN j = length(r) THEN list_append(row, cell) ELSE up END,
+         CASE WHEN j = length(r) THEN [CAST(0 AS BIGINT)] ELSE list_append(row, cell) END
+  FROM (SELECT *, CASE WHEN l[i] = r[j] THEN up[j] + 1 ELSE greatest(up[j + 1], row[j]) END AS cell FROM cells WHERE i <= length(l))),
+common AS (SELECT l, r, up[length(r) + 1] AS lcs FROM cells WHERE i = length(l) + 1 AND j = 1),
+measured AS (
+  SELECT folded, label, shared, l, r, length(shared) AS base, CASE WHEN shared = '' THEN 0 ELSE 1 END AS gap,
+         length(l) + length(r) - 2 * coalesce(lcs, 0) AS edits FROM parted LEFT JOIN common USING (l, r)),
+scored AS (
+  SELECT folded, label, CASE WHEN base > 0 AND (l = '' OR r = '') THEN 100.0 ELSE greatest(
+    100 - 100.0 * edits / (2 * (base + gap) + length(l) + length(r)),
+    CASE WHEN base > 0 THEN 100 - 100.0 * (gap + length(l)) / (2 * base + gap + length(l)) ELSE 0 END,
+    CASE WHEN base > 0 THEN 100 - 100.0 * (gap + length(r)) / (2 * base + gap + length(r)) ELSE 0 END) END AS score FROM measured),
+best AS (SELECT folded, label, score FROM scored WHERE score >= 78
+         QUALIFY row_number() OVER (PARTITION BY folded ORDER BY round(score, 9) DESC, label) = 1)
+SELECT folded, label, CAST(round(score, 6) AS DOUBLE) AS score, n FROM names LEFT JOIN best USING (folded)
+""" % ", ".join(f"'{x}'" for x in _FUZZY_LABELS)
+
+
+@query("fuzzy_labels", _FUZZY_SQL)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every part name against a label list; repeated names are scored once per worker."""
-    parts = feeds.table(spark, sf_dir, "part").select("p_partkey", fold(F.col("p_name")).alias("folded"))
-    scored = parts.withColumn("best", best_label(F.col("folded"), _FUZZY_LABELS, 88))
-    listed = F.element_at(F.array(*[F.lit(x) for x in _FUZZY_LABELS]), F.col("best.position") + 1)
-    label = F.when(F.col("best.score").isNotNull(), listed)
-    return scored.groupBy("folded", label.alias("label"), F.round("best.score", 6).alias("score")).agg(
-        F.count(F.lit(1)).alias("n"))
+    """Every distinct part name against a label list."""
+    parts = feeds.table(spark, sf_dir, "part").groupBy(fold(F.col("p_name")).alias("folded")).agg(F.count(F.lit(1)).alias("n"))
+    listed = spark.createDataFrame([(x, x) for x in _FUZZY_LABELS], "code string, folded string")
+    best = similar_labels(parts, listed, 78).select(F.col("folded").alias("_f"), "label", F.round("score", 6).alias("score"))
+    return parts.join(best, F.col("folded") == F.col("_f"), "left").select("folded", "label", "score", "n")
 
 
 @query("declared_formats_only", """

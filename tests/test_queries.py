@@ -1,4 +1,5 @@
 """Every registered query against its independent SQL answer on the smallest tables."""
+import random
 import sys
 from pathlib import Path
 
@@ -8,8 +9,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import __spark_entry__ as contract  # noqa: E402
 from compare import connect, difference  # noqa: E402
-from spendledger.functions.similarity import token_set_ratio  # noqa: E402
-from spendledger.workload.scalars import _FUZZY_LABELS  # noqa: E402
+from spendledger.functions.similarity import LabelIndex, token_set_ratio  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).is_dir(), reason="driver tables are not here")
@@ -29,15 +29,16 @@ def test_every_answer_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-def test_fuzzy_labels_by_brute_force(spark, con):
-    want = {}
-    for name, n in con.execute("SELECT lower(p_name), count(*) FROM part GROUP BY 1").fetchall():
-        scores = [token_set_ratio(name, label) for label in _FUZZY_LABELS]
-        best = max(scores)
-        hit = best >= 88
-        want[name] = (_FUZZY_LABELS[scores.index(best)] if hit else None, round(best, 6) if hit else None, n)
-    got = {r["folded"]: (r["label"], r["score"], r["n"]) for r in contract.queries()["fuzzy_labels"](spark, SF).collect()}
-    assert got == want and any(v[0] for v in want.values())
+def test_label_index_finds_the_plain_best():
+    rng = random.Random(4)
+    words = ["clinic", "clinics", "care", "maternal", "supply", "supplies", "of", "drugs", "drug", "fuel"]
+    labels = [" ".join(rng.sample(words, rng.randint(1, 4))) for _ in range(60)]
+    index = LabelIndex(labels, 80)
+    for _ in range(400):
+        text = " ".join(rng.sample(words, rng.randint(1, 5)))
+        scores = [token_set_ratio(text, x) for x in labels]
+        top = max(scores)
+        assert index.best(text) == ((scores.index(top), top) if top >= 80 else (None, None))
 
 
 def test_entry(spark):
