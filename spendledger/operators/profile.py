@@ -89,18 +89,30 @@ def amount_shapes(rows: DataFrame, column: str) -> DataFrame:
     ])))
 
 
+def _both_readings(rows: DataFrame, column: str, decimal_separator: str, suffixes: Sequence[str]) -> DataFrame:
+    parsed = parse_amount(rows, column, decimal_separator=decimal_separator, suffixes=suffixes, into="structural")
+    return parsed.withColumn("declared", declared_reading(F.col(column), decimal_separator, suffixes))
+
+
+_DISAGREE = "NOT (declared <=> structural)"
+
+
 def amount_readings(rows: DataFrame, column: str, decimal_separator: str, suffixes: Sequence[str],
                     group: Sequence[str] = ()) -> DataFrame:
-    """Total under the declared reading, total under the structural one, and values they disagree on."""
-    parsed = parse_amount(rows, column, decimal_separator=decimal_separator, suffixes=suffixes, into="_structural")
-    parsed = parsed.withColumn("_declared", declared_reading(F.col(column), decimal_separator, suffixes))
-    return parsed.groupBy(*group).agg(
-        F.sum("_declared").alias("declared_total"),
-        F.sum("_structural").alias("structural_total"),
-        F.count_if(~F.col("_declared").eqNullSafe(F.col("_structural"))).alias("n_disagree"),
+    """Total under the declared reading, total under the structural one, and how many values they disagree on."""
+    return _both_readings(rows, column, decimal_separator, suffixes).groupBy(*group).agg(
+        F.sum("declared").alias("declared_total"),
+        F.sum("structural").alias("structural_total"),
+        F.count_if(F.expr(_DISAGREE)).alias("n_disagree"),
     )
 
 
+def amount_disagreements(rows: DataFrame, column: str, decimal_separator: str, suffixes: Sequence[str]) -> DataFrame:
+    """Every row whose two readings differ, with both."""
+    return _both_readings(rows, column, decimal_separator, suffixes).where(_DISAGREE).select(
+        *rows.columns, "declared", "structural")
+
+
 def duplicates(rows: DataFrame, key: Sequence[str], row_key: Sequence[str]) -> DataFrame:
     """All rows whose key occurs more than once, with the number of occurrences."""
     repeated = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("occurrences")).where("occurrences > 1")
@@ -153,8 +165,8 @@ def currency_mix(rows: DataFrame, currency: str, amount: str) -> DataFrame:
 WORD = "[a-zA-Zàâçéèêëîïôûùüÿœ]+"
 
 
-def token_vocabulary(rows: DataFrame, text: str, top: int | None = 18, longer_than: int = 3) -> DataFrame:
-    """Lower-cased words longer than three letters with their counts; the most frequent ``top``."""
+def token_vocabulary(rows: DataFrame, text: str, top: int | None = None, longer_than: int = 3) -> DataFrame:
+    """Lower-cased words longer than three letters with their counts, or only the most frequent ``top``."""
     words = rows.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("word"))
     counted = words.where(F.length("word") > longer_than).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     ranked = counted.orderBy(F.desc("n"), "word")
@@ -172,21 +184,20 @@ def date_format_vote(rows: DataFrame, column: str) -> DataFrame:
                      F.max("votes").alias("votes"))
 
 
-def amount_convention_vote(rows: DataFrame, column: str, is_number: Column | None = None) -> DataFrame:
-    """Decimal separator most text values suggest, and the currency suffixes seen."""
-    text = F.col(column) if is_number is None else F.when(~is_number, F.col(column))
-    suffix = F.nullif(F.regexp_extract(text, r"(?U)\s([A-Z]{2,5})$", 1), F.lit(""))
-    reduced = rows.select(text.alias("_t"), suffix.alias("_s")).groupBy("_s").agg(
-        F.count_if(F.col("_t").rlike(r",\d{1,2}$")).alias("comma"),
-        F.count_if(F.col("_t").rlike(r"\.\d{1,2}$")).alias("dot"),
-    )
-    return reduced.agg(
-        F.sum("comma").alias("comma_decimals"),
-        F.sum("dot").alias("dot_decimals"),
-        F.array_join(F.array_sort(F.collect_set("_s")), ",").alias("suffixes"),
-    ).select(
-        F.when(F.col("comma_decimals") > F.col("dot_decimals"), ",").otherwise(".").alias("decimal_separator"),
-        "comma_decimals", "dot_decimals", "suffixes")
+def amount_convention_vote(rows: DataFrame, column: str, group: Sequence[str] = ()) -> DataFrame:
+    """Decimal separator most text values of each group suggest."""
+    text = F.col(column)
+    return rows.groupBy(*group).agg(
+        F.count_if(text.rlike(r",\d{1,2}$")).alias("comma_decimals"),
+        F.count_if(text.rlike(r"\.\d{1,2}$")).alias("dot_decimals"),
+    ).withColumn("decimal_separator", F.when(F.col("comma_decimals") > F.col("dot_decimals"), ",").otherwise("."))
+
+
+def amount_suffixes(rows: DataFrame, column: str, group: Sequence[str] = ()) -> DataFrame:
+    """The currency suffixes seen, a row for each with its count."""
+    suffix = F.nullif(F.regexp_extract(column, r"(?U)\s([A-Z]{2,5})$", 1), F.lit(""))
+    return rows.select(*group, suffix.alias("suffix")).where("suffix IS NOT NULL").groupBy(*group, "suffix").agg(
+        F.count(F.lit(1)).alias("n"))
 
 
 def code_overlap(rows: DataFrame, country: str, code: str) -> DataFrame:

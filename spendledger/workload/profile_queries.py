@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import profile
+from ..session import stored
 from . import feeds
 from .answers import LINES, with_
 from .registry import query
@@ -102,32 +103,63 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.amount_shapes(feeds.lines(spark, sf_dir), "amount")
 
 
-@query("amount_readings", with_(LINES, """
-SELECT country_code,
-  CAST(sum(CASE WHEN l_linenumber = 4 AND cents0 >= 100000 THEN cents0 // 100 / 1000.0 * 1000 ELSE
-       CASE WHEN l_linenumber IN (1, 3, 4, 5) THEN cents * 1000 WHEN l_linenumber = 6 THEN cents * 1000
-            WHEN l_linenumber = 2 AND cents0 < 100000 THEN cents * 1000 END / 100.0 END) AS DOUBLE) / 1000 AS declared_total,
-  CAST(sum(cents) AS DOUBLE) / 100 AS structural_total,
-  count_if((l_linenumber = 4 AND cents0 >= 100000) OR (l_linenumber = 2 AND cents0 >= 100000)) AS n_disagree
-FROM typed WHERE country_code = 'C2' GROUP BY 1
-"""))
+# Where the declared separator alone misreads: grouped digits, and a comma where a point is declared.
+_READINGS = """
+, read AS (SELECT *,
+  CASE WHEN l_linenumber = 2 AND cents0 >= 100000 OR l_linenumber = 3 AND country_code IN ('C0', 'C1', 'C4') THEN NULL
+       WHEN l_linenumber = 4 AND country_code = 'C2' AND cents0 >= 100000 THEN cents0 // 100
+       ELSE cents * 10 END AS milli,
+  l_linenumber = 2 AND cents0 >= 100000 OR l_linenumber = 3 AND country_code IN ('C0', 'C1', 'C4')
+    OR l_linenumber = 4 AND country_code = 'C2' AND cents0 >= 100000 AS differs FROM typed)
+"""
+
+
+def _by_source(spark: SparkSession, sf_dir: str, one) -> DataFrame:
+    """Each source's rows, rendered once, under the source's own conventions."""
+    rows, out = stored(feeds.lines(spark, sf_dir).select("country_code", "row_no", "amount"), "amounts"), None
+    for spec in feeds.SPECS:
+        part = one(rows.where(F.col("country_code") == spec.country_code), spec)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("amount_readings", with_(LINES, (_READINGS + """
+SELECT country_code, CAST(sum(milli) AS DOUBLE) / 1000 AS declared_total, CAST(sum(cents) AS DOUBLE) / 100 AS structural_total,
+  count_if(differs) AS n_disagree FROM read GROUP BY 1
+""").replace("\n, read", ", read", 1)))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What one declared separator would have cost: both readings of the same column."""
-    spec = feeds.SPECS[2]
-    rows = feeds.lines(spark, sf_dir).where(F.col("country_code") == spec.country_code)
-    found = profile.amount_readings(rows, "amount", spec.decimal_separator, spec.strip_suffixes, ["country_code"])
+    """What one declared separator would have cost: both readings of the same column, for every source."""
+    found = _by_source(spark, sf_dir, lambda rows, spec: profile.amount_readings(
+        rows, "amount", spec.decimal_separator, spec.strip_suffixes, ["country_code"]))
     return found.select("country_code", F.col("declared_total").cast("double").alias("declared_total"),
                         F.col("structural_total").cast("double").alias("structural_total"), "n_disagree")
 
 
+@query("amount_disagreements", with_(LINES, (_READINGS + """
+SELECT country_code, row_no, CAST(milli AS DOUBLE) / 1000 AS declared, CAST(cents AS DOUBLE) / 100 AS structural
+FROM read WHERE differs
+""").replace("\n, read", ", read", 1)))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values themselves on which the two readings differ."""
+    found = _by_source(spark, sf_dir, lambda rows, spec: profile.amount_disagreements(
+        rows, "amount", spec.decimal_separator, spec.strip_suffixes))
+    return found.select("country_code", "row_no", F.col("declared").cast("double").alias("declared"),
+                        F.col("structural").cast("double").alias("structural"))
+
+
 @query("amount_convention_vote", with_(LINES, """
 SELECT country_code, CASE WHEN count_if(l_linenumber = 3) > count_if(l_linenumber IN (1, 6)) THEN ',' ELSE '.' END AS decimal_separator,
-  count_if(l_linenumber = 3) AS comma_decimals, count_if(l_linenumber IN (1, 6)) AS dot_decimals, 'FCFA' AS suffixes
-FROM typed WHERE country_code = 'C2' GROUP BY 1
+  count_if(l_linenumber = 3) AS comma_decimals, count_if(l_linenumber IN (1, 6)) AS dot_decimals FROM typed GROUP BY 1
+"""))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.amount_convention_vote(feeds.lines(spark, sf_dir), "amount", ["country_code"])
+
+
+@query("amount_suffixes", with_(LINES, """
+SELECT country_code, 'FCFA' AS suffix, count(*) AS n FROM typed WHERE l_linenumber = 4 GROUP BY 1
 """))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = feeds.lines(spark, sf_dir).where("country_code = 'C2'")
-    return profile.amount_convention_vote(rows, "amount").select(F.lit("C2").alias("country_code"), "*")
+    return profile.amount_suffixes(feeds.lines(spark, sf_dir), "amount", ["country_code"])
 
 
 @query("duplicate_keys", """
@@ -203,7 +235,7 @@ UNION ALL SELECT source, word, n FROM (SELECT 'conversations' AS source, word, c
   WHERE length(word) > 3 GROUP BY ALL ORDER BY n DESC, word LIMIT 18)
 """)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [profile.token_vocabulary(feeds.table(spark, sf_dir, t), "text").select(F.lit(t).alias("source"), "word", "n")
+    parts = [profile.token_vocabulary(feeds.table(spark, sf_dir, t), "text", top=18).select(F.lit(t).alias("source"), "word", "n")
              for t in ("documents", "conversations")]
     return parts[0].unionByName(parts[1])
 
