@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_ignoring_case
@@ -105,9 +105,20 @@ def srhr_by_country(view: DataFrame, outside: str = "SRHR.NA") -> DataFrame:
         money(F.sum("amount_usd")).alias("usd"), F.count(F.lit(1)).alias("records"))
 
 
-def by_ministry(view: DataFrame) -> DataFrame:
-    return view.groupBy("country_code", F.coalesce("ministry_name", F.lit("(not given)")).alias("ministry")).agg(
-        F.count(F.lit(1)).alias("records"), money(F.sum("amount_usd")).alias("total_usd"))
+def by_ministry(facts: DataFrame, ministries: DataFrame) -> DataFrame:
+    """Totals by ministry: reduced on the code before the dimension names it.
+
+    A record with neither code nor name belongs to no ministry.
+    """
+    named = F.col("ministry_code").isNotNull() | F.col("ministry_name").isNotNull()
+    reduced = facts.where("is_countable").groupBy("country_code", "ministry_code", named.alias("named")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("amount_usd").alias("usd"))
+    names = ministries.withColumnRenamed("ministry_name", "_name").withColumn("named", F.lit(True))
+    joined = reduced.alias("r").join(
+        names.alias("m"), (F.col("r.country_code") == F.col("m.country_code"))
+        & F.col("r.ministry_code").eqNullSafe(F.col("m.ministry_code")) & (F.col("r.named") == F.col("m.named")), "left")
+    return joined.groupBy("r.country_code", F.coalesce("_name", F.lit("(not given)")).alias("ministry")).agg(
+        F.sum("n").alias("records"), money(F.sum("usd")).alias("total_usd"))
 
 
 def how_classified(current_rows: DataFrame) -> DataFrame:
@@ -183,19 +194,19 @@ def largest_records(selected: DataFrame, limit: int | None = None, row_key: Sequ
 
 
 def largest_per_country(view: DataFrame, row_key: Sequence[str] = RECORD_KEY) -> DataFrame:
-    """Each country's largest record, kept as one candidate per task rather than sorted."""
+    """Each country's largest record (ties to the first record key), one candidate for each task, never sorted."""
     rest = [c for c in view.columns if c != "country_code"]
-    rank = F.struct(
-        F.coalesce(F.col("amount_usd"), F.lit("-999999999999999999").cast("decimal(24,2)")).alias("usd"),
-        F.when(F.col("amount_usd").isNull(), 0).otherwise(1).alias("known"),
-    )
-    top = view.groupBy("country_code").agg(
-        F.max_by(F.struct(*rest), F.struct(rank["known"], rank["usd"], *[
-            -F.col(c) if view.schema[c].dataType.typeName() in ("integer", "long") else F.col(c)
-            for c in row_key if c != "country_code"])).alias("_top"))
+    rank = F.struct(F.col("amount_usd").isNull().alias("unknown"), (-F.col("amount_usd")).alias("usd"),
+                    *[c for c in row_key if c != "country_code"])
+    top = view.groupBy("country_code").agg(F.min_by(F.struct(*rest), rank).alias("_top"))
     return top.select("country_code", "_top.*").select(*view.columns)
 
 
+def in_date_order(selected: DataFrame, row_key: Sequence[str] = RECORD_KEY) -> DataFrame:
+    """A search result as it is exported: by country and date, then by record."""
+    return selected.orderBy("country_code", F.col("txn_date").asc_nulls_first(), *row_key)
+
+
 def filter_values(view: DataFrame) -> DataFrame:
     """Distinct values the search offers, as ``filter_name, value``."""
     choices = F.array(
@@ -323,7 +334,16 @@ def issues_by_rule(issues: DataFrame) -> DataFrame:
 
 
 def issues_by_severity(issues: DataFrame) -> DataFrame:
-    return issues.groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("rule_code").alias("rules"))
+    """Gravest first."""
+    found = issues.groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("rule_code").alias("rules"))
+    return found.orderBy(severity_rank())
+
+
+def issues_ranked(issues: DataFrame) -> DataFrame:
+    """Rules by severity and then by number of findings, with their place from 1."""
+    found = issues.groupBy("rule_code", "severity").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.orderBy(severity_rank(), F.desc("n"), "rule_code")  # one row for each rule
+    return found.select(F.row_number().over(order).alias("place"), "rule_code", "severity", "n")
 
 
 def rule_catalogue(catalogue: DataFrame, issues: DataFrame) -> DataFrame:

@@ -25,7 +25,8 @@ from ..plans.load import batch_close_issues, control_totals, last_total
 from ..session import scratch_path, stored
 from ..sources.delimited import read_delimited
 from ..sources.grid import grid_records
-from ..sources.json_records import read_json_lines
+from ..sources.json_records import read_json_lines, source_metadata, stage_json
+from ..sources.reference import read_countries, read_scheme
 from ..sources.warehouse import Warehouse, export_csv
 from . import feeds
 from .answers import LINES, REGISTER, SPLITS, with_
@@ -123,6 +124,7 @@ def order_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = per_file.select("source_file", F.lit("Orders").alias("source_sheet"), F.inline(F.array(
         line(F.lit(1), "Report", None, "", None),
         line(F.lit(4), "ID ", "day", "Priority", "amount"),
+        line(F.lit(5), "TOTAL", None, None, "999999999,00"),  # carried forward from elsewhere: the last total counts
         line(F.col("last") + 11, "", " ", None, None),
         line(F.col("last") + 12, " Total", None, None, feeds.amount_text(printed, F.lit(3))),
     )))
@@ -136,7 +138,7 @@ _GRID_SPEC = SourceSpec(
 
 
 @query("control_total", """
-SELECT o_orderstatus || '.grid' AS source_file, count(*) + 1 AS rows_read, count(*) AS rows_staged,
+SELECT o_orderstatus || '.grid' AS source_file, count(*) + 2 AS rows_read, count(*) AS rows_staged,
        CAST(sum(c) + CASE WHEN o_orderstatus = 'P' THEN 12345 ELSE 0 END AS DOUBLE) / 100 AS control_total,
        CAST(sum(c) AS DOUBLE) / 100 AS loaded_total,
        CASE WHEN o_orderstatus = 'P' THEN -123.45 ELSE 0.0 END AS difference, o_orderstatus = 'P' AS mismatch
@@ -164,6 +166,47 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("raised", F.lit(False)).alias("mismatch"))
 
 
+@query("json_documents", """
+SELECT count(*) AS records, count(*) AS declared, count_if(CAST(o_orderdate AS DATE) > DATE '1997-01-01') AS after_extraction,
+       CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS total FROM orders
+""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in many JSON documents, each with a metadata block that counts its own records."""
+    entry = F.struct(F.col("o_orderkey").alias("no"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
+                     F.col("o_totalprice").cast("decimal(18,2)").alias("value"))
+    docs = feeds.table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 40).alias("doc")).agg(F.collect_list(entry).alias("entries"))
+    about = F.struct(F.size("entries").alias("recordCount"), F.lit("1997-01-01T08:00:00Z").alias("takenAt"))
+    path = scratch_path(spark, "documents-json")
+    docs.select("doc", F.to_json(F.struct(about.alias("about"), F.struct("entries").alias("body"))).alias("value")).write.partitionBy("doc").text(path)
+    spec = SourceSpec("C1", reader="json", records_path="body.entries", metadata_path="about", metadata_extracted_at="takenAt",
+                      currency="USD", date_formats=("%Y-%m-%d",), field_map={"source_record_id": "no", "txn_date": "day", "amount": "value"})
+    meta = source_metadata(spark, path, spec)
+    canonical = project_canonical(stage_json(spark, path, spec, "B1", _AT), [spec]).join(meta.select("source_file", "extracted_on"), "source_file")
+    rows = harmonise(canonical, [spec], feeds.fx(spark))
+    return rows.agg(
+        F.count(F.lit(1)).alias("records"), F.count_if("after_extraction").alias("after_extraction"),
+        F.sum("amount_original").cast("double").alias("total"),
+    ).select("records", meta.agg(F.sum("declared_records")).scalar().alias("declared"), "after_extraction", "total")
+
+
+@query("reference_lists", """
+SELECT r_name AS name, 'HC.' || r_regionkey AS code, CASE WHEN r_regionkey % 2 = 0 THEN 'note, ' || r_name END AS notes FROM region
+""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A country list and a code list written as CSV and read as references; a repeated code keeps its last row."""
+    region = feeds.table(spark, sf_dir, "region")
+    code, path = F.concat(F.lit("HC."), "r_regionkey"), scratch_path(spark, "lists")
+    rows = region.select(code.alias("sha_code"), F.lit("old").alias("sha_description"), F.lit("x").alias("notes")).unionByName(
+        region.select(code.alias("sha_code"), F.col("r_name").alias("sha_description"),
+                      F.when(F.col("r_regionkey") % 2 == 0, F.concat(F.lit("note, "), "r_name")).alias("notes")))
+    export_csv(rows.orderBy(F.col("sha_description") != "old").coalesce(1), f"{path}/schemes")
+    export_csv(region.select(code.alias("country_code"), F.col("r_name").alias("country_name"), F.lit("USD").alias("primary_currency")),
+               f"{path}/countries")
+    scheme = read_scheme(spark, f"{path}/schemes", "sha")
+    return scheme.join(read_countries(spark, f"{path}/countries"), F.col("code") == F.col("country_code")).where(
+        "country_name = description").select(F.col("country_name").alias("name"), "code", "notes")
+
+
 @query("declared_count", """
 SELECT o_orderstatus AS batch_id, count(*) AS rows_staged,
        count(*) + CASE WHEN o_orderstatus = 'F' THEN 3 ELSE 0 END AS declared_records,

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.canonical import canonicalise
@@ -11,12 +11,15 @@ from ..operators.classify import classification_rows, classify, run_stats
 from ..operators.dims import accounts, ministries
 from ..operators.harmonise import harmonise
 from ..operators.history import apply_decisions, current, merge_decisions, with_previous
-from ..operators.landing import RECORD_KEY, project_canonical
+from ..config import SourceSpec
+from ..operators.landing import RECORD_KEY, project_canonical, stage
 from ..operators.quality import row_issues
 from ..plans import reports
 from ..plans.reports import RecordFilter
 from ..plans.views import classified_view, flatten_results, pivot_schemes, review_queue
-from ..session import stored
+from ..session import scratch_path, stored
+from ..sources.delimited import read_delimited
+from ..sources.warehouse import export_csv
 from . import feeds
 from .answers import BUCKET, CLASSIFIED, LINES, MAPPED_CODES, REGISTER, SPLITS, with_
 from .ledger_queries import full_register
@@ -336,17 +339,8 @@ FROM typed t LEFT JOIN names n ON n.country_code = t.country_code AND n.ministry
   AND (t.ministry_code IS NOT NULL OR t.ministry_name IS NOT NULL) GROUP BY ALL
 """))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals per ministry: reduced on the code before the dimension names it."""
-    facts = feeds.ledger(spark, sf_dir).where("is_countable")
-    named = F.col("ministry_code").isNotNull() | F.col("ministry_name").isNotNull()
-    reduced = facts.groupBy("country_code", "ministry_code", named.alias("named")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("amount_usd").alias("usd"))
-    names = ministries(facts).withColumnRenamed("ministry_name", "_name").withColumn("named", F.lit(True))
-    joined = reduced.alias("r").join(
-        names.alias("m"), (F.col("r.country_code") == F.col("m.country_code"))
-        & F.col("r.ministry_code").eqNullSafe(F.col("m.ministry_code")) & (F.col("r.named") == F.col("m.named")), "left")
-    return joined.groupBy("r.country_code", F.coalesce("_name", F.lit("(not given)")).alias("ministry")).agg(
-        F.sum("n").alias("records"), reports.money(F.sum("usd")).alias("total_usd"))
+    facts = stored(feeds.ledger(spark, sf_dir), "harmonised")
+    return reports.by_ministry(facts, ministries(facts))
 
 
 _WANT = RecordFilter(country="C2", review="awaiting", text="aNVil", date_from=date(1996, 6, 1), date_to=date(2000, 6, 30))
@@ -382,11 +376,61 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("largest_per_country", with_(LINES, """
-SELECT country_code, CAST(max(usd_cents) AS DOUBLE) / 100 AS amount_usd FROM typed GROUP BY 1
+SELECT country_code, row_no, CAST(usd_cents AS DOUBLE) / 100 AS amount_usd FROM typed
+QUALIFY row_number() OVER (PARTITION BY country_code ORDER BY usd_cents DESC NULLS LAST, batch_id, row_no) = 1
 """))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.largest_per_country(feeds.ledger(spark, sf_dir).where("is_countable")).select(
-        "country_code", F.col("amount_usd").cast("double").alias("amount_usd"))
+        "country_code", "row_no", F.col("amount_usd").cast("double").alias("amount_usd"))
+
+
+@query("records_export", with_(LINES, """
+SELECT row_number() OVER (ORDER BY country_code, txn_date NULLS FIRST, batch_id, row_no) AS place, country_code, row_no,
+       CAST(txn_date AS VARCHAR) AS txn_date FROM typed WHERE description ILIKE '%anvil%'
+"""))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole search result written as CSV in country and date order, and read back in the order of the files."""
+    found = reports.search_records(feeds.ledger(spark, sf_dir).where("is_countable"), RecordFilter(text="anvil"))
+    path = scratch_path(spark, "export")
+    export_csv(reports.in_date_order(found).select("country_code", F.col("row_no").alias("record"), "txn_date"), path)
+    rows = read_delimited(spark, path, SourceSpec("", multiline=True))
+    files = rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("n")).selectExpr(
+        "source_file", "coalesce(sum(n) OVER (ORDER BY source_file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before")
+    return rows.join(files, "source_file").select(
+        (F.col("before") + F.col("row_no") - 1).alias("place"), "country_code", F.col("record").alias("row_no"),
+        F.nullif("txn_date", F.lit("")).alias("txn_date"))
+
+
+@query("record_identity", """
+SELECT count(*) AS records, 2 * count(*) AS current_rows, count_if(o_orderkey % 7 = 0) AS issues,
+       count_if(o_orderkey % 7 = 0) AS positions FROM orders
+""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row numbers start anew in each sheet of each file: every record stays its own through all steps."""
+    within = Window.partitionBy("o_orderstatus", "o_orderpriority").orderBy("o_orderkey")
+    orders = feeds.table(spark, sf_dir, "orders")
+    amount = F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+    records = orders.select(
+        F.col("o_orderstatus").alias("source_file"), F.col("o_orderpriority").alias("source_sheet"),
+        (F.row_number().over(within) + 1).cast("long").alias("row_no"), F.col("o_orderkey").cast("string").alias("id"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.lit("Order").alias("text"), amount.alias("amount"))
+    spec = SourceSpec("C1", currency="USD", date_formats=("%Y-%m-%d",), field_map={
+        "source_record_id": "id", "txn_date": "day", "description": "text", "amount": "amount"})
+    rows = stored(harmonise(project_canonical(stage(records, spec, "B1", _AT), [spec]), [spec], feeds.fx(spark)), "records")
+    live = current(classification_rows(classify(rows, feeds.mapping(spark), feeds.RULES)))
+    found = reports.issue_positions(row_issues(rows, [spec], _AT))
+    own = found.join(rows.select(*RECORD_KEY), list(RECORD_KEY))
+    return rows.select(*RECORD_KEY).distinct().agg(F.count(F.lit(1)).alias("records")).select(
+        "records", live.agg(F.count(F.lit(1))).scalar().alias("current_rows"), found.agg(F.count(F.lit(1))).scalar().alias("issues"),
+        own.agg(F.count(F.lit(1))).scalar().alias("positions"))
+
+
+@query("dq_ranked", with_(REGISTER, """
+SELECT row_number() OVER (ORDER BY CASE severity WHEN 'ERROR' THEN 1 WHEN 'WARN' THEN 2 ELSE 3 END, count(*) DESC, rule_code) AS place,
+       rule_code, severity, count(*) AS n FROM register GROUP BY rule_code, severity
+"""))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.issues_ranked(full_register(spark, sf_dir))
 
 
 @query("filter_values", with_(CLASSIFIED, f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT_RULES, Rule
+from ..config import DEFAULT_RULES, Rule, RuleSet
 from ..functions.amounts import parse_amount
 from ..functions.dates import declared_date, fiscal_year_label, parse_date
 from ..functions.similarity import similar_labels
@@ -72,7 +72,7 @@ _DOC_RULES = (
 )
 
 
-@query("keyword_first_match", r"""
+_FIRST_MATCH = r"""
 SELECT doc_id, CASE r WHEN 'D-FR' THEN 'FR' WHEN 'D-DE' THEN 'DE' WHEN 'D-EN' THEN 'EN' END AS code,
        CASE WHEN r = 'D-NUM' THEN 'CAPITAL' WHEN r IS NOT NULL THEN 'CLASSIFIED' END AS outcome, r AS rule_id,
        CAST(CASE WHEN r = 'D-EN' THEN 0.9 WHEN r IS NOT NULL THEN 0.7 END AS DOUBLE) AS confidence
@@ -81,13 +81,28 @@ FROM (SELECT doc_id, CASE WHEN regexp_matches(t, '\b(que|les|des)\b') THEN 'D-FR
              WHEN regexp_matches(t, '\b(the|and|of)\b.*\b(to|in|is)\b') THEN 'D-EN'
              WHEN regexp_matches(t, '\b[0-9]{4,}\b') THEN 'D-NUM' END AS r
       FROM (SELECT doc_id, lower(strip_accents(text)) AS t FROM documents))
-""")
+"""
+
+
+@query("keyword_first_match", _FIRST_MATCH)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = feeds.table(spark, sf_dir, "documents").select("doc_id", fold(F.col("text")).alias("folded"))
     return docs.select("doc_id", keyword_result(F.col("folded"), _DOC_RULES, 0.7).alias("r")).select(
         "doc_id", "r.code", "r.outcome", "r.rule_id", "r.confidence")
 
 
+@query("rules_from_tables", _FIRST_MATCH)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rules kept in tables."""
+    listed = spark.createDataFrame(
+        [("SHA", k, r.id, r.pattern, r.code, r.outcome, r.confidence, r.note) for k, r in enumerate(_DOC_RULES)],
+        "scheme string, position int, id string, pattern string, code string, outcome string, confidence double, note string")
+    rules = RuleSet.from_tables(listed, spark.createDataFrame([], "position int, pattern string"))
+    docs = feeds.table(spark, sf_dir, "documents").select("doc_id", fold(F.col("text")).alias("folded"))
+    return docs.select("doc_id", keyword_result(F.col("folded"), rules.sha, rules.default_confidence).alias("r")).select(
+        "doc_id", "r.code", "r.outcome", "r.rule_id", "r.confidence")
+
+
 @query("parse_amount_shapes", with_(LINES, """
 SELECT row_no, CAST(cents AS DOUBLE) / 100 AS amount, amount_problem AS problem FROM typed
 """))
