@@ -9,7 +9,9 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+from .session import values_table
 
 # Canonical field names a source's columns are mapped to.
 CANONICAL_FIELDS = (
@@ -247,23 +249,21 @@ def fx_table(spark: SparkSession, rates: Mapping[str, float] | None = None,
 
     rows = [(c.upper(), Decimal(str(r)), rate_source)
             for c, r in (DEFAULT_RATES if rates is None else rates).items() if r]
-    return spark.createDataFrame(rows, "currency string, rate decimal(18,6), rate_source string")
+    return values_table(spark, rows, "currency string, rate decimal(18,6), rate_source string")
 
 
 def mapping_table(spark: SparkSession, mapping: Mapping[str, Mapping[str, Mapping]]) -> DataFrame:
     """Account mapping ``{country: {account: entry}}`` as a reference table."""
     rows = [
-        Row(country_code=country, account_code=str(code).strip(), label=e.get("label"),
-            outcome=e.get("outcome", "CLASSIFIED"), sha=e.get("sha"), srhr=e.get("srhr"),
-            confidence=float(e.get("confidence", 0.9)), needs_review=bool(e.get("needs_review", False)),
-            note=e.get("note"))
+        (country, str(code).strip(), e.get("label"), e.get("outcome", "CLASSIFIED"), e.get("sha"), e.get("srhr"),
+         float(e.get("confidence", 0.9)), bool(e.get("needs_review", False)), e.get("note"))
         for country, codes in mapping.items() for code, e in (codes or {}).items() if e
     ]
-    return spark.createDataFrame(rows, MAPPING_SCHEMA)
+    return values_table(spark, rows, MAPPING_SCHEMA)
 
 
 def catalogue_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(RULE_CATALOGUE), "rule_code string, severity string, stage string")
+    return values_table(spark, RULE_CATALOGUE, "rule_code string, severity string, stage string")
 
 
 def load_yaml(path: str) -> dict:

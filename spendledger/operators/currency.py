@@ -1,8 +1,6 @@
 """Currency conversion against a rate table."""
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +17,6 @@ def usd_amount(amount: Column, rate: Column) -> Column:
 def with_rates(
     rows: DataFrame,
     fx: DataFrame,
-    row_key: Sequence[str],
     currency: str = "currency_original",
 ) -> DataFrame:
     """Add ``_rate`` and ``_rate_source`` of each row's currency; NULL where there is none."""
@@ -27,7 +24,7 @@ def with_rates(
         F.upper("currency").alias("_ccy"), F.col("rate").alias("_rate"),
         F.col("rate_source").alias("_rate_source"))
     keyed = rows.withColumn("_ccy", F.upper(currency))
-    return reference_lookup(keyed, rates, ["_ccy"], row_key).drop("_ccy")
+    return reference_lookup(keyed, rates, ["_ccy"]).drop("_ccy")
 
 
 def apply_rates(rows: DataFrame, amount: str = "amount_original") -> DataFrame:
@@ -43,9 +40,8 @@ def apply_rates(rows: DataFrame, amount: str = "amount_original") -> DataFrame:
 def convert_to_usd(
     rows: DataFrame,
     fx: DataFrame,
-    row_key: Sequence[str],
     amount: str = "amount_original",
     currency: str = "currency_original",
 ) -> DataFrame:
     """Add ``amount_usd, fx_rate, fx_rate_source``; NULL where amount, currency or rate is missing."""
-    return apply_rates(with_rates(rows, fx, row_key, currency), amount)
+    return apply_rates(with_rates(rows, fx, currency), amount)

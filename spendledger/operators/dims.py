@@ -122,8 +122,7 @@ def override_countries(countries: DataFrame, overrides: DataFrame) -> DataFrame:
     )
 
 
-def with_dimensions(facts: DataFrame, ministries_dim: DataFrame, accounts_dim: DataFrame,
-                    row_key: Sequence[str]) -> DataFrame:
+def with_dimensions(facts: DataFrame, ministries_dim: DataFrame, accounts_dim: DataFrame) -> DataFrame:
     """Replace the names given on the rows by the dimensions' names (NULL codes match each other)."""
     ministry = ministries_dim.select(
         "country_code", F.coalesce("ministry_code", F.lit("\x00")).alias("_ministry"),
@@ -131,6 +130,6 @@ def with_dimensions(facts: DataFrame, ministries_dim: DataFrame, accounts_dim: D
     account = accounts_dim.select("country_code", "account_code", "account_label")
     named = F.col("ministry_code").isNotNull() | F.col("ministry_name").isNotNull()
     rows = facts.withColumn("_ministry", F.when(named, F.coalesce("ministry_code", F.lit("\x00"))))
-    rows = reference_lookup(rows, ministry, ["country_code", "_ministry"], row_key)
+    rows = reference_lookup(rows, ministry, ["country_code", "_ministry"])
     rows = rows.withColumn("ministry_name", F.col("_ministry_name")).drop("_ministry", "_ministry_name")
-    return reference_lookup(rows, account, ["country_code", "account_code"], row_key)
+    return reference_lookup(rows, account, ["country_code", "account_code"])

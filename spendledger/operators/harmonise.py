@@ -61,7 +61,7 @@ def harmonise(
         F.col("txn_date").alias("date_raw"),
         *optional,
     )
-    rated = with_rates(texts, fx, RECORD_KEY[:-1])
+    rated = with_rates(texts, fx)
 
     raw_amount, raw_day = F.col("amount_raw"), F.col("date_raw")
     parsed = parse_amount(

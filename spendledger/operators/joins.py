@@ -6,15 +6,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-REFERENCE_ROWS = 100_000
 SALTS = 16
 
 
-def is_small(table: DataFrame, max_rows: int = REFERENCE_ROWS) -> bool:
-    """Whether a table holds at most ``max_rows`` rows, reading no further than that."""
-    return table.limit(max_rows + 1).count() <= max_rows
-
-
 def row_salt(row_key: Sequence[str | Column], salts: int = SALTS) -> Column:
     """A salt that depends on the row alone, so a recomputed task repeats it."""
     return F.pmod(F.xxhash64(*row_key), F.lit(salts)).cast("int")
@@ -37,15 +31,11 @@ def salted_lookup(
     return keyed.join(spread, [*on, "_salt"], how).drop("_salt")
 
 
-def reference_lookup(
-    rows: DataFrame,
-    table: DataFrame,
-    on: Sequence[str],
-    row_key: Sequence[str],
-    how: str = "left",
-    max_rows: int = REFERENCE_ROWS,
-) -> DataFrame:
-    """Join to a reference table: broadcast when counted small, salted shuffle otherwise."""
-    if is_small(table, max_rows):
-        return rows.join(F.broadcast(table), list(on), how)
-    return salted_lookup(rows, table, on, row_key, how)
+def reference_lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Join to a reference table, leaving the way to Spark.
+
+    A table of configured values has a known size in bytes and is broadcast when it is
+    below Spark's own threshold; anything else is shuffled, unless its shuffled size turns
+    out to be small, and skewed keys are split at run time.  Nothing is counted beforehand.
+    """
+    return rows.join(table, list(on), how)

@@ -48,17 +48,15 @@ def classified_view(
     accounts: DataFrame,
     sha_labels: DataFrame,
     srhr_labels: DataFrame,
-    row_key: Sequence[str] = RECORD_KEY,
 ) -> DataFrame:
     """Countable records with both schemes and every label; the table behind all totals."""
     rows = facts_with_schemes.where("is_countable")
-    rows = reference_lookup(rows, countries.select("country_code", "country_name"), ["country_code"],
-                            row_key, how="inner")
-    rows = with_dimensions(rows, ministries, accounts, row_key)
+    rows = reference_lookup(rows, countries.select("country_code", "country_name"), ["country_code"], how="inner")
+    rows = with_dimensions(rows, ministries, accounts)
     for name, labels in (("sha", sha_labels), ("srhr", srhr_labels)):
         described = labels.select(F.col("code").alias(f"{name}_code"),
                                   F.col("description").alias(f"{name}_description"))
-        rows = reference_lookup(rows, described, [f"{name}_code"], row_key)
+        rows = reference_lookup(rows, described, [f"{name}_code"])
     return rows
 
 
@@ -73,7 +71,7 @@ def review_queue(current_rows: DataFrame, facts: DataFrame, accounts: DataFrame
     if accounts is None:
         return queue
     labels = accounts.select("country_code", "account_code", "account_label")
-    return reference_lookup(queue, labels, ["country_code", "account_code"], key)
+    return reference_lookup(queue, labels, ["country_code", "account_code"])
 
 
 def sha_bucket(code: str = "sha_code", outcome: str = "sha_outcome") -> Column:

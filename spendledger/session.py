@@ -3,8 +3,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def local_session(app: str = "spendledger", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -23,6 +26,13 @@ def local_session(app: str = "spendledger", cores: str = "*", shuffle_partitions
     )
 
 
+def values_table(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
+    """Configured values as a table whose size the planner knows, unlike one made from Python rows."""
+    schema = StructType.fromDDL(ddl)
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return spark.createDataFrame(pa.table({f.name: list(c) for f, c in zip(schema, columns)}), schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 

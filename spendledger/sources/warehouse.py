@@ -9,7 +9,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import REFERENCE_ROWS, is_small
 
 LOADED_TABLES = ("staged", "facts", "issues", "classification")
 
@@ -44,8 +43,6 @@ class Warehouse:
             return rows
         live = self.spark.read.parquet(self.path("batches")).select(
             F.col("country_code").alias("_c"), F.col("batch_id").alias("_b")).distinct()
-        if is_small(live, REFERENCE_ROWS):
-            live = F.broadcast(live)
         is_live = (rows.country_code == live._c) & (rows.batch_id == live._b)
         kept = rows.join(live, is_live, "left_semi")
         if table == "issues":

@@ -15,6 +15,7 @@ from ..config import DEFAULT_RULES, Rule, RuleSet, SourceSpec, fx_table, mapping
 from ..operators.canonical import canonicalise
 from ..operators.classify import classify
 from ..operators.harmonise import harmonise
+from ..session import values_table
 
 _FIELDS = {
     "source_record_id": "id", "txn_date": "day", "ministry_code": "ministry", "ministry_name": "ministry_name",
@@ -74,7 +75,7 @@ def fx(spark: SparkSession) -> DataFrame:
 
 
 def labels(spark: SparkSession, rows=SHA_LABELS) -> DataFrame:
-    return spark.createDataFrame(list(rows), "code string, description string")
+    return values_table(spark, rows, "code string, description string")
 
 
 def mapping(spark: SparkSession) -> DataFrame:

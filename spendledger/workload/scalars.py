@@ -175,7 +175,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = feeds.table(spark, sf_dir, "orders").select(
         "o_orderkey", F.col("o_totalprice").cast("decimal(24,6)").alias("amount_original"),
         ccy.alias("currency_original"))
-    return convert_to_usd(rows, feeds.fx(spark), ["o_orderkey"]).select(
+    return convert_to_usd(rows, feeds.fx(spark)).select(
         "o_orderkey", F.col("amount_usd").cast("double").alias("usd"))
 
 
