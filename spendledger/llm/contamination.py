@@ -94,7 +94,9 @@ class Items:
         s = rolling(h, width)
         coarse = self.coarse[width]
         at = np.flatnonzero(coarse[(s & np.uint64(len(coarse) - 1)).astype(np.int64)])
-        return at[np.isin(s[at], self.vocabulary[width])] if len(at) else at
+        known = self.vocabulary[width]
+        place = np.minimum(np.searchsorted(known, s[at]), len(known) - 1)
+        return at[known[place] == s[at]]
 
     def find(self, text: str, similarity: float = SIMILARITY) -> list[tuple[int, int, int, float]]:
         """``(item_id, first word, words, share)`` of each item found, by its best window."""
@@ -126,9 +128,8 @@ class Items:
                     near = np.zeros((len(windows), len(prints)), bool)
                     for (shift, mask), table in zip(self.blocks, tables, strict=True):
                         near |= table[(windows >> shift & mask).astype(np.int64)]
+                    near &= np.bitwise_count(windows[:, None] ^ prints) <= self.radius
                     for w, k in zip(*np.nonzero(near), strict=True):
-                        if int(windows[w] ^ prints[k]).bit_count() > self.radius:
-                            continue
                         item_id, weights = items[k]
                         start = first + int(w)
                         own = self._weighted(words[start:start + size], h[start:start + size], width)
