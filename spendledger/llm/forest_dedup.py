@@ -9,13 +9,15 @@ a region of it; sets as alike as 0.85 share a region of some tree but for 1 in 1
 2. In each region, the classes that follow each other in sorted order share the longest
    prefix; those pairs are verified on the full sets, and the links found are contracted
    to components.
-3. Regions that still hold several components give all pairs of classes between
-   different components.  A region with too many classes for that is cut at a deeper
-   prefix, again and again: depth adapts to the density of the region.
+3. Regions that still hold several components are compared in full between their
+   components: small ones pair by pair, larger ones block against block inside a task,
+   where a block pair gives at most one link for two components.  A region with too many
+   classes for that is cut at a deeper prefix, again and again: depth adapts to the
+   density of the region.
 4. The links of both rounds give the components.
 
-A group of near copies, however large, is joined by its sorted neighbours in step 2 and
-leaves nothing for step 3, so no step makes all pairs of a group.
+Near copies that are alike enough are joined by their sorted neighbours in step 2 and
+leave nothing for step 3; no step emits all pairs of a group.
 """
 from __future__ import annotations
 
@@ -45,7 +47,11 @@ HASHES = TREES * ROOT
 #: Trees whose sorted neighbours are verified first; the region step uses all.
 CHAINED = 4
 #: Depths at which a region may be cut, and the classes above which it is cut.
-DEPTHS, CROWD = (4, 6, 8, 12, 16), 256
+DEPTHS, CROWD = (4, 6, 8, 12, 16), 4096
+#: Classes of a region up to which its pairs are listed, and classes of a block beyond that.
+PAIRED, BLOCK = 48, 512
+#: Cells of a block's incidence matrix made at once.
+CELLS = 1 << 24
 _KEY_BYTES = 4 * DEPTHS[-1]
 
 _MULTIPLY = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -159,34 +165,85 @@ def _sets(docs: DataFrame, vertices: DataFrame, size: int) -> DataFrame:
     return made.where(F.octet_length("own") > 0).join(vertices, "vertex", "left_semi").distinct()
 
 
-def _crossing(members: DataFrame, labels: DataFrame, percent: int, crowd: int) -> DataFrame:
-    """Pairs of classes of one region that no link has joined yet (``members``: region, vertex, n, key)."""
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of incidence matrices in slices of shingles."""
+    n = len(sets)
+    doc = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, shingle, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1  # a shingle of one set adds to no intersection of two
+    column = np.cumsum(shared) - 1
+    keep = shared[shingle]
+    doc, column = doc[keep], column[shingle[keep]]
+    out, width = np.zeros((n, n), np.float32), max(1, CELLS // n)
+    for k in range(0, int(shared.sum()), width):
+        part = (column >= k) & (column < k + width)
+        cells = np.zeros((n, min(width, int(shared.sum()) - k)), np.float32)
+        cells[doc[part], column[part] - k] = 1
+        out += cells @ cells.T
+    return out.astype(np.int64)
+
+
+def block_links(vertex: np.ndarray, component: np.ndarray, block: np.ndarray, sets: list[np.ndarray],
+                percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between two blocks (or within one), one at most for each two components."""
+    both = overlaps(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    linked = 100 * both >= percent * (size[:, None] + size - both)
+    linked &= component[:, None] < component
+    if block.min() != block.max():
+        linked &= block[:, None] != block
+    i, j = np.nonzero(linked)
+    _, one = np.unique(np.stack([component[i], component[j]]), axis=1, return_index=True)
+    return vertex[i[one]], vertex[j[one]]
+
+
+def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the components of large regions (``rows``: region, classes, vertex, component)."""
+    blocks = F.ceil(F.col("classes") / BLOCK).cast("int")
+    mine = rows.withColumn("block", F.pmod(F.xxhash64("vertex"), blocks).cast("int"))
+    dealt = mine.select("region", "vertex", "component", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select(
+        "region", "vertex", "component", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+
+    def run(group: pa.Table) -> pa.Table:
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["own"]]
+        a, b = block_links(*(group[c].to_numpy() for c in ("vertex", "component", "block")), own, percent)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.join(sets, "vertex").select("region", "p", "q", "vertex", "component", "block", "own").groupBy(
+        "region", "p", "q").applyInArrow(run, "a long, b long")
+
+
+def _crossing(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, paired: int, crowd: int) -> DataFrame:
+    """Links between classes of one region that no link has joined yet (``members``: region, vertex, n, key)."""
     known = labels.select(F.col("vertex").alias("_v"), "component")
     rest = materialise(members.join(known, F.col("vertex") == F.col("_v"), "left").select(
         "region", "vertex", "n", "key", F.coalesce("component", "vertex").alias("component")), "regions")
-    out = None
+    pairs, links = None, None
     for depth in DEPTHS:
         if depth > DEPTHS[0]:
             rest = rest.withColumn("region", F.xxhash64("region", F.substring("key", 1, 4 * depth)))
         sizes = materialise(rest.groupBy("region").agg(
             F.count("*").alias("classes"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2")
             .select("region", "classes"), "region-sizes")
-        deepest = depth == DEPTHS[-1]
-        now = rest.join(sizes if deepest else sizes.where(F.col("classes") <= crowd), "region", "left_semi")
-        left = now.select("region", F.col("vertex").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        right = now.select("region", F.col("vertex").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-        pairs = left.join(right, "region").where(
+        most = (1 << 62) if depth == DEPTHS[-1] else crowd
+        few = rest.join(sizes.where(F.col("classes") <= paired), "region", "left_semi")
+        left = few.select("region", F.col("vertex").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+        right = few.select("region", F.col("vertex").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+        listed = left.join(right, "region").where(
             (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
             & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b")
-        out = pairs if out is None else out.unionByName(pairs)
-        crowded = sizes.where(F.col("classes") > crowd)
-        if deepest or crowded.isEmpty():
-            return out
+        pairs = listed if pairs is None else pairs.unionByName(listed)
+        many = rest.join(sizes.where((F.col("classes") > paired) & (F.col("classes") <= most)), "region")
+        found = _block_links(many, sets, percent)
+        links = found if links is None else links.unionByName(found)
+        crowded = sizes.where(F.col("classes") > most)
+        if crowded.isEmpty():
+            break
         rest = materialise(rest.join(crowded, "region", "left_semi"), "regions")
-    return out
+    return verify(_ordered_pairs(pairs), sets, percent).unionByName(links)
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, crowd: int = CROWD,
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, paired: int = PAIRED, crowd: int = CROWD,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every document.
 
@@ -219,8 +276,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, crowd: in
     ordered = members.where(F.col("tree") < CHAINED).repartitionByRange("region", "key", "vertex").sortWithinPartitions("region", "key", "vertex")
     chained = materialise(verify(_ordered_pairs(_neighbours(ordered)), sets, percent), "links")
     first = components(chained)
-    crossing = _ordered_pairs(_crossing(members.select("region", "vertex", "n", "key"), first, percent, crowd))
-    links = materialise(verify(crossing, sets, percent), "links")
+    links = materialise(_crossing(members.select("region", "vertex", "n", "key"), first, sets, percent, paired, crowd), "links")
     # A component of the first round stands for its members: what is left to join are components.
     heads = first.select(F.col("vertex").alias("_v"), F.col("component").alias("_c"))
 
