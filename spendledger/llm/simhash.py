@@ -143,7 +143,8 @@ def near(queries: DataFrame, base: DataFrame, radius: int = RADIUS, blocks: int
     Both inputs have a long column ``fp``; a row of the result stands for ``copies`` rows
     of ``base``.  With b blocks, two fingerprints within radius r agree in b - r blocks at
     least, so one table for each set of b - r blocks finds them all; a pair is reported
-    by the first table it agrees in.  Null fingerprints match nothing.
+    by the first table it agrees in.  Null fingerprints match nothing.  The join is always a
+    merge join: either side grows with the documents, times the number of tables.
     """
     counted = base.where("fp IS NOT NULL").groupBy("fp").agg(F.count("*").alias("copies"))
     blocks = blocks or blocks_for(counted.count(), radius)
@@ -153,7 +154,7 @@ def near(queries: DataFrame, base: DataFrame, radius: int = RADIUS, blocks: int
     right = counted.select("fp", "copies", F.explode(keys).alias("x")).select(F.col("fp").alias("near_fp"), "copies", "x.*")
     apart = F.col("fp").bitwiseXOR(F.col("near_fp"))
     first = F.coalesce(*(F.when(apart.bitwiseAND(F.lit(_signed(m)).cast("long")) == 0, F.lit(t)) for t, m in enumerate(masks)))
-    pairs = left.join(right, ["t", "k"]).where((F.bit_count(apart) <= radius) & (first == F.col("t")))
+    pairs = left.join(right.hint("merge"), ["t", "k"]).where((F.bit_count(apart) <= radius) & (first == F.col("t")))
     return pairs.select("fp", "near_fp", F.bit_count(apart).alias("distance"), "copies")
 
 
