@@ -192,3 +192,33 @@ def test_bins_odd_rows(spark, make):
     rows = bin_packing.pack(sized, capacities=(16, 40), group=20).collect()
     check_bins(rows, lengths | {7: 2 * lengths[7]}, (16, 40))
     assert bin_packing.pack(sized.limit(0)).count() == 0
+
+
+def partial_copies(rng, items):
+    """Documents with a cut copy or a replaced clause of an item, shares on both sides of the threshold."""
+    docs = []
+    for passage in items:
+        words = passage.split()
+        for _ in range(6):
+            n = max(1, round(len(words) * rng.uniform(0.78, 0.9)))
+            cut = int(rng.integers(0, len(words) - n + 1))
+            a = int(rng.integers(0, len(words)))
+            b = a + max(1, round(len(words) * rng.uniform(0.02, 0.15)))
+            clause = words[:a] + [f"new{rng.integers(10**6)}" for _ in words[a:b]] + words[b:]
+            for core in (words[cut:cut + n], clause):
+                docs.append(" ".join([f"pre{k}" for k in rng.integers(0, 10**6, 30)] + core + [f"post{k}" for k in rng.integers(0, 10**6, 30)]))
+    return docs
+
+
+def test_partial_copies_are_all_found(spark, make):
+    """Windows at the threshold are found whatever share of their single words differs, in items that share a template too."""
+    rng = np.random.default_rng(7)
+    word = lambda n: [f"{'abcdefghijklmnop'[:k % 16 + 1]}{k}" for k in rng.integers(0, 4000, n)]
+    template = word(25)
+    items = [(k, " ".join(word(n))) for k, n in enumerate((20, 40, 59, 100, 200))]
+    items += [(10 + k, " ".join(template + word(35))) for k in range(4)] + [(20, " ".join(["again", "and", "more"] * 9 + word(9)))]
+    docs = list(enumerate(partial_copies(rng, [t for _, t in items])))
+    got = contamination.find_passages(make(docs), make(items).withColumnRenamed("doc_id", "item_id")).collect()
+    want = brute_items(docs, items)
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == want
+    assert sum(s < 0.85 for s in want.values()) >= 20 and len({d for d, _ in want}) < len(docs)
