@@ -11,10 +11,12 @@ a region of it; sets as alike as 0.85 share a region of some tree but for 1 in 1
    to components.
 3. Regions that still hold several components are compared in full between their
    components: small ones pair by pair, larger ones block against block inside a task,
-   where a block pair gives at most one link for two components.  A region with too many
-   classes for that is cut at a deeper prefix, again and again: depth adapts to the
-   density of the region.
-4. The links of both rounds give the components.
+   where a block pair gives at most one link for two components; the classes of the
+   region's largest component are not compared with each other.
+4. A region with too many classes for that is first cut at deeper prefixes, again and
+   again, which joins most of it.  The links found are contracted, and then the whole
+   region is compared as in step 3: the cuts save work and decide nothing.
+5. The links of all rounds give the components.
 
 Near copies that are alike enough are joined by their sorted neighbours in step 2 and
 leave nothing for step 3; no step emits all pairs of a group.
@@ -46,7 +48,7 @@ TREES, ROOT = 16, 4
 HASHES = TREES * ROOT
 #: Trees whose sorted neighbours are verified first; the region step uses all.
 CHAINED = 4
-#: Depths at which a region may be cut, and the classes above which it is cut.
+#: Depths at which a region may be cut, and the classes above which it is cut before it is compared in full.
 DEPTHS, CROWD = (4, 6, 8, 12, 16), 4096
 #: Classes of a region up to which its pairs are listed, and classes of a block beyond that.
 PAIRED, BLOCK = 48, 512
@@ -197,11 +199,26 @@ def block_links(vertex: np.ndarray, component: np.ndarray, block: np.ndarray, se
     return vertex[i[one]], vertex[j[one]]
 
 
+def _with_hub(regions: DataFrame, rows: DataFrame) -> DataFrame:
+    """``regions`` with the component that has most classes there (``hub``, ``hub_classes``)."""
+    counts = rows.join(regions.select("region"), "region", "left_semi").groupBy("region", "component").agg(F.count("*").alias("n"))
+    hubs = counts.groupBy("region").agg(F.max(F.struct("n", "component")).alias("x"))
+    return regions.join(hubs.select("region", F.col("x.component").alias("hub"), F.col("x.n").alias("hub_classes")), "region")
+
+
 def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between the components of large regions (``rows``: region, classes, vertex, component)."""
-    blocks = F.ceil(F.col("classes") / BLOCK).cast("int")
-    mine = rows.withColumn("block", F.pmod(F.xxhash64("vertex"), blocks).cast("int"))
-    dealt = mine.select("region", "vertex", "component", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select(
+    """Links between the components of large regions (``rows``: region, classes, hub, hub_classes, vertex, component).
+
+    Every two classes of different components meet.  The blocks of the hub come after the
+    others and meet only those, so a class beside a large joined family costs one row for
+    each of the family's blocks.
+    """
+    own, others = F.ceil(F.col("hub_classes") / BLOCK).cast("int"), F.ceil((F.col("classes") - F.col("hub_classes")) / BLOCK).cast("int")
+    hub = F.col("component") == F.col("hub")
+    h = F.xxhash64("vertex")
+    block = F.when(hub, others + F.pmod(h, own)).otherwise(F.pmod(h, others)).cast("int")
+    last = F.when(hub, others - 1).otherwise(others + own - 1)
+    dealt = rows.select("region", "vertex", "component", block.alias("block"), F.explode(F.sequence(F.lit(0), last)).alias("other")).select(
         "region", "vertex", "component", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
 
     def run(group: pa.Table) -> pa.Table:
@@ -213,18 +230,27 @@ def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         "region", "p", "q").applyInArrow(run, "a long, b long")
 
 
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` with their components; a class without a link is its own."""
+    known = labels.select(F.col("vertex").alias("_v"), F.col("component").alias("_c"))
+    return materialise(members.join(known, F.col("vertex") == F.col("_v"), "left").select(
+        "region", "vertex", "n", "key", F.coalesce("_c", "vertex").alias("component")), "regions")
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """``region, classes`` of the regions that hold several components."""
+    return rows.groupBy("region").agg(
+        F.count("*").alias("classes"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("region", "classes")
+
+
 def _crossing(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, paired: int, crowd: int) -> DataFrame:
     """Links between classes of one region that no link has joined yet (``members``: region, vertex, n, key)."""
-    known = labels.select(F.col("vertex").alias("_v"), "component")
-    rest = materialise(members.join(known, F.col("vertex") == F.col("_v"), "left").select(
-        "region", "vertex", "n", "key", F.coalesce("component", "vertex").alias("component")), "regions")
-    pairs, links = None, None
+    rest = _labelled(members, labels)
+    pairs, links, whole = None, None, None
     for depth in DEPTHS:
         if depth > DEPTHS[0]:
             rest = rest.withColumn("region", F.xxhash64("region", F.substring("key", 1, 4 * depth)))
-        sizes = materialise(rest.groupBy("region").agg(
-            F.count("*").alias("classes"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2")
-            .select("region", "classes"), "region-sizes")
+        sizes = materialise(_open(rest), "region-sizes")
         most = (1 << 62) if depth == DEPTHS[-1] else crowd
         few = rest.join(sizes.where(F.col("classes") <= paired), "region", "left_semi")
         left = few.select("region", F.col("vertex").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
@@ -233,14 +259,23 @@ def _crossing(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
             (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
             & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b")
         pairs = listed if pairs is None else pairs.unionByName(listed)
-        many = rest.join(sizes.where((F.col("classes") > paired) & (F.col("classes") <= most)), "region")
-        found = _block_links(many, sets, percent)
+        many = sizes.where((F.col("classes") > paired) & (F.col("classes") <= most))
+        found = _block_links(rest.join(_with_hub(many, rest), "region"), sets, percent)
         links = found if links is None else links.unionByName(found)
         crowded = sizes.where(F.col("classes") > most)
         if crowded.isEmpty():
             break
         rest = materialise(rest.join(crowded, "region", "left_semi"), "regions")
-    return verify(_ordered_pairs(pairs), sets, percent).unionByName(links)
+        whole = rest if whole is None else whole
+    links = verify(_ordered_pairs(pairs), sets, percent).unionByName(links)
+    if whole is None:
+        return links
+    # What the cuts have joined is contracted; between all other components the crowded regions are compared in full.
+    links = materialise(links, "links")
+    heads = whole.select("vertex", F.col("component").alias("_h")).distinct()
+    joined = links.unionByName(heads.select(F.col("vertex").alias("a"), F.col("_h").alias("b")))
+    left = _labelled(whole.drop("component"), components(joined))
+    return links.unionByName(_block_links(left.join(_with_hub(_open(left), left), "region"), sets, percent))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, paired: int = PAIRED, crowd: int = CROWD,

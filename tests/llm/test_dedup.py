@@ -80,6 +80,17 @@ def test_crowded_regions_are_cut_deeper(spark, make, families):
     assert sum(want[i] == c for i, c in got.items()) >= 0.97 * len(want)
 
 
+def test_stragglers_beside_a_crowded_family(spark, make):
+    """Documents linked to one member alone of a joined family that is larger than the crowd."""
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(240)]
+    texts = [base] + [base[:k] + [f"one{k}"] + base[k + 1:] for k in rng.choice(240, 60, replace=False).tolist()]
+    stragglers = [base[:a] + [f"new{a}x{k}" for k in range(22)] + base[a + 22:] for a in range(8, 208, 10)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts + stragglers)]
+    got = forest_dedup.near_duplicates(make(rows, 4), 5, 80, paired=4, crowd=8)
+    assert Counter(tuple(r) for r in got.collect()) == (want := brute_components(rows, 5, 80)) and {k[2] for k in want} == {0}
+
+
 def test_op2_whole_table(spark, small):
     got = Counter(tuple(r) for r in queries.op2_forest_dedup(spark, SF).collect())
     assert got == brute_components([(r.doc_id, r.text) for r in small.collect()], 3, 85) and not all(k[3] for k in got)
