@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from spendledger.llm import bin_packing, contamination, forest_dedup, hyper_language, line_dedup
 from spendledger.llm.common import materialise, table
 
-#: A text that is no language of the profiles has a cosine of about 0, give or take 0.03.
-LEAST_LIKENESS = 0.06
+#: A text that shares no trigram with the profiles has a cosine of about 0, give or take 0.016 (one by the root of the dimensions).
+LEAST_LIKENESS, DIMENSIONS = 0.06, 4096
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without a letter and texts unlike every labelled language."""
-    return hyper_language.keep_known(docs, hyper_language.learn(docs), LEAST_LIKENESS)
+    return hyper_language.keep_known(docs, hyper_language.learn(docs, dimensions=DIMENSIONS), LEAST_LIKENESS)
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 DIMENSIONS = 1024
 UNKNOWN = "und"
 GAP = 32
-#: Trigrams whose vectors a worker keeps (4 KiB each); the table is emptied when full.
+#: Trigrams whose vectors a worker keeps (a byte for each dimension); the table is emptied when full.
 TRIGRAMS_KEPT = 12_000
 #: Weights of a prototype are summed as whole numbers, so that the order of tasks does not show.
 UNIT = 1 << 24
@@ -55,7 +55,7 @@ class Binder:
         self.dimensions = dimensions
         self.letters: dict[int, np.ndarray] = {}
         self.at: dict[int, int] = {}
-        self.rows = np.empty((1024, dimensions), np.float32)
+        self.rows = np.empty((1024, dimensions), np.int8)
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
@@ -89,7 +89,7 @@ class Binder:
         counts = np.zeros((len(texts), len(used)), np.float32)
         for row, p, (_, n) in zip(counts, places, texts, strict=True):
             row[np.searchsorted(used, p)] = n
-        return counts @ self.rows[used]
+        return counts @ self.rows[used].astype(np.float32)
 
 
 _BINDERS: dict[int, Binder] = {}

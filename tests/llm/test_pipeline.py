@@ -70,3 +70,15 @@ def test_whole_table_and_empty(spark, make):
     for name, stage in cp.STAGES:
         docs = cp.materialise(stage(spark, docs, SF), name)
     assert docs.count() == 0
+
+
+def test_other_scripts_are_dropped_and_short_texts_kept(spark, make):
+    """Texts that share no trigram with the profiles go; clean texts of a few words stay."""
+    other = ["Η γρήγορη αλεπού πηδάει πάνω από το τεμπέλικο σκυλί και τρέχει στο δάσος", "今天天气很好我们一起去公园散步然后回家吃饭看书",
+             "Быстрая коричневая лиса прыгает через ленивую собаку и бежит в лес", "สวัสดีครับวันนี้อากาศดีมากเราไปเดินเล่นกันเถอะ",
+             "שלום עולם זה משפט קצר בשפה אחרת לגמרי", "नमस्ते दुनिया यह एक छोटा वाक्य है"]
+    clean = ["the and of the", "and that the", "der und die das", "les des pour par", "el de la que"]
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows += [(10_000 + k, t, None) for k, t in enumerate(other)] + [(20_000 + k, t, None) for k, t in enumerate(clean)]
+    got = {r.doc_id for r in cp.known_language(spark, make(rows), SF).collect()}
+    assert got == {r[0] for r in rows} - {10_000 + k for k in range(len(other))}
