@@ -80,6 +80,12 @@ def test_crowded_regions_are_cut_deeper(spark, make, families):
     assert sum(want[i] == c for i, c in got.items()) >= 0.97 * len(want)
 
 
+def test_families_with_forced_crowding(spark, make, families):
+    """A region above the crowd loses nothing: every component is the brute-force one."""
+    got = forest_dedup.near_duplicates(make(families, 4), 3, 85, 4, 8)
+    assert Counter(tuple(r) for r in got.collect()) == brute_components(families, 3, 85)
+
+
 def test_stragglers_beside_a_crowded_family(spark, make):
     """Documents linked to one member alone of a joined family that is larger than the crowd."""
     rng = np.random.default_rng(11)
