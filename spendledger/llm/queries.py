@@ -12,6 +12,7 @@ from spendledger.llm import (
     bin_packing,
     bpe_count,
     contamination,
+    fill_middle,
     forest_dedup,
     hyper_language,
     line_dedup,
@@ -19,7 +20,7 @@ from spendledger.llm import (
     simhash,
     token_files,
 )
-from spendledger.llm.common import table
+from spendledger.llm.common import table, utf8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +113,31 @@ def op9_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited form, with the near ones of every twentieth id counted."""
     return simhash.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
+@register
+def op11_boundary_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut at line ends into prefix, middle and suffix, and put together again from the output."""
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(utf8(F.col("output")), 256).alias("output_sha256"),
+        F.sha2(utf8(fill_middle.restored(F.col("output"), F.col("form"))), 256).alias("restored_sha256"))
+
+
+ORACLES["op11_boundary_fim"] = """
+WITH unit AS (
+    SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+           sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), drawn AS (
+    SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS c2,
+           CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+                WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM unit
+), cut AS (
+    SELECT *, array_to_string(u[1:least(c1, c2)], '') AS p, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+           array_to_string(u[greatest(c1, c2) + 1:n], '') AS s FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM cut
+"""
