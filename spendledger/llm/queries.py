@@ -17,6 +17,7 @@ from spendledger.llm import (
     hyper_language,
     line_dedup,
     permuted_shards,
+    segment_simhash,
     simhash,
     token_files,
 )
@@ -141,3 +142,9 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
        sha256(t) AS restored_sha256
 FROM cut
 """
+
+
+@register
+def op12_segment_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose four-word fingerprints differ in at most four bits."""
+    return segment_simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=4)
