@@ -14,6 +14,7 @@ from spendledger.llm import (
     contamination,
     fill_middle,
     forest_dedup,
+    hard_negatives,
     hyper_language,
     line_dedup,
     permuted_shards,
@@ -148,3 +149,35 @@ FROM cut
 def op12_segment_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents whose four-word fingerprints differ in at most four bits."""
     return segment_simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=4)
+
+
+@register
+def op13_hyperplane_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; the labels of every seventh are wrong on purpose."""
+    rows = hard_negatives.quantised(table(spark, sf_dir, "embeddings"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0).drop("positive_rank")
+
+
+ORACLES["op13_hyperplane_negatives"] = """
+WITH whole AS (
+    SELECT vec_id, label, embedding FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM whole
+), scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positive AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), negative AS (
+    SELECT p.anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+           CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank
+    FROM positive p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT same
+     AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negative WHERE rank <= 10
+"""
