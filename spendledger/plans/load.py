@@ -1,7 +1,8 @@
 """Loading a source end to end: land, harmonise, register, reconcile, classify.
 
 A country is the unit of replacement.  Each stage is written to the warehouse and read
-back, so lineage stays short and a lost executor costs one stage at most.
+back, so lineage stays short and a lost executor costs one stage at most.  All tables of a
+load are published together at its end; until then readers see the load before.
 """
 from __future__ import annotations
 
@@ -19,7 +20,7 @@ from ..operators.dims import accounts as account_dim
 from ..operators.dims import CHART, canonical_labels, complete_countries
 from ..operators.dims import ministries as ministry_dim
 from ..operators.harmonise import FACT_COLUMNS, harmonise
-from ..operators.history import SCHEME_KEY, apply_decisions, current, merge_decisions
+from ..operators.history import SCHEME_KEY, apply_decisions, current
 from ..operators.landing import POSITION, field_text, project_canonical
 from ..operators.quality import (
     assumed_rates_issue, batch_issues, collision_issues, register, row_issues, untrusted_issues,
@@ -27,7 +28,7 @@ from ..operators.quality import (
 from ..sources.delimited import stage_delimited
 from ..sources.grid import chart_of_accounts, missing_headers, stage_grid
 from ..sources.json_records import source_metadata, stage_json
-from ..sources.warehouse import Warehouse
+from ..sources.warehouse import Change, Warehouse
 
 BATCH_SCHEMA = (
     "country_code string, batch_id string, source_file string, source_system string, started_at timestamp,"
@@ -121,31 +122,35 @@ def load_source(
     """
     if mode not in ("replace", "append"):
         raise ValueError(f"unknown mode {mode!r}")
-    write = warehouse.replace_countries if mode == "replace" else warehouse.append
     batch_id = f"{spec.country_code}-{at:%Y%m%dT%H%M%S%f}"
-    staged, totals = stage_source(spark, spec, path, batch_id, at, grid)
-    write("staged", staged)
-    landed = spark.read.parquet(warehouse.path("staged")).where(
-        (F.col("country_code") == spec.country_code) & (F.col("batch_id") == batch_id))
-
-    canonical = project_canonical(landed, [spec])
-    meta = None
-    if spec.reader in ("json", "jsonl") and spec.metadata_path:
-        # One row for each file: a record is checked against its own file's extraction day.
-        by_file = source_metadata(spark, path, spec)
-        canonical = canonical.join(by_file.select("source_file", "extracted_on"), "source_file", "left")
-        meta = by_file.agg(
-            F.sum("declared_records").alias("declared_records"), F.max("extracted_on").alias("extracted_on"),
-            F.max_by("source_metadata", "source_file").alias("source_metadata")).first()
-    with warehouse.step("harmonised", harmonise(canonical, [spec], reference.fx)) as harmonised:
-        return _finish(spark, warehouse, spec, path, reference, at, batch_id, write, landed, harmonised, totals, meta, grid)
-
-
-def _finish(spark, warehouse, spec, path, reference, at, batch_id, write, landed, harmonised, totals, meta, grid) -> str:
+    with warehouse.change(spec.country_code) as change:
+        write = change.replace if mode == "replace" else change.append
+        if mode == "replace":
+            change.clear("classification", "decided", "guard_issues")
+        staged, totals = stage_source(spark, spec, path, batch_id, at, grid)
+        write("staged", staged)
+        landed = change.read("staged").where(F.col("batch_id") == batch_id)
+
+        canonical = project_canonical(landed, [spec])
+        meta = None
+        if spec.reader in ("json", "jsonl") and spec.metadata_path:
+            # One row for each file: a record is checked against its own file's extraction day.
+            by_file = source_metadata(spark, path, spec)
+            canonical = canonical.join(by_file.select("source_file", "extracted_on"), "source_file", "left")
+            meta = by_file.agg(
+                F.sum("declared_records").alias("declared_records"), F.max("extracted_on").alias("extracted_on"),
+                F.max_by("source_metadata", "source_file").alias("source_metadata")).first()
+        with warehouse.step("harmonised", harmonise(canonical, [spec], reference.fx)) as harmonised:
+            _finish(spark, change, spec, path, at, batch_id, write, landed, harmonised, totals, meta, grid)
+        # The finding about assumed rates is one for all loads; the load published last has it.
+        change.replace("rate_issues", assumed_rates_issue(spark, reference.fx_about, at).drop("country_code"))
+    return batch_id
+
+
+def _finish(spark, change, spec, path, at, batch_id, write, landed, harmonised, totals, meta, grid) -> None:
     """Facts, the load's figures, its findings and the dimensions, from the harmonised rows."""
     write("facts", canonicalise(harmonised.select(*FACT_COLUMNS)))
-    facts = spark.read.parquet(warehouse.path("facts")).where(
-        (F.col("country_code") == spec.country_code) & (F.col("batch_id") == batch_id))
+    facts = change.read("facts").where(F.col("batch_id") == batch_id)
 
     printed = control_totals(totals, spec) if totals is not None else None
     figures = last_total(printed).first() if printed is not None else None
@@ -170,36 +175,25 @@ def _finish(spark, warehouse, spec, path, reference, at, batch_id, write, landed
     write("batches", batch)
     if spec.chart_sheet and spec.reader in ("excel", "grid"):
         write("charts", chart_of_accounts(grid if grid is not None else spark.read.parquet(path), spec))
-    refresh_dimensions(spark, warehouse, spec.country_code)
-    write_rate_issue(spark, warehouse, reference, at)
-    return batch_id
+    refresh_dimensions(change)
 
 
-def write_rate_issue(spark: SparkSession, warehouse: Warehouse, reference: Reference, at: datetime) -> None:
-    """The finding about assumed rates stands in a table of its own, written anew by every load."""
-    warehouse.rewrite("rate_issues", assumed_rates_issue(spark, reference.fx_about, at))
-
-
-def refresh_dimensions(spark: SparkSession, warehouse: Warehouse, country: str) -> None:
-    """Grow one country's ministries and accounts from its live facts.
+def refresh_dimensions(change: Change) -> None:
+    """Grow a country's ministries and accounts from the facts its next version will have.
 
     A stored member stays as it is: its name changes only where it was empty, and an
     account's label only where the chart of accounts gives one.  Members never go.
     """
-    facts = warehouse.read("facts").where(F.col("country_code") == country)
-    chart = None
-    if warehouse.exists("charts"):
-        chart = spark.read.parquet(warehouse.path("charts")).where(F.col("country_code") == country)
+    facts = change.read("facts")
+    chart = change.read("charts") if change.exists("charts") else None
     fresh = {
         "ministries": (ministry_dim(facts), "ministry_code", "ministry_name"),
         "accounts": (canonical_labels(account_dim(facts, chart), facts), "account_code", "account_label"),
     }
     for name, (dim, key, label) in fresh.items():
-        if warehouse.exists(name):
-            old = spark.read.parquet(warehouse.path(name)).where(F.col("country_code") == country)
-            dim = merge_dimension(old, dim, key, label)
-        with warehouse.step(name, dim) as rows:
-            warehouse.replace_countries(name, rows)
+        if change.exists(name):
+            dim = merge_dimension(change.read(name), dim, key, label)
+        change.replace(name, dim)
 
 
 def merge_dimension(old: DataFrame, new: DataFrame, key: str, label: str) -> DataFrame:
@@ -231,33 +225,41 @@ def classify_country(
     With ``preserve_manual`` manual corrections stay current; otherwise a run supersedes
     them like any other result.
     """
-    facts = warehouse.read("facts")
-    if country:
-        facts = facts.where(F.col("country_code") == country)
     run = int(at.timestamp() * 1_000_000)
-    classified = classify(facts, reference.mapping, reference.rules, reference.sha_labels)
-    with warehouse.step("classified", classified) as done:
-        rows = classification_rows(done, at, run)
-        if preserve_manual and warehouse.exists("classification"):
-            manual = current(warehouse.read("classification")).where("method = 'manual'")
-            rows = rows.join(manual.select(*SCHEME_KEY), list(SCHEME_KEY), "left_anti")
-        warehouse.append("classification", rows)
-        # Guard findings belong to a run; a run is recorded for its countries even where it found nothing.
-        warehouse.append("guard_issues", untrusted_issues(done, at).withColumn("seq", F.lit(run)))
-        ran = spark.createDataFrame([(country,)], "country_code string") if country else (
-            spark.read.parquet(warehouse.path("batches")).select("country_code").distinct())
-        warehouse.append("runs", ran.withColumn("seq", F.lit(run)))
-        return spark.createDataFrame(run_stats(done).collect())
+    covered = [country] if country else warehouse.countries()
+    with warehouse.change(*covered) as change:
+        classified = classify(change.read("facts"), reference.mapping, reference.rules, reference.sha_labels)
+        with warehouse.step("classified", classified) as done:
+            rows = classification_rows(done, at, run)
+            if preserve_manual and change.exists("classification"):
+                manual = current(change.read("classification")).where("method = 'manual'")
+                rows = rows.join(manual.select(*SCHEME_KEY), list(SCHEME_KEY), "left_anti")
+            change.append("classification", rows)
+            # Guard findings are those of the latest run, also where it found nothing.
+            change.replace("guard_issues", untrusted_issues(done, at))
+            stats = run_stats(done).collect()
+    return spark.createDataFrame(stats)
 
 
 def record_decisions(warehouse: Warehouse, decisions: DataFrame) -> None:
-    """Apply review decisions to the pending rows; only the history of the countries they touch is written."""
-    touched = decisions.select(F.col("country_code").alias("_t")).distinct()
-    history = warehouse.read("classification")
-    history = history.join(touched, F.col("country_code") == F.col("_t"), "left_semi")
-    decided = apply_decisions(current(history), decisions)
-    with warehouse.step("classification", merge_decisions(history, decided)) as rows:
-        warehouse.replace_countries("classification", rows)
+    """Append what review decisions make of the pending rows; nothing else is written.
+
+    Readers of ``classification`` see the history with the decisions merged in, until
+    ``compact_history`` writes it that way.
+    """
+    named = {r["country_code"] for r in decisions.select("country_code").distinct().collect()}  # one row a country
+    touched = [c for c in warehouse.countries() if c in named]
+    if not touched:
+        return
+    with warehouse.change(*touched) as change:
+        change.append("decided", apply_decisions(current(change.read("classification")), decisions))
+
+
+def compact_history(warehouse: Warehouse, *countries: str) -> None:
+    """Write the history of some countries (all, if none is named) with its decisions merged in."""
+    with warehouse.change(*(countries or warehouse.countries())) as change:
+        change.replace("classification", change.read("classification"))
+        change.clear("decided")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -1,8 +1,10 @@
 """Landing, register, splits, canonical spelling, dimensions and maintenance over the driver's tables."""
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from ..operators.dims import (
     accounts, canonical_labels, complete_countries, ministries, override_countries, override_scheme,
 )
 from ..operators.harmonise import harmonise
+from ..operators.history import current
 from ..operators.landing import project_canonical, stage
 from ..operators.maintenance import (
     check_country_edits, check_reference_edits, edit_mapping, reference_overrides,
@@ -21,8 +24,10 @@ from ..operators.quality import collision_issues, id_collisions, register, row_i
 from ..operators.splits import counted_totals, reconcile_splits
 from ..operators.validate import column_checks, foreign_key_check, unique_check
 from ..plans import reports
-from ..plans.load import batch_close_issues, control_totals, last_total
-from ..session import scratch_path, stored
+from ..plans.load import (
+    Reference, batch_close_issues, control_totals, last_total, load_source, record_decisions,
+)
+from ..session import scratch_path, stored, values_table
 from ..sources.delimited import read_delimited
 from ..sources.grid import grid_records
 from ..sources.json_records import read_json_lines, source_metadata, stage_json
@@ -663,3 +668,90 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     wh.replace_countries("batches", loads.where("country_code = 'O'").withColumn("batch_id", F.lit("2")))
     return wh.read("facts").groupBy("country_code").agg(
         F.count(F.lit(1)).alias("n"), F.sum("amount").cast("double").alias("total"))
+
+
+def _delivery(orders: DataFrame, path: str) -> str:
+    """Orders as a delimited extract of several files."""
+    orders.select(
+        F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
+        F.col("o_orderpriority").alias("account"), F.col("o_orderpriority").alias("text"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("amount"),
+    ).write.option("header", True).csv(path)
+    return path
+
+
+def _order_spec(code: str) -> SourceSpec:
+    return SourceSpec(code, path="orders", currency="USD", date_formats=("%Y-%m-%d",), field_map={
+        "source_record_id": "id", "txn_date": "day", "account_code": "account", "description": "text", "amount": "amount"})
+
+
+@query("replace_failed_load", """
+WITH loaded AS (
+  SELECT o_orderstatus AS country_code, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders
+  WHERE o_orderstatus <> 'F' OR o_orderpriority = '1-URGENT')
+SELECT country_code, count(*) AS staged, count(*) AS facts, CAST(sum(cents) AS DOUBLE) / 100 AS total, count(*) AS batch_rows,
+       CASE country_code WHEN 'F' THEN 2 ELSE 1 END AS versions
+FROM loaded GROUP BY country_code
+""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three loads, one replaced, one whose replacement fails after its records were staged: readers see what was there."""
+    root = scratch_path(spark, "failed-load")
+    wh, at = Warehouse(spark, f"{root}/ledger"), datetime(2025, 1, 1)
+    orders = feeds.table(spark, sf_dir, "orders")
+    reference = Reference(feeds.fx(spark), {"authoritative": True}, feeds.mapping(spark), feeds.RULES)
+    for code in ("O", "F", "P"):
+        path = _delivery(orders.where(F.col("o_orderstatus") == code), f"{root}/first/{code}")
+        load_source(spark, wh, _order_spec(code), path, reference, at)
+    urgent = orders.where("o_orderpriority = '1-URGENT'")
+    again = {c: _delivery(urgent.where(F.col("o_orderstatus") == c), f"{root}/second/{c}") for c in ("O", "F")}
+    load_source(spark, wh, _order_spec("F"), again["F"], reference, datetime(2025, 1, 2))
+    broken = replace(reference, fx=reference.fx.withColumn("rate", F.raise_error(F.lit("no rates today")).cast("decimal(18,6)")))
+    try:
+        load_source(spark, wh, _order_spec("O"), again["O"], broken, datetime(2025, 1, 2))
+        raise AssertionError("the load was to fail")
+    except PySparkException as e:
+        if "no rates today" not in str(e):
+            raise
+    staged = wh.read("staged").groupBy("country_code").agg(F.count(F.lit(1)).alias("staged"))
+    facts = wh.read("facts").groupBy("country_code").agg(
+        F.count(F.lit(1)).alias("facts"), F.sum("amount_original").cast("double").alias("total"))
+    batches = wh.read("batches").groupBy("country_code").agg(F.sum("rows_staged").alias("batch_rows"))
+    versions = values_table(spark, [(c, len(wh.versions(c))) for c in wh.countries()], "country_code string, versions int")
+    return staged.join(facts, "country_code").join(batches, "country_code").join(versions, "country_code")
+
+
+@query("decisions_appended", """
+WITH run AS (
+  SELECT o_orderkey AS k, o_orderstatus AS s, o_orderkey % 3 AS kind FROM orders)
+SELECT s AS country_code, count(*) + count(*) FILTER (kind = 1) AS history_rows, count(*) AS current_rows,
+  count(*) FILTER (kind = 0) AS accepted, count(*) FILTER (kind = 1) AS corrected, count(*) FILTER (kind = 2) AS pending,
+  count(*) FILTER (kind < 2) AS appended
+FROM run GROUP BY s
+""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order classified once; a third accepted, a third corrected, by appending only what was decided."""
+    wh = Warehouse(spark, scratch_path(spark, "decisions"))
+    key = F.col("o_orderkey")
+    orders = feeds.table(spark, sf_dir, "orders")
+    place = [F.lit("1").alias("batch_id"), F.col("o_orderstatus").alias("country_code"), F.lit("orders").alias("source_file"),
+             F.lit("").alias("source_sheet"), key.alias("row_no"), F.lit(0).alias("child_pos"), F.lit("SHA").alias("scheme")]
+    none = F.lit(None).cast("string")
+    wh.append("classification", orders.select(
+        *place, none.alias("code"), F.lit("UNCLASSIFIED").alias("outcome"), F.lit("none").alias("method"), none.alias("rule_id"),
+        F.lit(0.0).alias("confidence"), F.lit(True).alias("needs_review"), F.lit("").alias("explanation"),
+        F.lit("PENDING").alias("review_status"), none.alias("reviewed_by"), F.lit(None).cast("timestamp").alias("reviewed_at"),
+        none.alias("review_note"), F.lit(datetime(2025, 1, 1)).alias("classified_at"), F.lit(1).cast("long").alias("seq")))
+    base = {c: wh.manifest(c)["tables"]["classification"]["paths"] for c in wh.countries()}
+    record_decisions(wh, orders.where(key % 3 < 2).select(
+        *place, F.when(key % 3 == 0, "ACCEPT").otherwise("CORRECT").alias("action"), F.lit("HC.1").alias("new_code"),
+        F.lit("ann").alias("reviewed_by"), F.lit("").alias("review_note"), F.lit(datetime(2025, 1, 2)).alias("decided_at"),
+        F.lit(1).cast("long").alias("decision_no")))
+    if {c: wh.manifest(c)["tables"]["classification"]["paths"] for c in wh.countries()} != base:
+        raise AssertionError("the history was written again")
+    history = wh.read("classification")
+    status = F.col("review_status")
+    now = current(history).groupBy("country_code").agg(
+        F.count(F.lit(1)).alias("current_rows"), F.count_if(status == "ACCEPTED").alias("accepted"),
+        F.count_if(status == "CORRECTED").alias("corrected"), F.count_if(status == "PENDING").alias("pending"))
+    return history.groupBy("country_code").agg(F.count(F.lit(1)).alias("history_rows")).join(now, "country_code").join(
+        wh.read("decided").groupBy("country_code").agg(F.count(F.lit(1)).alias("appended")), "country_code")

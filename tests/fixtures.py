@@ -1,29 +1,56 @@
-"""Hand-written extracts for the end-to-end tests."""
+"""Extracts for the end-to-end tests: a delimited one made by rule, a nested one and a grid by hand."""
 from datetime import date
 
 from spendledger.config import SourceSpec
 
-ROWS = """entry;booked;unit;unit_name;line;purpose;paid_to;value;channel
-T-11;14.08.2024;H1;Health Office;5110;Insulin and syringes;Northern Stores;912.500,75;TRANSFER
-T-12;03.09.2024;C4;Community Office;5120;Family planning outreach;Delta;2.040.310,10;CASH
-T-13;21.10.2024;C4;Community Office;5135;Cervical cancer screening camp;Delta;455.120,40;CASH
-T-14;05.11.2024;H1;Health Office;5140;ANTENATAL VISITS;Savanna;98.760,05;CHEQUE
-T-15;17.01.2025;E9;Education Office;5201;Diesel for generators;Delta;61.300,90;CASH
-T-16;28.02.2025;H1;Health Office;5110;Insulin and syringes;Northern Stores;;TRANSFER
-T-17;09.03.2025;H1;Health Office;5301;Construction of a ward;Stonework;-77.000,00;TRANSFER
-T-18;30.04.2031;E9;Education Office;5205;Salaries of nurses;Payroll;4.300.000,00;TRANSFER
-T-14;12.05.2025;H1;Health Office;5140;Antenatal visits;Savanna;45.000,00;CHEQUE
-T-20;06.06.2025;H1;Health Office;5305;Purchase of an ambulance;Stonework;7.150.000,00;TRANSFER
-"""
+#: The delimited extract is made by the rules below, and so is what the tests expect of it.
+N_ROWS = 17
+SUBJECTS = ("Chairs for schools", "Eye screening of pupils", "Wells and pumps", "Youth theatre", "Street lamps")
+OFFICES = (("K", "Schools"), ("L", "Waterworks"), ("M", "Streets"))
+
+
+def record(k: int) -> dict:
+    """Record ``k`` of the extract (row ``k + 2`` of the file), with its defects."""
+    subject = SUBJECTS[k % 5]
+    cents = 104_729 * (k + 3) % 9_000_000 + 7
+    code, office = OFFICES[k % 3]
+    return {
+        "id": f"E/{4 if k in (12, 16) else k:04d}",
+        "day": None if k == 14 else date(2021 if k == 9 else 2019, k % 12 + 1, k + 1),
+        "office": code, "office_name": office, "account": f"A{k % 5}",
+        "subject": None if k == 7 else subject.upper() if k == 11 else subject,
+        "spelling": None if k == 7 else subject,
+        "cents": None if k % 8 == 5 else -cents if k % 8 == 3 else cents,
+    }
+
+
+def line(k: int) -> str:
+    r = record(k)
+    amount = "" if r["cents"] is None else f"{r['cents'] / 100:,.2f} XXX"
+    day = "soon" if r["day"] is None else f"{r['day']:%Y/%m/%d}"
+    return "|".join((amount, r["id"], day, r["account"], r["subject"] or "", r["office"], r["office_name"], f"Firm {k % 4}"))
+
+
+ROWS = "sum|ref|on|chapter|what|office|office_name|firm\n" + "".join(line(k) + "\n" for k in range(N_ROWS))
+#: Findings of one load of the extract.
+FOUND = {
+    "AMOUNT_MISSING": sum(record(k)["cents"] is None for k in range(N_ROWS)),
+    "AMOUNT_NEGATIVE": sum((record(k)["cents"] or 0) < 0 for k in range(N_ROWS)),
+    "DATE_OUT_OF_PERIOD": sum(r["day"] is not None and r["day"].year != 2019 for r in map(record, range(N_ROWS))),
+    "DATE_UNPARSEABLE": sum(record(k)["day"] is None for k in range(N_ROWS)),
+    "DESCRIPTION_MISSING": sum(record(k)["subject"] is None for k in range(N_ROWS)),
+    "SOURCE_ID_COLLISION": N_ROWS - len({record(k)["id"] for k in range(N_ROWS)}),
+    "DESCRIPTION_CASE_VARIANTS": 1,
+}
 
 CSV_SPEC = SourceSpec(
-    "CTX", name="Comma country", reader="csv", path="fixture.csv", delimiter=";", currency="XXX",
-    language="en", fiscal_year="FY2024/25", period_start=date(2024, 7, 1), period_end=date(2025, 6, 30),
+    "CTX", name="Pipe country", reader="csv", path="fixture.csv", delimiter="|", currency="XXX",
+    language="en", fiscal_year="2019", period_start=date(2019, 1, 1), period_end=date(2019, 12, 31),
     field_map={
-        "source_record_id": "entry", "txn_date": "booked", "ministry_code": "unit",
-        "ministry_name": "unit_name", "account_code": "line", "description": "purpose",
-        "supplier": "paid_to", "amount": "value", "payment_method": "channel"},
-    date_formats=("%d.%m.%Y",), decimal_separator=",",
+        "source_record_id": "ref", "txn_date": "on", "ministry_code": "office",
+        "ministry_name": "office_name", "account_code": "chapter", "description": "what",
+        "supplier": "firm", "amount": "sum"},
+    date_formats=("%Y/%m/%d",), decimal_separator=".", strip_suffixes=("XXX",),
 )
 
 JSON_SPEC = SourceSpec(

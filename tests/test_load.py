@@ -1,7 +1,7 @@
-"""End to end on hand-written files: land, harmonise, register, classify, replace, review."""
+"""End to end on small files: land, harmonise, register, classify, replace, review."""
 import json
 from datetime import date, datetime
-from decimal import Decimal
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 import fixtures as fx
 from spendledger.config import DEFAULT_RULES, fx_table, mapping_table
 from spendledger.functions.text import fold
-from spendledger.operators.history import current
+from spendledger.operators.history import SCHEME_KEY, current
 from spendledger.operators.landing import RECORD_KEY
 from spendledger.plans import reports
-from spendledger.plans.load import Reference, build, classify_country, load_source, record_decisions
+from spendledger.plans.load import Reference, build, classify_country, compact_history, load_source, record_decisions
 from spendledger.plans.views import classified_view, pivot_schemes
 from spendledger.sources.delimited import read_delimited
 from spendledger.sources.grid import grid_records
 from spendledger.sources.reference import read_scheme
-from spendledger.sources.warehouse import Warehouse
+from spendledger.sources.warehouse import ConcurrentChange, Warehouse
 from spendledger.streaming.arrivals import load_arrivals
 
 T0 = datetime(2025, 1, 1, 8)
@@ -55,30 +55,26 @@ def rules_fired(wh, country):
 def test_build_summary(ledger):
     wh, summary, _ = ledger
     assert set(summary["loaded"]) == {"CTX", "CTJ", "CTG"} and summary["skipped"] == ["CTZ"]
-    assert summary["classification"]["records"] == 10 + 7 + 8 + 4 - 0
+    assert summary["classification"]["records"] == fx.N_ROWS + 7 + 8 + 4
     names = {r["country_code"]: r["country_name"] for r in wh.read("countries").collect()}
     assert names["CTX"] == "Known already" and names["CTZ"] == "CTZ"
 
 
 def test_csv_facts_and_register(ledger):
     wh, _, _ = ledger
-    facts = {(r["source_record_id"], r["row_no"]): r for r in
-             wh.read("facts").where("country_code = 'CTX'").collect()}
-    assert len(facts) == 10
-    first = facts[("T-11", 2)]
-    assert first["amount_original"] == Decimal("912500.75") and first["txn_date"] == date(2024, 8, 14)
-    assert first["amount_usd"] == Decimal("365.00") and first["fx_rate_source"] == "test"
-    assert first["fiscal_year"] == "FY2024/25" and first["payment_method"] == "TRANSFER"
-    assert facts[("T-16", 7)]["amount_original"] is None and facts[("T-16", 7)]["dq_status"] == "WARN"
-    assert facts[("T-18", 9)]["dq_status"] == "WARN"
-    # two spellings once each: the first seen wins
-    assert facts[("T-14", 10)]["description"] == "ANTENATAL VISITS"
-    assert facts[("T-14", 10)]["description_raw"] == "Antenatal visits"
-    assert rules_fired(wh, "CTX") == {
-        "AMOUNT_MISSING": 1, "AMOUNT_NEGATIVE": 1, "DATE_OUT_OF_PERIOD": 1, "SOURCE_ID_COLLISION": 1,
-        "DESCRIPTION_CASE_VARIANTS": 1}
-    clash = wh.read("issues").where("rule_code = 'SOURCE_ID_COLLISION'").first()
-    assert clash["row_no"] == 10 and "row 5" in clash["message"]
+    facts = {r["row_no"]: r for r in wh.read("facts").where("country_code = 'CTX'").collect()}
+    assert len(facts) == fx.N_ROWS
+    for k in range(fx.N_ROWS):
+        want, got = fx.record(k), facts[k + 2]
+        amount = None if want["cents"] is None else Decimal(want["cents"]) / 100
+        assert (got["source_record_id"], got["txn_date"], got["amount_original"]) == (want["id"], want["day"], amount)
+        assert got["amount_usd"] == (None if amount is None else (amount / 2500).quantize(Decimal("0.01"), ROUND_HALF_UP))
+        assert (got["description"], got["description_raw"]) == (want["spelling"], want["subject"] or "")  # the usual spelling wins
+        assert got["dq_status"] == ("WARN" if amount is None or want["day"] is None or want["day"].year != 2019 else "OK")
+        assert (got["fx_rate_source"], got["fiscal_year"], got["payment_method"]) == (None if amount is None else "test", "2019", None)
+    assert rules_fired(wh, "CTX") == fx.FOUND
+    clashes = {r["row_no"]: r["message"] for r in wh.read("issues").where("rule_code = 'SOURCE_ID_COLLISION'").collect()}
+    assert set(clashes) == {14, 18} and all("row 6" in m for m in clashes.values())
 
 
 def test_nested_splits(ledger):
@@ -140,36 +136,39 @@ def test_classification_and_history(spark, ledger):
     wh, _, _ = ledger
     rows = wh.read("classification").where("country_code = 'CTX'")
     live = current(rows)
-    assert live.count() == 20 and live.where("needs_review").count() == 20 - 0
+    n = fx.N_ROWS
+    assert live.count() == live.where("needs_review").count() == 2 * n
     assert live.where("scheme = 'SHA' AND method = 'keyword'").count() > 0
-    mapping = {"CTX": {"5110": {"label": "Insulin", "outcome": "CLASSIFIED", "sha": "HC.5.1",
+    mapped = [k for k in range(n) if fx.record(k)["account"] == "A0"]
+    mapping = {"CTX": {"A0": {"label": "Chairs", "outcome": "CLASSIFIED", "sha": "HC.5.1",
                                   "srhr": "SRHR.NA", "confidence": 0.95}}}
     ref = reference(spark, mapping)
     stats = classify_country(spark, wh, ref, datetime(2025, 1, 2), "CTX").first()
-    assert stats["records"] == 10
+    assert stats["records"] == n
     history = wh.read("classification").where("country_code = 'CTX'")
     live = current(history)
-    assert history.count() == 40 and live.count() == 20
-    assert live.where("scheme = 'SHA' AND method = 'account_mapping' AND code = 'HC.5.1'").count() == 2
-    assert live.where("review_status = 'NOT_REQUIRED'").count() == 4
+    assert history.count() == 4 * n and live.count() == 2 * n
+    assert live.where("scheme = 'SHA' AND method = 'account_mapping' AND code = 'HC.5.1'").count() == len(mapped)
+    assert live.where("review_status = 'NOT_REQUIRED'").count() == 2 * len(mapped)
     assert live.where("review_status = 'PENDING' AND NOT needs_review").count() == 0
 
     # one accept, one correction, one decision on a row that is not pending
-    key = {r["source_record_id"]: r for r in wh.read("facts").where("country_code = 'CTX'").collect()}
-    def decision(sid, scheme, action, code, no):
-        k = key[sid]
+    key = {r["row_no"]: r for r in wh.read("facts").where("country_code = 'CTX'").collect()}
+
+    def decision(row, scheme, action, code, no):
+        k = key[row]
         return ("CTX", k["batch_id"], k["source_file"], k["source_sheet"], k["row_no"], 0, scheme, action, code, "ann", "ok", datetime(2025, 1, 3), no)
     decisions = spark.createDataFrame([
-        decision("T-13", "SHA", "ACCEPT", None, 1), decision("T-13", "SHA", "CORRECT", "HC.1", 2),
-        decision("T-15", "SHA", "CORRECT", "HC.7", 3), decision("T-11", "SHA", "CORRECT", "HC.7", 4),
-        decision("T-17", "SRHR", "CORRECT", None, 5),
+        decision(3, "SHA", "ACCEPT", None, 1), decision(3, "SHA", "CORRECT", "HC.1", 2),
+        decision(4, "SHA", "CORRECT", "HC.7", 3), decision(2, "SHA", "CORRECT", "HC.7", 4),
+        decision(5, "SRHR", "CORRECT", None, 5),
     ], "country_code string, batch_id string, source_file string, source_sheet string, row_no long, child_pos int, scheme string, action string,"
        " new_code string, reviewed_by string, review_note string, decided_at timestamp, decision_no long")
     record_decisions(wh, decisions)
     history = wh.read("classification").where("country_code = 'CTX'")
-    assert history.count() == 41
+    assert history.count() == 4 * n + 1
     live = {(r["row_no"], r["scheme"]): r for r in current(history).collect()}
-    accepted, fixed = live[(4, "SHA")], live[(6, "SHA")]
+    accepted, fixed = live[(3, "SHA")], live[(4, "SHA")]
     assert (accepted["review_status"], accepted["code"], accepted["method"]) == ("ACCEPTED", "HC.6.3", "keyword")
     assert (fixed["review_status"], fixed["code"], fixed["method"], fixed["confidence"]) == (
         "CORRECTED", "HC.7", "manual", 1.0)
@@ -191,7 +190,7 @@ def test_views_and_trace(spark, ledger):
     wide = facts.join(pivot_schemes(current(history)), list(RECORD_KEY), "left")
     view = classified_view(wide, wh.read("countries"), wh.read("ministries"), wh.read("accounts"), labels, labels)
     assert view.count() == facts.where("is_countable").count()
-    screening = view.where("source_record_id = 'T-13'").first()
+    screening = view.where("country_code = 'CTX' AND row_no = 3").first()
     assert screening["sha_description"] == "Early detection" and screening["country_name"] == "Known already"
     assert view.where("source_record_id = 'B4'").first()["ministry_name"] == "Autre"
     hit = reports.trace(facts, wh.read("staged"), wh.read("batches"), "CTJ", "A")
@@ -211,7 +210,7 @@ def test_replace_is_idempotent(spark, ledger):
     assert wh.read("facts").where("country_code = 'CTX'").count() == before
     assert wh.read("classification").where("country_code = 'CTX'").count() == 0
     assert wh.read("facts").where("country_code = 'CTG'").count() == 4
-    assert rules_fired(wh, "CTX")["AMOUNT_MISSING"] == 1
+    assert rules_fired(wh, "CTX") == fx.FOUND
     # an empty re-delivery leaves nothing of the earlier load behind
     (data / "empty.csv").write_text(fx.ROWS.splitlines()[0] + "\n")
     load_source(spark, wh, fx.CSV_SPEC, str(data / "empty.csv"), reference(spark), datetime(2025, 2, 2))
@@ -262,7 +261,7 @@ def test_arrivals(spark, tmp_path):
         query = load_arrivals(spark, wh, fx.CSV_SPEC, str(inbox), reference(spark), str(tmp_path / "ck"))
         query.awaitTermination(120)
         assert query.exception() is None
-    assert wh.read("batches").count() == 1 and wh.read("facts").count() == 10
+    assert wh.read("batches").count() == 1 and wh.read("facts").count() == fx.N_ROWS
     (inbox / "b.csv").write_text("\n".join(fx.ROWS.splitlines()[:4]) + "\n")
     query = load_arrivals(spark, wh, fx.CSV_SPEC, str(inbox), reference(spark), str(tmp_path / "ck"))
     query.awaitTermination(120)
@@ -278,20 +277,19 @@ def test_two_files_of_one_load(spark, tmp_path):
     head, *rows = fx.ROWS.splitlines()
     inbox = tmp_path / "in"
     inbox.mkdir()
-    for name, part in (("a.csv", rows[:5]), ("b.csv", rows[5:])):
+    for name, part in (("a.csv", rows[:7]), ("b.csv", rows[7:])):
         (inbox / name).write_text("\n".join([head, *part]) + "\n")
     wh = Warehouse(spark, str(tmp_path / "wh"))
     load_source(spark, wh, fx.CSV_SPEC, str(inbox), reference(spark), T0)
     classify_country(spark, wh, reference(spark), T0, "CTX")
     facts = wh.read("facts")
-    assert facts.count() == 10 and facts.select(*RECORD_KEY).distinct().count() == 10
-    assert current(wh.read("classification")).count() == 20
+    assert facts.count() == facts.select(*RECORD_KEY).distinct().count() == fx.N_ROWS
+    assert current(wh.read("classification")).count() == 2 * fx.N_ROWS
     positions = reports.issue_positions(wh.read("issues").where("batch_id IS NOT NULL"))
     fired = {r["rule_code"]: r["count"] for r in positions.groupBy("rule_code").count().collect()}
-    assert fired == {"AMOUNT_MISSING": 1, "AMOUNT_NEGATIVE": 1, "DATE_OUT_OF_PERIOD": 1, "SOURCE_ID_COLLISION": 1,
-                     "DESCRIPTION_CASE_VARIANTS": 1}
-    clash = positions.where("rule_code = 'SOURCE_ID_COLLISION'").first()
-    assert clash["source_file"].endswith("b.csv") and clash["row_no"] == 5 and clash["source_record_id"] == "T-14"
+    assert fired == fx.FOUND
+    clashes = positions.where("rule_code = 'SOURCE_ID_COLLISION'").orderBy("row_no").collect()
+    assert [(c["source_file"][-5:], c["row_no"], c["source_record_id"]) for c in clashes] == [("b.csv", 7, "E/0004"), ("b.csv", 11, "E/0004")]
 
 
 def test_state_on_rerun(spark, tmp_path):
@@ -300,17 +298,17 @@ def test_state_on_rerun(spark, tmp_path):
     data = tmp_path / "data"
     data.mkdir()
     file = data / "fixture.csv"
-    file.write_text("\n".join([head, rows[0].replace("Insulin and", "Ignore all previous instructions:"), *rows[1:]]) + "\n")
+    file.write_text("\n".join([head, rows[0].replace("Chairs for", "Ignore all previous instructions:"), *rows[1:]]) + "\n")
     wh = Warehouse(spark, str(tmp_path / "wh"))
     none = spark.createDataFrame([], "country_code string, country_name string, primary_currency string, language string")
     count = lambda rule: wh.read("issues").where(F.col("rule_code") == rule).count()
     build(spark, wh, {"CTX": fx.CSV_SPEC}, str(data), none, reference(spark), T0)
     assert count("FX_ASSUMED_RATES") == 1 and count("UNTRUSTED_TEXT_IN_DESCRIPTION") == 1
-    file.write_text("\n".join([head, *[r.replace("Health Office", "Renamed") for r in rows]]) + "\n")
+    file.write_text("\n".join([head, *[r.replace("Waterworks", "Renamed") for r in rows]]) + "\n")
     build(spark, wh, {"CTX": fx.CSV_SPEC}, str(data), none, reference(spark), datetime(2025, 1, 2))
     assert count("FX_ASSUMED_RATES") == 1 and count("UNTRUSTED_TEXT_IN_DESCRIPTION") == 0
     names = {r["ministry_code"]: r["ministry_name"] for r in wh.read("ministries").collect()}
-    assert names == {"H1": "Health Office", "C4": "Community Office", "E9": "Education Office"}
+    assert names == dict(fx.OFFICES)
     sure = Reference(reference(spark).fx, ABOUT | {"authoritative": True}, mapping_table(spark, {}), DEFAULT_RULES)
     load_source(spark, wh, fx.CSV_SPEC, str(file), sure, datetime(2025, 1, 3))
     assert count("FX_ASSUMED_RATES") == 0
@@ -343,3 +341,91 @@ def test_metadata_of_every_document(spark, tmp_path, lines):
     assert batch["declared_records"] == 14 and batch["rows_staged"] == 14 and batch["extracted_on"] == date(2024, 5, 15)
     late = wh.read("issues").where("rule_code = 'DATE_OUT_OF_PERIOD'").groupBy("source_file").count().collect()
     assert sorted(r["count"] for r in late) == [1, 5]
+
+
+def tables_of(wh):
+    """Everything a reader can see, as plain rows."""
+    names = ("staged", "facts", "issues", "batches", "classification", "ministries", "accounts")
+    return {t: sorted(map(str, wh.read(t).collect())) for t in names if wh.exists(t)}
+
+
+def test_a_failed_load_leaves_every_table_as_it_was(spark, tmp_path, monkeypatch):
+    """A failure after each write, and at the publishing itself."""
+    (tmp_path / "fixture.csv").write_text(fx.ROWS)
+    wh = Warehouse(spark, str(tmp_path / "wh"))
+    path = str(tmp_path / "fixture.csv")
+    load_source(spark, wh, fx.CSV_SPEC, path, reference(spark), T0)
+    classify_country(spark, wh, reference(spark), T0)
+    before, written = tables_of(wh), []
+    assert len(before["facts"]) == fx.N_ROWS
+    plain = Warehouse.write
+    monkeypatch.setattr(Warehouse, "write", lambda self, table, rows: written.append(table) or plain(self, table, rows))
+    load_source(spark, Warehouse(spark, str(tmp_path / "other")), fx.CSV_SPEC, path, reference(spark), datetime(2025, 1, 2))
+    assert set(written) >= {"staged", "facts", "issues", "batches", "ministries", "accounts", "rate_issues"}
+
+    for k in range(len(written)):
+        done = []
+
+        def failing(self, table, rows, k=k, done=done):
+            done.append(plain(self, table, rows))
+            if len(done) == k + 1:
+                raise OSError(f"after {table}")
+            return done[-1]
+
+        monkeypatch.setattr(Warehouse, "write", failing)
+        with pytest.raises(OSError):
+            load_source(spark, wh, fx.CSV_SPEC, path, reference(spark), datetime(2025, 1, 3))
+    monkeypatch.setattr(Warehouse, "write", plain)
+    assert tables_of(wh) == before
+    with monkeypatch.context() as m:
+        m.setattr(Warehouse, "_create", lambda *_: (_ for _ in ()).throw(OSError("at publishing")))
+        with pytest.raises(OSError):
+            load_source(spark, wh, fx.CSV_SPEC, path, reference(spark), datetime(2025, 1, 3))
+    assert tables_of(wh) == before and wh.versions("CTX") == [1, 2]
+    # Folders of failed loads go at a vacuum; earlier versions stay readable and can be published again.
+    load_source(spark, wh, fx.CSV_SPEC, path, reference(spark), datetime(2025, 1, 4))
+    assert wh.vacuum(keep=2) > len(written) and wh.versions("CTX") == [2, 3]
+    assert wh.read("classification").count() == 0
+    assert wh.read("classification", at={"CTX": 2}).count() == 2 * fx.N_ROWS
+    assert wh.restore("CTX", 2) == 4 and tables_of(wh) == before
+
+
+def test_changes_that_meet(spark, tmp_path):
+    """Of two changes that began at the same version, the second to end is refused; other countries go on."""
+    rows = lambda c, n: spark.createDataFrame([(c, k) for k in range(n)], "country_code string, k int")
+    wh = Warehouse(spark, str(tmp_path / "wh"))
+    wh.append("facts", rows("A/1", 3))
+    with pytest.raises(ConcurrentChange):
+        with wh.change("A/1") as slow:
+            slow.replace("facts", rows("A/1", 1))
+            wh.append("facts", rows("A/1", 2))
+    wh.append("facts", rows("B", 4))
+    assert {(r[0], r[1]) for r in wh.read("facts").groupBy("country_code").count().collect()} == {("A/1", 5), ("B", 4)}
+    with wh.change("B") as change:
+        change.replace("facts", rows("B", 0))
+        assert change.read("facts").count() == 0 and wh.read("facts").where("country_code = 'B'").count() == 4
+    assert wh.read("facts").count() == 5
+    with pytest.raises(ValueError), wh.change("B") as change:
+        change.replace("facts", rows("A/1", 1))
+
+
+def test_decisions_are_appended(spark, tmp_path):
+    """Decisions write only the decided rows; the history with them merged in is the one that compaction writes."""
+    (tmp_path / "fixture.csv").write_text(fx.ROWS)
+    wh = Warehouse(spark, str(tmp_path / "wh"))
+    load_source(spark, wh, fx.CSV_SPEC, str(tmp_path / "fixture.csv"), reference(spark), T0)
+    classify_country(spark, wh, reference(spark), T0)
+    base = wh.manifest("CTX")["tables"]["classification"]["paths"]
+    pending = current(wh.read("classification")).where("review_status = 'PENDING'").orderBy("row_no", "scheme").limit(3)
+    decisions = pending.select(*SCHEME_KEY, F.when(F.col("scheme") == "SHA", "ACCEPT").otherwise("CORRECT").alias("action"),
+                               F.lit("SRHR.MH").alias("new_code"), F.lit("ann").alias("reviewed_by"), F.lit("").alias("review_note"),
+                               F.lit(T0).alias("decided_at"), F.lit(1).cast("long").alias("decision_no"))
+    kinds = [r["action"] for r in decisions.collect()]
+    record_decisions(wh, decisions)
+    tables = wh.manifest("CTX")["tables"]
+    assert tables["classification"]["paths"] == base and wh._rows("decided", [wh.manifest("CTX")]).count() == 3
+    merged = tables_of(wh)["classification"]
+    assert len(merged) == 2 * fx.N_ROWS + kinds.count("CORRECT")
+    compact_history(wh)
+    assert tables_of(wh)["classification"] == merged and wh.manifest("CTX")["tables"]["decided"]["paths"] == []
+    assert wh.manifest("CTX")["tables"]["classification"]["paths"] != base
