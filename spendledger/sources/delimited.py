@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..config import SourceSpec
 from ..operators.landing import stage
+from .blocks import quoted_records
 from .positions import mark_blocks, number_records
 
 _RAW = "_raw_record"
@@ -45,22 +46,29 @@ def read_delimited(spark: SparkSession, path: str, spec: SourceSpec) -> DataFram
     """Records as ``source_file, row_no`` and one text column per header field.
 
     Fields beyond the header are kept as an array in ``_extra``; an empty field is ``''``,
-    a field missing from a short record is NULL.  Large files are read in blocks unless
-    ``multiline`` is set, which quoted line breaks require.
+    a field missing from a short record is NULL.  Large files are read in blocks, with
+    ``multiline`` too, which quoted line breaks require.
     """
     names = read_header(spark, path, spec)
     safe = [f"c{i}" for i in range(len(names))]
     schema = StructType([StructField(c, StringType()) for c in (*safe, _RAW)])
-    scan = (
-        spark.read.schema(schema)
-        .option("sep", spec.delimiter).option("encoding", spec.encoding)
-        .option("header", True).option("enforceSchema", True).option("escape", '"')
-        .option("multiLine", spec.multiline).option("columnNameOfCorruptRecord", _RAW)
-        .csv(path)
-    )
+    if spec.multiline:
+        options = {"sep": spec.delimiter, "escape": '"', "columnNameOfCorruptRecord": _RAW}
+        parsed = F.from_csv("record", F.lit(schema.simpleString()), options).alias("_v")
+        numbered = quoted_records(spark, path, encoding=spec.encoding).where("ordinal > 1").select(
+            "source_file", F.col("ordinal").alias("row_no"), parsed).select("source_file", "row_no", "_v.*")
+    else:
+        scan = (
+            spark.read.schema(schema)
+            .option("sep", spec.delimiter).option("encoding", spec.encoding)
+            .option("header", True).option("enforceSchema", True).option("escape", '"')
+            .option("columnNameOfCorruptRecord", _RAW)
+            .csv(path)
+        )
+        numbered = number_records(mark_blocks(scan), first=2)
     found = _tokens(F.col(_RAW), spec.delimiter)
     width = len(names)
-    numbered = number_records(mark_blocks(scan), first=2).withColumn("_fields", found)
+    numbered = numbered.withColumn("_fields", found)
     present = F.coalesce(F.size("_fields"), F.lit(width))
     values = [
         F.when(F.lit(i) < present, F.coalesce(c, F.lit(""))).alias(name)

@@ -5,33 +5,23 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType, VariantType
 
 from ..config import SourceSpec
 from ..functions.dates import parse_date
 from ..operators.landing import json_path, stage
+from .blocks import json_elements
 from .positions import mark_blocks, number_records
 
 
 def read_json_array(spark: SparkSession, path: str, spec: SourceSpec) -> DataFrame:
     """Records of a JSON document at the root or under a dotted path, numbered from 1.
 
-    A document is parsed by one task; each record is a variant of its own, so number and
-    text stay distinct.  Feeds too large for that arrive as JSON lines.
+    A document of any size is cut by all tasks that read its blocks; each record is a
+    variant of its own, so number and text stay distinct.  What is not JSON stays as it is.
     """
-    keys = [k for k in spec.records_path.split(".") if k]
-    if keys:
-        schema = ArrayType(VariantType())
-        for key in reversed(keys):
-            schema = StructType([StructField(key, schema)])
-        docs = spark.read.schema(schema).option("multiLine", True).json(path)
-        records = F.col(".".join(f"`{k}`" for k in keys))
-    else:
-        docs = spark.read.option("multiLine", True).option("singleVariantColumn", "_doc").json(path)
-        records = F.try_variant_get("_doc", "$", "array<variant>")
-    exploded = docs.select(F.col("_metadata.file_path").alias("source_file"), F.posexplode(records))
-    return exploded.select(
-        "source_file", (F.col("pos") + 1).cast("long").alias("row_no"), F.to_json("col").alias("payload"))
+    records = json_elements(spark, path, [k for k in spec.records_path.split(".") if k])
+    return records.select("source_file", F.col("ordinal").alias("row_no"),
+                          F.coalesce(F.to_json(F.try_parse_json("element")), "element").alias("payload"))
 
 
 def _metadata_line(spec: SourceSpec | None) -> Column:

@@ -1,9 +1,12 @@
 """Landing, register, splits, canonical spelling, dimensions and maintenance over the driver's tables."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import replace
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +33,7 @@ from ..plans.load import (
 from ..session import scratch_path, stored, values_table
 from ..sources.delimited import read_delimited
 from ..sources.grid import grid_records
-from ..sources.json_records import read_json_lines, source_metadata, stage_json
+from ..sources.json_records import read_json_array, read_json_lines, source_metadata, stage_json
 from ..sources.reference import read_countries, read_scheme
 from ..sources.warehouse import Warehouse, export_csv
 from . import feeds
@@ -194,6 +197,73 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("records", meta.agg(F.sum("declared_records")).scalar().alias("declared"), "after_extraction", "total")
 
 
+@contextmanager
+def _small_blocks(spark: SparkSession, size: str = "256k") -> Iterator[None]:
+    """Files are read in blocks of this size, as large ones would be in blocks of 128 MiB."""
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def _framed(head: str, tail: str):
+    """Each partition's records between two lines."""
+    def run(batches):
+        yield pa.record_batch([pa.array([head])], names=["value"])
+        yield from batches
+        yield pa.record_batch([pa.array([tail])], names=["value"])
+    return run
+
+
+@query("json_array_blocks", """
+SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS n_ids, sum(length(props)) AS props_chars,
+       CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / 100 AS total, 0 AS n_bad_ordinals FROM events GROUP BY 1
+""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as documents with one long array each, whose texts hold brackets and quotes, cut by all tasks that read a block."""
+    path = scratch_path(spark, "array-json")
+    record = F.to_json(F.struct("event_id", "event_type", "props", (F.round(F.col("value") * 100).cast("decimal(18,0)") / 100).cast("decimal(18,2)").alias("value")))
+    feeds.table(spark, sf_dir, "events").select(F.concat(record, F.lit(",")).alias("value")).repartition(3).mapInArrow(
+        _framed('{"about": {"made": [1, 2]}, "body": {"other": [{"x": "]"}], "entries": [', 'null], "end": "}"}}'), "value string").write.text(path)
+    with _small_blocks(spark):
+        rows = read_json_array(spark, path, SourceSpec("C1", reader="json", records_path="body.entries"))
+    last = rows.groupBy("source_file").agg(F.max("row_no").alias("hi"), F.count(F.lit(1)).alias("n"), F.count_distinct("row_no").alias("d"),
+                                           F.max_by("payload", "row_no").alias("end"))
+    bad = last.agg(F.count_if((F.col("hi") != F.col("n")) | (F.col("d") != F.col("n")) | (F.col("end") != "null"))).scalar()
+    doc = F.try_parse_json("payload")
+    field = lambda name, kind: F.try_variant_get(doc, f"$.{name}", kind)
+    events = rows.where("payload <> 'null'").select(
+        field("event_type", "string").alias("event_type"), field("event_id", "long").alias("id"), field("props", "string").alias("props"),
+        field("value", "decimal(18,2)").alias("value"))
+    return events.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"), F.sum(F.char_length("props")).alias("props_chars"),
+        F.sum("value").cast("double").alias("total")).withColumn("n_bad_ordinals", bad.cast("int"))
+
+
+@query("csv_multiline_blocks", """
+SELECT lang, count(*) AS n, count(DISTINCT doc_id) AS n_ids, sum(length(text)) AS chars,
+       CAST(sum(CAST('0x' || md5(text)[1:8] AS BIGINT)) AS DOUBLE) AS digest, 0 AS n_bad_ordinals
+FROM documents WHERE text IS NOT NULL GROUP BY 1
+""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of many lines as quoted fields, read back in blocks that cut through them."""
+    path = scratch_path(spark, "texts-csv")
+    feeds.table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "lang", "text").repartition(3).write.options(
+        header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    with _small_blocks(spark):
+        rows = read_delimited(spark, path, SourceSpec("C1", multiline=True))
+    per_file = rows.groupBy("source_file").agg(
+        F.count(F.lit(1)).alias("n"), F.min("row_no").alias("lo"), F.max("row_no").alias("hi"), F.count_distinct("row_no").alias("d"))
+    bad = per_file.agg(F.count_if((F.col("lo") != 2) | (F.col("hi") != F.col("n") + 1) | (F.col("d") != F.col("n")))).scalar()
+    digest = F.conv(F.substring(F.md5(F.encode("text", "UTF-8")), 1, 8), 16, 10).cast("long")
+    return rows.groupBy(F.nullif("lang", F.lit("")).alias("lang")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_ids"), F.sum(F.char_length("text")).alias("chars"),
+        F.sum(digest).cast("double").alias("digest")).withColumn("n_bad_ordinals", bad.cast("int"))
+
+
 @query("reference_lists", """
 SELECT r_name AS name, 'HC.' || r_regionkey AS code, CASE WHEN r_regionkey % 2 = 0 THEN 'note, ' || r_name END AS notes FROM region
 """)
