@@ -22,11 +22,12 @@ the scores that the annuli start from.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendledger.llm.common import materialise, row_numbers
@@ -424,16 +425,30 @@ def _ranked(found: DataFrame, keep: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
 
 
+@contextmanager
+def _few_rows_a_batch(spark: SparkSession, rows: int = 16) -> Iterator[None]:
+    """A row here is a chunk or a block of some hundred kilobytes, so Arrow batches hold few of them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def _best(anchors: DataFrame, chunks: DataFrame, tree: Tree, dims: int, windows: int, keep: int, same: bool) -> DataFrame:
     """``seat, w, rank, score, id``: the best ``keep`` rows in each score window of each anchor."""
     first_blocks = _blocks(anchors.withColumn("least", F.col("low")), dims, windows)
-    near = materialise(_ranked(_search(_pairs(first_blocks, tree, dims, windows, True), first_blocks, chunks, dims, windows, keep, same), keep), "near")
+    with _few_rows_a_batch(chunks.sparkSession):
+        near = materialise(_ranked(_search(_pairs(first_blocks, tree, dims, windows, True), first_blocks, chunks, dims, windows, keep, same), keep), "near")
     # From here a row has to reach the last of the ones found, if there are enough.
     reach = near.where(F.col("rank") == keep).groupBy("seat").agg(F.map_from_entries(F.collect_list(F.struct("w", "score"))).alias("_reach"))
     least = F.transform("low", lambda v, w: F.coalesce(F.try_element_at(F.col("_reach"), w), v))
     blocks = _blocks(anchors.join(reach, "seat", "left").withColumn("least", least), dims, windows)
-    rest = _search(_pairs(blocks, tree, dims, windows, False), blocks, chunks, dims, windows, keep, same)
-    return materialise(_ranked(near.drop("rank").unionByName(rest.select("seat", "w", "score", "id")), keep), "best")
+    with _few_rows_a_batch(chunks.sparkSession):
+        rest = _search(_pairs(blocks, tree, dims, windows, False), blocks, chunks, dims, windows, keep, same)
+        return materialise(_ranked(near.drop("rank").unionByName(rest.select("seat", "w", "score", "id")), keep), "best")
 
 
 _RESULT = ("anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long, positive_rank int")
