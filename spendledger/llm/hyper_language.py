@@ -21,8 +21,12 @@ from pyspark.sql import functions as F
 DIMENSIONS = 1024
 UNKNOWN = "und"
 GAP = 32
-#: Trigrams whose vectors a worker keeps (a byte for each dimension); the table is emptied when full.
-TRIGRAMS_KEPT = 12_000
+#: Trigrams and letters whose vectors a worker keeps (a byte for each dimension); a full table is emptied.
+TRIGRAMS_KEPT, LETTERS_KEPT = 12_000, 4_096
+#: Trigrams whose vectors are multiplied at once, texts bundled together, texts taken from a batch together.
+STRETCH, TOGETHER, SLICE = 2_048, 64, 512
+#: Trigrams that a task counts before it adds them to its vectors.
+COUNTED = 100_000
 #: Weights of a prototype are summed as whole numbers, so that the order of tasks does not show.
 UNIT = 1 << 24
 FAN = 512
@@ -49,47 +53,53 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Binder:
-    """Vectors of trigrams, made when first met."""
+    """Vectors of trigrams, made when first met; what it keeps is bounded whatever the texts hold."""
 
     def __init__(self, dimensions: int):
         self.dimensions = dimensions
         self.letters: dict[int, np.ndarray] = {}
         self.at: dict[int, int] = {}
-        self.rows = np.empty((1024, dimensions), np.int8)
+        self.rows = np.empty((min(1024, TRIGRAMS_KEPT), dimensions), np.int8)
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
+            if len(self.letters) >= LETTERS_KEPT:
+                self.letters.clear()
             bits = np.random.Generator(np.random.PCG64(0x5EED_0000_0000 + code)).integers(0, 2, self.dimensions)
-            self.letters[code] = (2 * bits - 1).astype(np.float32)
+            self.letters[code] = (2 * bits - 1).astype(np.int8)
         return self.letters[code]
 
     def bind(self, key: int) -> np.ndarray:
         a, b, c = key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF
         return np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(c)
 
-    def places(self, keys: np.ndarray) -> np.ndarray:
-        """Rows of the table that hold these trigrams."""
-        at = self.at
-        got = list(map(at.get, keys.tolist()))
-        if None in got:
-            for k, g in enumerate(got):
-                if g is None:
-                    n = at[int(keys[k])] = got[k] = len(at)
-                    if n == len(self.rows):
-                        self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-                    self.rows[n] = self.bind(int(keys[k]))
-        return np.array(got, np.int64)
+    def vectors(self, keys: np.ndarray) -> np.ndarray:
+        """The vectors of at most ``STRETCH`` different trigrams."""
+        at, keys = self.at, keys.tolist()
+        if len(at) + sum(k not in at for k in keys) > TRIGRAMS_KEPT:
+            at.clear()
+        for k in keys:
+            if k not in at:
+                n = at[k] = len(at)
+                if n == len(self.rows):
+                    self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+                self.rows[n] = self.bind(k)
+        return self.rows[[at[k] for k in keys]].astype(np.float32)
 
     def bundle(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """The vector of each text, given its trigrams and counts."""
-        if len(self.at) > TRIGRAMS_KEPT:
-            self.__init__(self.dimensions)
-        places = [self.places(k) for k, _ in texts]
-        used = np.unique(np.concatenate(places))
-        counts = np.zeros((len(texts), len(used)), np.float32)
-        for row, p, (_, n) in zip(counts, places, texts, strict=True):
-            row[np.searchsorted(used, p)] = n
-        return counts @ self.rows[used].astype(np.float32)
+        """The vector of each text, given its trigrams and counts, added up a stretch of trigrams at a time."""
+        text = np.repeat(np.arange(len(texts)), [len(k) for k, _ in texts])
+        used, place = np.unique(np.concatenate([k for k, _ in texts]), return_inverse=True)
+        count = np.concatenate([n for _, n in texts])
+        order = np.argsort(place, kind="stable")
+        text, place, count = text[order], place[order], count[order]
+        out = np.zeros((len(texts), self.dimensions), np.float32)
+        for k in range(0, len(used), STRETCH):
+            part = slice(*np.searchsorted(place, [k, k + STRETCH]))
+            counts = np.zeros((len(texts), min(STRETCH, len(used) - k)), np.float32)
+            counts[text[part], place[part] - k] = count[part]
+            out += counts @ self.vectors(used[k:k + STRETCH])
+        return out
 
 
 _BINDERS: dict[int, Binder] = {}
@@ -113,9 +123,10 @@ class Profiles:
         out = [(UNKNOWN, 0.0)] * len(texts)
         if not self.languages:
             return out
-        grams = [(i, g) for i, t in enumerate(texts) if t and len((g := trigrams(t))[0])]
-        for k in range(0, len(grams), 64):
-            block = grams[k:k + 64]
+        for k in range(0, len(texts), TOGETHER):
+            block = [(i, g) for i, t in enumerate(texts[k:k + TOGETHER], k) if t and len((g := trigrams(t))[0])]
+            if not block:
+                continue
             vectors = binder(self.prototypes.shape[1]).bundle([g for _, g in block])
             length = np.linalg.norm(vectors, axis=1, keepdims=True)
             cosine = (vectors / np.maximum(length, 1e-9)) @ self.prototypes.T
@@ -140,6 +151,15 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
     """
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights: dict[str, dict[int, int]] = {}
+        totals: dict[str, np.ndarray] = {}
+
+        def settle() -> None:
+            for lang, mine in weights.items():
+                total = totals.setdefault(lang, np.zeros(dimensions, np.int64))
+                for k, n in mine.items():
+                    total += binder(dimensions).bind(k).astype(np.int64) * n
+            weights.clear()
+
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 keys, counts = trigrams(text.as_py())
@@ -147,15 +167,14 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
                     mine = weights.setdefault(lang, {})
                     for k, n in zip(keys.tolist(), (counts * UNIT // counts.sum()).tolist(), strict=True):
                         mine[k] = mine.get(k, 0) + n
-        rows = []
-        for lang, mine in weights.items():
-            total = np.zeros(dimensions, np.int64)
-            for k, n in mine.items():
-                total += binder(dimensions).bind(k).astype(np.int64) * n
-            rows.append({"lang": lang, "part": TaskContext.get().partitionId() // FAN, "vector": total.tolist()})
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(
-                [("lang", pa.string()), ("part", pa.int64()), ("vector", pa.list_(pa.int64()))]))
+                    if sum(map(len, weights.values())) > COUNTED:
+                        settle()
+        settle()
+        if totals:
+            part = TaskContext.get().partitionId() // FAN
+            yield pa.RecordBatch.from_pylist(
+                [{"lang": lang, "part": part, "vector": total.tolist()} for lang, total in totals.items()],
+                schema=pa.schema([("lang", pa.string()), ("part", pa.int64()), ("vector", pa.list_(pa.int64()))]))
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "part": [int(rows["part"].iloc[0])],
@@ -179,7 +198,7 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
+            for part in (batch.slice(k, SLICE) for k in range(0, batch.num_rows, SLICE)):
                 found = shared.value.predict([t.as_py() for t in part.column(2)])
                 yield pa.record_batch([part.column(0), part.column(1), pa.array([x for x, _ in found], pa.string()),
                                        pa.array([s for _, s in found], pa.float64())],
@@ -195,7 +214,8 @@ def keep_known(docs: DataFrame, profiles: Profiles, least: float, text_col: str
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = shared.value.predict([t.as_py() for t in batch.column(at)])
-            yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in found], pa.bool_()))
+            for part in (batch.slice(k, SLICE) for k in range(0, batch.num_rows, SLICE)):
+                found = shared.value.predict([t.as_py() for t in part.column(at)])
+                yield part.filter(pa.array([x != UNKNOWN and s >= least for x, s in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -1,6 +1,8 @@
 """Operators 6 and 10: held-out accuracy and brute force."""
 import hashlib
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -23,11 +25,82 @@ def test_trigrams():
 
 def test_bundles_are_sums_of_bound_letters():
     b, (keys, counts) = hl.Binder(64), hl.trigrams("one two three two")
-    want = sum(n * np.roll(b.letter(k >> 42), 2) * np.roll(b.letter(k >> 21 & 0x1FFFFF), 1) * b.letter(k & 0x1FFFFF)
+    want = sum(int(n) * np.roll(b.letter(k >> 42), 2) * np.roll(b.letter(k >> 21 & 0x1FFFFF), 1) * b.letter(k & 0x1FFFFF).astype(int)
                for k, n in zip(keys.tolist(), counts.tolist(), strict=True))
     assert np.allclose(b.bundle([(keys, counts)])[0], want) and set(np.unique(b.letter(97))) == {-1, 1}
 
 
+def test_stretches_and_full_tables_change_nothing(monkeypatch):
+    """Bundling in small stretches, with tables that are emptied again and again, gives the same vectors."""
+    texts = [hl.trigrams(t) for t in ("one two three two", "\u4e00\u4e8c\u4e09\u56db\u4e94\u516d", "zwei drei one", "x" * 50)]
+    whole = hl.Binder(64).bundle(texts)
+    for name, value in (("STRETCH", 3), ("TRIGRAMS_KEPT", 5), ("LETTERS_KEPT", 4)):
+        monkeypatch.setattr(hl, name, value)
+    small = hl.Binder(64)
+    assert (small.bundle(texts) == whole).all() and len(small.at) <= 5 and len(small.letters) <= 4
+
+
+def test_memory_of_a_text_with_very_many_trigrams():
+    """Trigrams of a million random letters of a large script, profiles of 60,000 at 4,096 dimensions, in a process of its own."""
+    code = """
+import resource, sys
+import numpy as np
+from spendledger.llm import hyper_language as hl
+rng = np.random.default_rng(0)
+far = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 1_000_000)))
+p = hl.Profiles(["a", "b"], np.ones((2, 4096), np.float32) / 64)
+p.predict(["warm up"])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+p.predict([far[:30_000], "plain text", far[30_000:60_000]])
+far_grams = hl.trigrams(far)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, len(far_grams[0]))
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300).stdout.split()
+    assert int(out[0]) < 500 and int(out[1]) > 900_000
+
+
+def brute_profiles(rows, dimensions):
+    """Prototypes and choices recomputed from the definition, a trigram at a time."""
+    b = hl.Binder(dimensions)
+    bound = {}
+
+    def vector(text, unit):
+        keys, counts = hl.trigrams(text)
+        out = np.zeros(dimensions, np.int64)
+        for k, n in zip(keys.tolist(), counts.tolist(), strict=True):
+            if k not in bound:
+                bound[k] = b.bind(k).astype(np.int64)
+            out += bound[k] * (n * hl.UNIT // int(counts.sum()) if unit else n)
+        return out
+
+    totals = {}
+    for _, text, lang in rows:
+        if text and lang and len(hl.trigrams(text)[0]):
+            totals[lang] = totals.get(lang, 0) + vector(text, True)
+    protos = {k: v / np.linalg.norm(v) for k, v in totals.items()}
+
+    def choose(text):
+        if not text or not len(hl.trigrams(text)[0]):
+            return "und", 0.0
+        v = vector(text, False) / max(1e-9, np.linalg.norm(vector(text, False)))
+        return max(((k, float(v @ p)) for k, p in sorted(protos.items())), key=lambda x: x[1])
+
+    return protos, choose
+
+
+def test_profiles_and_choices_against_brute_force(spark, small, monkeypatch):
+    monkeypatch.setattr(hl, "COUNTED", 700)
+    rows = [(r.doc_id, (r.text or "")[:1500], r.lang) for r in small.limit(120).collect()] + [(-1, None, "en"), (-2, "12 3", "de"), (-3, "no language", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = hl.learn(docs, dimensions=256)
+    protos, choose = brute_profiles(rows, 256)
+    assert model.languages == sorted(protos) and np.allclose(model.prototypes, [protos[k] for k in model.languages], atol=1e-5)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in hl.identify(docs, model).collect()}
+    for i, text, _ in rows:
+        lang, score = choose(text)
+        assert got[i][0] == lang and abs(got[i][1] - max(0.0, score)) < 1e-4
+
+
 def test_op6_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: r for r in queries.op6_hyper_language(spark, "/root/testdata/sf0.01").collect()}
