@@ -1,11 +1,12 @@
-"""Token-set similarity between a text and a list of labels, on the 0-100 scale."""
+"""Token-set similarity between texts and labels, on the 0-100 scale."""
 from __future__ import annotations
 
+import math
 import sys
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,9 +14,6 @@ from pyspark.sql import functions as F
 # The score travels with the query, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Labels compared in one pass.
-BLOCK = 5_000
-
 
 def _common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, by bit-parallel row updates."""
@@ -55,87 +53,137 @@ def token_set_ratio(left: str, right: str) -> float:
     return best
 
 
-class LabelIndex:
-    """Labels by word and by length, so that a text is scored against possible winners alone.
+#: Texts or labels that one block holds, letters told apart, and cells compared at once.
+ROWS, LETTERS, CELLS = 256, 32, 1 << 22
+
+
+def _tokens(text: Column) -> Column:
+    """The distinct words, parted where ``str.split`` parts them."""
+    return F.array_distinct(F.filter(F.split(text, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != ""))
+
+
+def _unmatched(length: Column, threshold: float) -> Column:
+    """Letters (with their gaps) that a side may have outside the shared words, if those are to carry the score.
+
+    With b letters shared and o not, ``1 - (1 + o) / (2 * b + 1 + o)`` has to reach the threshold.
+    """
+    share = threshold / 100
+    k = (1 - share) / share
+    return F.floor(length * (2 * k / (1 + 2 * k)))
+
+
+def _words(rows: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
+    """``folded, word, rare``: the words of each text; the rare ones come first and outweigh what may be unmatched.
 
-    A label that shares no word with the text can reach a threshold only if the lengths
-    are close: the score is at most twice the shorter length over the sum of both.
+    ``counts`` has the labels that hold a word; a word of none is rarest of all.
     """
+    each = rows.select("folded", F.explode(_tokens(F.col("folded"))).alias("word"))
+    known = each.join(counts, "word", "left").select("folded", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word").alias("w"))
+    sorted_ = known.groupBy("folded").agg(F.array_sort(F.collect_set("w")).alias("ws"))  # the words of one text
+    weight = lambda ws: F.aggregate(ws, F.lit(0), lambda t, w: t + F.char_length(w["word"]) + 1)
+    left = _unmatched(weight(F.col("ws")), threshold)
+    marked = F.transform("ws", lambda w, i: F.struct(
+        w["word"].alias("word"), w["n"].alias("n"), (weight(F.slice("ws", F.lit(1), i)) <= left).alias("rare")))
+    return sorted_.select("folded", F.explode(marked).alias("x")).where("x.n > 0").select("folded", "x.word", "x.rare")
+
+
+def _band(length: Column, threshold: float) -> Column:
+    """Bands of lengths so wide that two texts within reach lie in the same or in neighbouring ones."""
+    share = threshold / 100
+    return F.floor(F.log(length) / math.log((2 - share) / share + 1e-9)).cast("int")
+
+
+def _packed(rows: DataFrame, band: Column) -> DataFrame:
+    """``band, texts``: texts of one band in blocks of at most ``ROWS``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[str]] = {}
+
+        def block(band: int) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([band], pa.int32()), pa.array([held.pop(band)], pa.list_(pa.string()))], names=["band", "texts"])
 
-    def __init__(self, labels: Sequence[str], threshold: float):
-        self.labels, self.threshold = list(labels), threshold
-        self.by_word: dict[str, list[int]] = {}
-        sized = []
-        for i, label in enumerate(self.labels):
-            words = set(label.split())
-            for w in words:
-                self.by_word.setdefault(w, []).append(i)
-            sized.append((len(" ".join(words)), i))
-        sized.sort()
-        self.lengths, self.order = [n for n, _ in sized], [i for _, i in sized]
-
-    def candidates(self, text: str) -> list[int]:
-        words = set(text.split())
-        found = {i for w in words for i in self.by_word.get(w, ())}
-        n, share = len(" ".join(words)), self.threshold / 100
-        ratio = share / (2 - share)
-        if n and ratio > 0:
-            at = slice(bisect_left(self.lengths, n * ratio), bisect_right(self.lengths, n / ratio))
-            found.update(self.order[at])
-        return sorted(found)
-
-    def best(self, text: str | None) -> tuple[int | None, float | None]:
-        """Position and score of the most similar label at or above the threshold; ties go to the earlier one."""
-        top, at = -1.0, None
-        for i in self.candidates(text) if text else ():
-            score = token_set_ratio(text, self.labels[i])
-            if score > top:
-                top, at = score, i
-        return (at, top) if at is not None and top >= self.threshold else (None, None)
-
-
-def best_label(text: Column, labels: Sequence[str], threshold: float) -> Column:
-    """Struct(position, score) of the most similar label at or above ``threshold``, else NULL."""
-    index = LabelIndex(labels, threshold)
-
-    @F.pandas_udf("position int, score double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for series in batches:
-            found = [index.best(v) for v in series]
-            yield pd.DataFrame({
-                "position": pd.array([f[0] for f in found], dtype="Int32"),
-                "score": pd.array([f[1] for f in found], dtype="Float64"),
-            })
-
-    return score(text)
+        for batch in batches:
+            for b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.setdefault(b, []).append(text)
+                if len(held[b]) == ROWS:
+                    yield block(b)
+        for b in list(held):
+            yield block(b)
+
+    return rows.select(band.alias("band"), "folded").mapInArrow(run, "band int, texts array<string>")
+
+
+def letter_counts(texts: Sequence[str]) -> np.ndarray:
+    """How often each text's distinct words have each letter, letters dealt to ``LETTERS`` kinds."""
+    out = np.zeros((len(texts), LETTERS), np.int16)
+    for row, text in zip(out, texts):
+        codes = np.frombuffer("".join(set(text.split())).encode("utf-32-le", "surrogatepass"), "<u4") % LETTERS
+        row[:] = np.bincount(codes, minlength=LETTERS)
+    return out
+
+
+def near_pairs(left: Sequence[str], right: Sequence[str], threshold: float) -> Iterator[tuple[str, str, float]]:
+    """Pairs at or above the threshold.
+
+    Shared words have the same letters, so the edits of what is left are no fewer than
+    the letters by which the two texts differ; only pairs that this lets through are scored.
+    """
+    a, b = letter_counts(left), letter_counts(right)
+    size = lambda texts: np.array([len(" ".join(set(t.split()))) for t in texts])
+    n, m = size(left), size(right)
+    step = max(1, CELLS // (LETTERS * max(1, len(right))))
+    for k in range(0, len(left), step):
+        apart = np.abs(a[k:k + step, None] - b).sum(axis=2)
+        i, j = np.nonzero(apart <= (100 - threshold) / 100 * (n[k:k + step, None] + m) + 1e-9)
+        for x, y in zip((i + k).tolist(), j.tolist()):
+            score = token_set_ratio(left[x], right[y])
+            if score >= threshold:
+                yield left[x], right[y], score
+
+
+_PAIR = "folded string, label string, score double"
+
+
+def _rows(pairs: list[tuple[str, str, float]]) -> pa.RecordBatch:
+    a, b, s = zip(*pairs) if pairs else ((), (), ())
+    return pa.record_batch([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(s, pa.float64())], names=["folded", "label", "score"])
 
 
 def similar_labels(texts: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """``folded, code, label, score``: the most similar label of each distinct text that has one.
 
-    ``texts``: folded; ``labels``: code, folded.  Any number of labels: they are compared in
-    blocks of ``BLOCK``, one pass over the distinct texts for each, and the best of all
-    passes stays.  Ties go to the smaller code.
+    ``texts``: folded; ``labels``: code, folded.  Both are tables of any size and meet in joins:
+
+    * by word, where shared words carry the score: the rare words of either side with all
+      words of the other, so that a frequent word joins only texts that have no other;
+    * by length, where letters carry it: blocks of one band with blocks of the same and the
+      neighbouring bands, letters counted before anything is scored.
+
+    Ties go to the smaller code.
     """
     distinct = texts.where("folded <> ''").select("folded").distinct()
-    shape = "folded string, code string, label string, score double"
-    out, block = None, []
-
-    def compare(block: list) -> DataFrame:
-        codes, names = [c for c, _ in block], [n for _, n in block]
-        found = distinct.withColumn("best", best_label(F.col("folded"), names, threshold)).where("best.position IS NOT NULL")
-        at = F.col("best.position") + 1
-        return found.select("folded", F.element_at(F.array(*map(F.lit, codes)), at).alias("code"),
-                            F.element_at(F.array(*map(F.lit, names)), at).alias("label"), F.col("best.score").alias("score"))
-
-    rows = labels.where("code IS NOT NULL AND folded <> ''").groupBy("folded").agg(F.max("code").alias("code")).orderBy("code")
-    for r in rows.toLocalIterator():
-        block.append((r["code"], r["folded"]))
-        if len(block) == BLOCK:
-            out, block = compare(block) if out is None else out.unionByName(compare(block)), []
-    if block:
-        out = compare(block) if out is None else out.unionByName(compare(block))
-    if out is None:
-        return texts.sparkSession.createDataFrame([], shape)
-    best = out.groupBy("folded").agg(F.min_by(F.struct("code", "label", "score"), F.struct(-F.col("score"), "code")).alias("b"))
+    named = labels.where("code IS NOT NULL AND folded <> ''").groupBy("folded").agg(F.max("code").alias("code"))
+    spread = named.select("folded", F.explode(_tokens(F.col("folded"))).alias("word"))
+    counts = spread.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    ours, theirs = _words(distinct, counts, threshold), _words(named, counts, threshold).withColumnRenamed("folded", "label")
+    met = ours.where("rare").drop("rare").join(theirs.drop("rare"), "word").unionByName(
+        ours.drop("rare").join(theirs.where("rare").drop("rare"), "word")).select("folded", "label").distinct()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            yield _rows([(a, b, s) for a, b in pairs if (s := token_set_ratio(a, b)) >= threshold])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield _rows(list(near_pairs(left, right, threshold)))
+
+    length = F.char_length(F.array_join(_tokens(F.col("folded")), " "))
+    near = F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band")
+    left = _packed(distinct.where(length > 0), _band(length, threshold)).withColumnRenamed("texts", "left")
+    right = _packed(named.where(length > 0), _band(length, threshold)).select(near, F.col("texts").alias("right"))
+    blocks = left.join(right, "band").select("left", "right")
+    scored = met.mapInArrow(score, _PAIR).unionByName(blocks.mapInArrow(compare, _PAIR))
+    with_code = scored.join(named.select(F.col("folded").alias("label"), "code"), "label")
+    best = with_code.groupBy("folded").agg(F.min_by(F.struct("code", "label", "score"), F.struct(-F.col("score"), "code")).alias("b"))
     return best.select("folded", "b.*")

@@ -65,12 +65,13 @@ def fold(col: Column) -> Column:
     source, target, multi = _fold_tables()
     plain = F.translate(col, source, target)
     table = F.from_json(F.lit(json.dumps(multi)), "map<string,string>")
-    present = F.array_distinct(F.regexp_extract_all(col, F.lit("[" + "".join(multi) + "]"), F.lit(0)))
+    expanding = "[" + "".join(multi) + "]"
+    present = F.array_distinct(F.regexp_extract_all(col, F.lit(expanding), F.lit(0)))
     expanded = F.aggregate(present, col, lambda text, c: F.replace(text, c, F.element_at(table, c)))
     expanded = F.translate(expanded, source, target)
     folded = (
         F.when(~col.rlike(r"[^\x00-\x7F]"), col)
-        .when(F.translate(col, "".join(multi), "") != col, expanded)
+        .when(col.rlike(expanding), expanded)
         .otherwise(plain)
     )
     return strip(F.lower(folded))

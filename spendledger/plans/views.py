@@ -60,14 +60,22 @@ def classified_view(
     return rows
 
 
-def review_queue(current_rows: DataFrame, facts: DataFrame, accounts: DataFrame | None = None,
+#: What a person sees of a record in the queue.
+SHOWN = ("source_record_id", "description", "account_code", "amount_original", "currency_original", "amount_usd")
+
+
+def review_queue(current_rows: DataFrame, facts: DataFrame | None = None, accounts: DataFrame | None = None,
                  key: Sequence[str] = RECORD_KEY) -> DataFrame:
-    """Everything a person still has to look at; order it by ``amount_usd`` when shown."""
-    waiting = current_rows.where(is_pending()).select(
-        *key, "scheme", "code", "outcome", "method", "confidence", "explanation", "review_status")
-    shown = facts.select(*key, "source_record_id", "description", "account_code",
-                         "amount_original", "currency_original", "amount_usd")
-    queue = waiting.join(shown, list(key))
+    """Everything a person still has to look at; order it by ``amount_usd`` when shown.
+
+    Without ``facts`` the rows carry the record's columns themselves (``classification_rows(…, carry=SHOWN)``)
+    and nothing is joined.
+    """
+    carried = SHOWN if facts is None else ()
+    queue = current_rows.where(is_pending()).select(
+        *key, "scheme", "code", "outcome", "method", "confidence", "explanation", "review_status", *carried)
+    if facts is not None:
+        queue = queue.join(facts.select(*key, *SHOWN), list(key))
     if accounts is None:
         return queue
     labels = accounts.select("country_code", "account_code", "account_label")

@@ -16,7 +16,7 @@ from ..operators.landing import RECORD_KEY, project_canonical, stage
 from ..operators.quality import row_issues
 from ..plans import reports
 from ..plans.reports import RecordFilter
-from ..plans.views import classified_view, flatten_results, pivot_schemes, review_queue
+from ..plans.views import SHOWN, classified_view, flatten_results, pivot_schemes, review_queue
 from ..session import scratch_path, stored
 from ..sources.delimited import read_delimited
 from ..sources.warehouse import export_csv
@@ -50,18 +50,18 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("classification_reasons", with_(CLASSIFIED, r"""
 SELECT explanation, count(*) AS n FROM (SELECT
   CASE sha_method
-    WHEN 'keyword' THEN 'Description matched rule ' || k_sha || ' (/' ||
-      CASE k_sha WHEN 'W-METAL' THEN '\b(ring|rod)\b' WHEN 'W-ANVIL' THEN '\banvil\b' ELSE '\bblue\b' END || '/).'
+    WHEN 'keyword' THEN 'Keyword rule ' || k_sha || ' hit: pattern /' ||
+      CASE k_sha WHEN 'W-METAL' THEN '\b(ring|rod)\b' WHEN 'W-ANVIL' THEN '\banvil\b' ELSE '\bblue\b' END || '/.'
       || CASE WHEN k_sha = 'W-ANVIL' THEN ' Heavy equipment.' ELSE '' END
     WHEN 'account_mapping' THEN 'Account ' || account_code || ' (Brand ' || brand || ') is mapped to '
       || coalesce(sha_code, sha_outcome) || '.' || CASE WHEN m_note THEN ' Checked.' ELSE '' END
     WHEN 'fuzzy' THEN 'Description is 100% similar to the label ''' || CASE z_sha WHEN 'HC.2' THEN 'widget' ELSE 'gear' END || '''.'
     ELSE 'The account code is not mapped and no rule matched the description.' END
-  || CASE WHEN sha_conflict THEN ' Conflict: description suggests ' || k_sha_says || ' (rule ' || k_sha
-       || '); account code retained.' ELSE '' END
+  || CASE WHEN sha_conflict THEN ' The text speaks for ' || k_sha_says || ' by rule ' || k_sha
+       || ' instead; the mapped code was kept.' ELSE '' END
   || CASE WHEN untrusted THEN ' Text rules are off: the description reads like instructions and is not trusted.' ELSE '' END
   || CASE WHEN NOT sha_conflict AND NOT untrusted AND sha_method = 'account_mapping' AND NOT m_review AND sha_grade < 0.7
-       THEN ' Evidence grade 0.60 is below the review threshold of 0.70.' ELSE '' END AS explanation
+       THEN ' A person has to look: grade 0.60, and 0.70 is needed.' ELSE '' END AS explanation
   FROM classified) GROUP BY 1
 """))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,9 +237,8 @@ WHERE scheme = 'SHA' AND review_status = 'PENDING' AND (needs_review OR outcome
 
 
 def _waiting(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
-    """The ledger is parsed and classified once, written, and read back as facts and as results."""
-    done = stored(feeds.classified(spark, sf_dir), "classified")
-    queue = review_queue(classification_rows(done), done)
+    """Straight from the classified ledger: each row carries what is shown of its record."""
+    queue = review_queue(classification_rows(feeds.classified(spark, sf_dir), carry=SHOWN))
     return reports.review_page(queue, "SHA", limit=limit).select(
         "country_code", "row_no", "code", "outcome", "method", F.col("amount_usd").cast("double").alias("amount_usd"))
 

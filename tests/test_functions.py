@@ -1,4 +1,5 @@
 """Literal cases for the scalar functions, and brute-force checks against plain Python."""
+import random
 import unicodedata
 from datetime import date
 from decimal import Decimal
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from spendledger.config import DEFAULT_RULES
 from spendledger.functions.amounts import amount_value, declared_reading, parse_amount
 from spendledger.functions.dates import _compile, date_problem, fiscal_year_label, parse_date
-from spendledger.functions.similarity import best_label, token_set_ratio
+from spendledger.functions import similarity
+from spendledger.functions.similarity import similar_labels, token_set_ratio
 from spendledger.functions.text import (
     clean_code, contains_ignoring_case, fold, matching_patterns, normalise_text,
 )
@@ -202,7 +204,43 @@ def test_similarity_against_definition():
     assert token_set_ratio("early disease detection", "prevention - early disease detection") == 100.0
 
 
-def test_best_label(spark):
-    df = spark.createDataFrame([("early disease detection",), ("zzz",), (None,), ("vaccines",)], "t string")
-    got = df.select(best_label(F.col("t"), ["vaccine", "prevention early disease detection"], 88).alias("b")).collect()
-    assert [r["b"]["position"] if r["b"] else None for r in got] == [1, None, None, 0]
+def plain_best(texts, labels, threshold):
+    out = {}
+    for t in texts:
+        scored = [(-token_set_ratio(t, x), c, x) for c, x in labels if t]
+        if scored and -(best := min(scored))[0] >= threshold:
+            out[t] = (best[1], best[2], -best[0])
+    return out
+
+
+@pytest.mark.parametrize(("threshold", "rows"), [(80, 256), (88, 3), (60, 256)])
+def test_similar_labels_finds_the_plain_best(spark, monkeypatch, threshold, rows):
+    """Shared words, frequent words, typing errors, texts without a common word, ties."""
+    monkeypatch.setattr(similarity, "ROWS", rows)
+    rng = random.Random(threshold)
+    words = ["clinic", "clinics", "care", "maternal", "supply", "supplies", "of", "of", "of", "drugs", "drug", "fuel", "internationalisation", "x"]
+
+    def phrase():
+        w = rng.choices(words, k=rng.randint(1, 5))
+        if rng.random() < 0.3:
+            k = rng.randrange(len(w))
+            w[k] = w[k][:-1] + rng.choice("sz") if len(w[k]) > 2 else w[k]
+        return " ".join(w)
+
+    labels = [(f"L{k:03d}", phrase()) for k in range(80)] + [("L900", "of"), ("L901", "clinic\tcare")]
+    texts = [phrase() for _ in range(300)] + ["", "of", "zzz", "internationalization", "care clinic"]
+    got = similar_labels(spark.createDataFrame([(t,) for t in texts] + [(None,)], "folded string"),
+                         spark.createDataFrame([*labels, (None, "care"), ("L902", None)], "code string, folded string"), threshold)
+    last = {x: c for c, x in sorted(labels)}
+    want = plain_best(set(texts), [(c, x) for x, c in last.items()], threshold)
+    assert {r["folded"]: (r["code"], r["label"], r["score"]) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_many_labels_in_one_plan(spark):
+    """100,000 labels are a table like any other: no job runs while the plan is made and no label stands in it."""
+    labels = spark.range(100_000).select(F.format_string("C%06d", "id").alias("code"), F.concat_ws(" ", F.lit("label"), F.hex(F.col("id") * 7919)).alias("folded"))
+    texts = spark.createDataFrame([("label 1EEF",), ("nothing near it at all",)], "folded string")
+    tracker, seen = spark.sparkContext.statusTracker(), len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    found = similar_labels(texts, labels, 88)
+    assert len(tracker.getJobIdsForGroup()) == seen and len(found._jdf.queryExecution().analyzed().toString()) < 30_000
+    assert [(r["folded"], r["code"], r["score"]) for r in found.collect()] == [("label 1EEF", "C000001", 100.0)]

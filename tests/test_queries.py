@@ -1,5 +1,4 @@
 """Every registered query against its independent SQL answer on the smallest tables."""
-import random
 import sys
 from pathlib import Path
 
@@ -9,7 +8,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import __spark_entry__ as contract  # noqa: E402
 from compare import connect, difference  # noqa: E402
-from spendledger.functions.similarity import LabelIndex, token_set_ratio  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).is_dir(), reason="driver tables are not here")
@@ -29,18 +27,6 @@ def test_every_answer_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-def test_label_index_finds_the_plain_best():
-    rng = random.Random(4)
-    words = ["clinic", "clinics", "care", "maternal", "supply", "supplies", "of", "drugs", "drug", "fuel"]
-    labels = [" ".join(rng.sample(words, rng.randint(1, 4))) for _ in range(60)]
-    index = LabelIndex(labels, 80)
-    for _ in range(400):
-        text = " ".join(rng.sample(words, rng.randint(1, 5)))
-        scores = [token_set_ratio(text, x) for x in labels]
-        top = max(scores)
-        assert index.best(text) == ((scores.index(top), top) if top >= 80 else (None, None))
-
-
 def test_entry(spark):
     df = contract.entry(spark)
     assert df.columns == ["country_code", "sha", "records", "total_usd", "warned"] and df.count() > 0
