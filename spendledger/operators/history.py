@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .joins import salted_lookup
 from .landing import RECORD_KEY
 
@@ -25,28 +26,27 @@ def current(history: DataFrame, key: Sequence[str] = SCHEME_KEY, seq: str = "seq
     return latest.select(*key, "_latest.*").select(*history.columns)
 
 
-def with_previous(history: DataFrame, key: Sequence[str], seq: str, value: str,
-                  bucket_rows: int = 1_000_000) -> DataFrame:
-    """Each history row with its predecessor's ``value`` within the key.
+def with_previous(history: DataFrame, key: Sequence[str], seq: str, value: str) -> DataFrame:
+    """Each history row with its predecessor's ``value`` within the key, whatever the sequence numbers.
 
-    A long history is cut into ranges of ``seq``; only each range's last value crosses to
-    the next one, so no task ever sorts a whole hot key.
+    The rows are dealt to ranges of key and sequence and written; a long history lies in
+    several ranges.  Inside each range the predecessor is the row before; only the last
+    value of a range crosses to the next one that holds the key, so no task sorts a whole
+    hot key.  Keys may be null.
     """
-    cut = history.withColumn("_bucket", F.floor(F.col(seq) / F.lit(bucket_rows)))
-    inside = Window.partitionBy(*key, "_bucket").orderBy(seq)
-    across = Window.partitionBy(*key).orderBy("_bucket")
-    lasts = (
-        cut.groupBy(*key, "_bucket").agg(F.max_by(F.struct(value), seq).alias("_last"))
-        .withColumn("_before", F.lag(F.col("_last")[value]).over(across))
-        .select(*key, "_bucket", "_before")
-    )
-    numbered = cut.withColumns({
-        "_n": F.row_number().over(inside),
-        f"previous_{value}": F.lag(value).over(inside),
-    })
-    return numbered.join(lasts, [*key, "_bucket"]).withColumn(
-        f"previous_{value}", F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col(f"previous_{value}"))
-    ).drop("_n", "_before", "_bucket")
+    placed = stored(history.repartitionByRange(*key, seq).withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("_range", *key).orderBy(seq)
+    # One row for each key and range.
+    lasts = placed.groupBy("_range", *key).agg(F.max_by(F.struct(value), seq).alias("_last"))
+    across = Window.partitionBy(*key).orderBy("_range")
+    before = lasts.select(F.col("_range").alias("_r"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)],
+                          F.lag(F.col("_last")[value]).over(across).alias("_before"))
+    numbered = placed.withColumns({"_n": F.row_number().over(inside), f"previous_{value}": F.lag(value).over(inside)})
+    same = F.col("_range") == F.col("_r")
+    for i, c in enumerate(key):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return numbered.join(before, same).select(
+        *history.columns, F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col(f"previous_{value}")).alias(f"previous_{value}"))
 
 
 def is_pending(status: str = "review_status", flag: str = "needs_review", outcome: str = "outcome"):

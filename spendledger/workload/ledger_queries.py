@@ -740,18 +740,18 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("amount").cast("double").alias("total"))
 
 
-def _delivery(orders: DataFrame, path: str) -> str:
+def delivery(orders: DataFrame, path: str) -> str:
     """Orders as a delimited extract of several files."""
     orders.select(
         F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
         F.col("o_orderpriority").alias("account"), F.col("o_orderpriority").alias("text"),
         F.col("o_totalprice").cast("decimal(18,2)").alias("amount"),
-    ).write.option("header", True).csv(path)
+    ).write.mode("append").option("header", True).csv(path)
     return path
 
 
-def _order_spec(code: str) -> SourceSpec:
-    return SourceSpec(code, path="orders", currency="USD", date_formats=("%Y-%m-%d",), field_map={
+def order_spec(code: str, path: str = "orders") -> SourceSpec:
+    return SourceSpec(code, path=path, currency="USD", date_formats=("%Y-%m-%d",), field_map={
         "source_record_id": "id", "txn_date": "day", "account_code": "account", "description": "text", "amount": "amount"})
 
 
@@ -770,14 +770,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = feeds.table(spark, sf_dir, "orders")
     reference = Reference(feeds.fx(spark), {"authoritative": True}, feeds.mapping(spark), feeds.RULES)
     for code in ("O", "F", "P"):
-        path = _delivery(orders.where(F.col("o_orderstatus") == code), f"{root}/first/{code}")
-        load_source(spark, wh, _order_spec(code), path, reference, at)
+        path = delivery(orders.where(F.col("o_orderstatus") == code), f"{root}/first/{code}")
+        load_source(spark, wh, order_spec(code), path, reference, at)
     urgent = orders.where("o_orderpriority = '1-URGENT'")
-    again = {c: _delivery(urgent.where(F.col("o_orderstatus") == c), f"{root}/second/{c}") for c in ("O", "F")}
-    load_source(spark, wh, _order_spec("F"), again["F"], reference, datetime(2025, 1, 2))
+    again = {c: delivery(urgent.where(F.col("o_orderstatus") == c), f"{root}/second/{c}") for c in ("O", "F")}
+    load_source(spark, wh, order_spec("F"), again["F"], reference, datetime(2025, 1, 2))
     broken = replace(reference, fx=reference.fx.withColumn("rate", F.raise_error(F.lit("no rates today")).cast("decimal(18,6)")))
     try:
-        load_source(spark, wh, _order_spec("O"), again["O"], broken, datetime(2025, 1, 2))
+        load_source(spark, wh, order_spec("O"), again["O"], broken, datetime(2025, 1, 2))
         raise AssertionError("the load was to fail")
     except PySparkException as e:
         if "no rates today" not in str(e):

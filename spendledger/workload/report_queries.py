@@ -146,7 +146,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, scheme, seq, code, lag(code) OVER (PARTITION BY user_id, scheme ORDER BY seq) AS previous_code FROM history
 """))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_previous(_history(spark, sf_dir), ["user_id", "scheme"], "seq", "code", bucket_rows=2000).select(
+    return with_previous(_history(spark, sf_dir), ["user_id", "scheme"], "seq", "code").select(
         "user_id", "scheme", "seq", "code", "previous_code")
 
 
