@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SourceSpec
+from ..functions.text import fold
 from ..operators.history import with_previous
+from ..operators.rules import first_rules, rules_table
 from ..plans import reports
 from ..plans.load import Reference, build, control_issues, control_totals, load_source
 from ..session import scratch_path, values_table
@@ -136,3 +138,34 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = feeds.table(spark, sf_dir, "events").select(
         "event_type", "event_id", "user_id", (F.col("event_id") * 1_000_003 + 1_600_000_000_000_000).alias("seq"))
     return with_previous(events, ["event_type"], "seq", "user_id").select("event_type", "event_id", "previous_user_id")
+
+
+@query("rules_indexed", r"""
+WITH name AS (SELECT DISTINCT p_name FROM part),
+rule AS (SELECT string_split(p_name, ' ')[1] || ' ' || string_split(p_name, ' ')[2] AS phrase, min(p_partkey) AS position
+  FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1)
+SELECT p_name AS folded, min(position) AS position, 'R' || min(position) AS rule_id
+FROM name JOIN rule ON contains(' ' || p_name || ' ', ' ' || phrase || ' ') GROUP BY p_name
+""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three parts give a rule for the first two words of their names; every name gets the first rule it matches."""
+    part = feeds.table(spark, sf_dir, "part")
+    words = F.split("p_name", " ")
+    rules = part.where("p_partkey % 3 <> 0").select(
+        F.col("p_partkey").alias("position"), F.concat(F.lit("R"), "p_partkey").alias("rule_id"),
+        F.concat(F.lit(r"\b("), words[0], F.lit(" "), words[1], F.lit(r")\b")).alias("pattern"))
+    return first_rules(part.select(fold(F.col("p_name")).alias("folded")), rules).select("folded", "position", "rule_id")
+
+
+@query("rules_from_indexed_table", r"""
+SELECT l_partkey, CASE WHEN regexp_matches(p_name, '\b(ring|rod)\b') THEN 'W-METAL' WHEN regexp_matches(p_name, '\banvil\b') THEN 'W-ANVIL'
+  WHEN regexp_matches(p_name, '\bblue\b') THEN 'W-BLUE' END AS rule_id, count(*) AS n
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL
+""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The configured rules as a table, found for each distinct text and joined back to the rows."""
+    part = feeds.table(spark, sf_dir, "part").select("p_partkey", fold(F.col("p_name")).alias("folded"))
+    item = feeds.table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    rows = item.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    found = first_rules(part.select("folded"), rules_table(spark, feeds.RULES.sha)).select("folded", "rule_id")
+    return rows.join(found, "folded", "left").select("l_partkey", "rule_id", "n")

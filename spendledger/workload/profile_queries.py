@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import profile
+from ..operators import profile, sketches
 from ..session import stored
 from . import feeds
 from .answers import LINES, with_
@@ -246,3 +246,42 @@ SELECT a.c AS country_a, b.c AS country_b, count(*) AS shared_codes FROM k a JOI
 """)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.code_overlap(feeds.table(spark, sf_dir, "orders"), "o_orderpriority", "o_custkey")
+
+
+_SKETCHED = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
+@query("column_sketches", "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null, true AS distinct_within_bound,"
+    f" true AS median_within_bound FROM orders" for c in _SKETCHED))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of each status's orders merged to one, held against exact counts: three standard errors, two ranks in a hundred."""
+    orders = feeds.table(spark, sf_dir, "orders")
+    merged = sketches.estimates(sketches.merge_sketches(sketches.sketch_columns(
+        orders.withColumn("load", F.col("o_orderstatus")), _SKETCHED, by=["load"])))
+    wide = orders.agg(*[x for c in _SKETCHED for x in (
+        F.count_distinct(F.col(c).cast("string")).alias(f"{c}_n"),
+        F.percentile(F.char_length(F.col(c).cast("string")), F.array(F.lit(0.48), F.lit(0.52))).alias(f"{c}_m"))])
+    exact = wide.select(F.inline(F.array(*[F.struct(
+        F.lit(c).alias("column_name"), F.col(f"{c}_n").alias("exact"), F.col(f"{c}_m").alias("near")) for c in _SKETCHED])))
+    bound = 3 * 1.04 / 2 ** (sketches.LOG_K / 2)
+    return merged.join(exact, "column_name").select(
+        "column_name", "n_rows", "n_null",
+        (F.abs(F.col("n_distinct") - F.col("exact")) <= bound * F.col("exact") + 1).alias("distinct_within_bound"),
+        F.col("length_50").between(F.floor(F.col("near")[0]), F.ceil(F.col("near")[1])).alias("median_within_bound"))
+
+
+@query("column_sketches_by_load", """
+SELECT o_orderstatus AS load, count(*) AS n_rows, true AS within_bound, max(length(o_orderpriority)) AS max_length FROM orders GROUP BY 1
+""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct customers of each load from its own sketch, within the bound of the exact count."""
+    orders = feeds.table(spark, sf_dir, "orders").withColumn("load", F.col("o_orderstatus"))
+    made = sketches.sketch_columns(orders, ["o_custkey", "o_orderpriority"], by=["load"])
+    found = sketches.estimates(made).groupBy("load").pivot("column_name", ["o_custkey", "o_orderpriority"]).agg(
+        F.first("n_rows").alias("n_rows"), F.first("n_distinct").alias("n"), F.first("max_length").alias("max_length"))
+    exact = orders.groupBy("load").agg(F.count_distinct("o_custkey").alias("exact"))
+    bound = 3 * 1.04 / 2 ** (sketches.LOG_K / 2)
+    return found.join(exact, "load").select(
+        "load", F.col("o_custkey_n_rows").alias("n_rows"), (F.abs(F.col("o_custkey_n") - F.col("exact")) <= bound * F.col("exact") + 1).alias("within_bound"),
+        F.col("o_orderpriority_max_length").alias("max_length"))

@@ -7,10 +7,12 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from spendledger.config import DEFAULT_RULES
+from spendledger.config import DEFAULT_RULES, Rule
 from spendledger.functions.amounts import amount_value, declared_reading, parse_amount
 from spendledger.functions.dates import _compile, date_problem, fiscal_year_label, parse_date
 from spendledger.functions import similarity
+from spendledger.operators.classify import keyword_result
+from spendledger.operators.rules import first_rules, rule_words, rules_table
 from spendledger.functions.similarity import similar_labels, token_set_ratio
 from spendledger.functions.text import (
     clean_code, contains_ignoring_case, fold, matching_patterns, normalise_text,
@@ -244,3 +246,26 @@ def test_many_labels_in_one_plan(spark):
     found = similar_labels(texts, labels, 88)
     assert len(tracker.getJobIdsForGroup()) == seen and len(found._jdf.queryExecution().analyzed().toString()) < 30_000
     assert [(r["folded"], r["code"], r["score"]) for r in found.collect()] == [("label 1EEF", "C000001", 100.0)]
+
+
+def test_first_rules_match_the_chain(spark):
+    """The first rule by position as one chain of tests finds it, for keyed rules and for patterns of other forms."""
+    own = [Rule("P1", r"care|\bfuel\b", "A"), Rule("P2", r"\b(fuel)\b|x", "B"), Rule("P3", r"\b(supply chain|late)\b.*\b(now|then)\b", "C"),
+           Rule("P4", r"\b(opt)\b?al", "D"), Rule("P5", r"^end", "E"), *DEFAULT_RULES.sha]
+    rng = random.Random(2)
+    words = ["care", "fuel", "supply", "chain", "late", "now", "optional", "end", "screening", "vaccine", "vaccines", "campaign", "immunization", "box", "cleaning,"]
+    texts = sorted({" ".join(rng.choices(words, k=rng.randint(1, 5))) for _ in range(200)})
+    df = spark.createDataFrame([(t,) for t in texts] + [("",), (None,)], "folded string")
+    want = {r["folded"]: r["k"]["rule_id"] for r in df.select("folded", keyword_result(F.col("folded"), own, 0.5).alias("k")).collect() if r["k"]}
+    got = {r["folded"]: r["rule_id"] for r in first_rules(df, rules_table(spark, own)).collect()}
+    assert got == want and len(set(want.values())) >= 8
+    keyed = rules_table(spark, own).select("rule_id", rule_words(F.col("pattern")).alias("w")).collect()
+    assert {r["rule_id"]: r["w"] for r in keyed if r["rule_id"][0] == "P"} == {"P1": None, "P2": None, "P3": ["supply", "late"], "P4": None, "P5": None}
+
+
+def test_twenty_thousand_rules_are_a_table(spark):
+    rules = spark.range(20_000).select(F.col("id").cast("int").alias("position"), F.concat(F.lit(r"\b(word"), "id", F.lit(r")\b")).alias("pattern"))
+    texts = spark.createDataFrame([("a word19999 and word7",), ("word 5",)], "folded string")
+    found = first_rules(texts, rules)
+    assert [(r["folded"], r["position"]) for r in found.collect()] == [("a word19999 and word7", 7)]
+    assert len(found._jdf.queryExecution().analyzed().toString()) < 20_000
