@@ -194,6 +194,41 @@ def test_bins_odd_rows(spark, make):
     assert bin_packing.pack(sized.limit(0)).count() == 0
 
 
+def plain_packing(lengths, capacities, cost):
+    """Cost and bins of the cheapest of all ways to open bins, each packed from plain lists."""
+    by_unit = lambda x: min((c for c in sorted(capacities) if c >= x), key=lambda c: cost(c) / c)
+    ways = [by_unit, *(lambda x, w=w: max(w, min(c for c in capacities if c >= x)) for w in sorted(capacities))]
+    found = []
+    for opens in ways:
+        bins = []
+        for x in lengths:
+            open_ = [b for b in bins if b["room"] >= x]
+            if open_:
+                least = min(b["room"] for b in open_)
+                bin_ = [b for b in open_ if b["room"] == least][-1]
+            else:
+                bins.append(bin_ := {"room": opens(x), "used": 0})
+            bin_["room"] -= x
+            bin_["used"] += x
+        final = sorted(min(c for c in capacities if c >= b["used"]) for b in bins)
+        found.append((sum(map(cost, final)), final))
+    return found
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_cheapest_packing_against_all_ways(seed):
+    """The group's final lengths cost what the cheapest way costs; no way is cheapest for all inputs."""
+    rng = np.random.default_rng(seed)
+    capacities, cost = (16, 32, 64, 128), lambda c: 9 + c + c * c / 150
+    lengths = sorted(rng.integers(1, (20, 128, 40, 128, 9, 65)[seed], 150).tolist(), reverse=True)
+    where, final = bin_packing.pack_group(lengths, capacities, cost)
+    ways = plain_packing(lengths, capacities, cost)
+    assert abs(sum(cost(int(c)) for c in final) - min(w[0] for w in ways)) < 1e-6
+    used = np.bincount(where, lengths, len(final)).astype(int)
+    assert all(u <= c and not any(u <= d < c for d in capacities) for u, c in zip(used.tolist(), final.tolist(), strict=True))
+    assert len({round(w[0], 6) for w in ways}) > 1
+
+
 def partial_copies(rng, items):
     """Documents with a cut copy or a replaced clause of an item, shares on both sides of the threshold."""
     docs = []
