@@ -3,12 +3,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
 from .joins import salted_lookup
-from .landing import POSITION, RECORD_KEY
+from .landing import POSITION
 from .quality import batch_issues
 
 
@@ -38,20 +38,23 @@ def canonicalise(
     group: Sequence[str] = ("country_code", "batch_id"),
     text: str = "description",
     order: Sequence[str] = (*POSITION, "child_pos"),
-    row_key: Sequence[str] = RECORD_KEY,
 ) -> DataFrame:
     """Rewrite ``text`` to its group's canonical spelling; the raw text column is left alone.
 
     Spelling counts are reduced before the shuffle, and only spellings that lose to
-    another one are joined back, so a ledger without variants joins to nothing.
+    another one are joined back.  They are few as a rule, and then Spark sends them to the
+    rows by their measured size; where they are not, it splits a hot spelling by the
+    measured size of its part, so nothing is copied or salted beforehand.
     """
     counts = spelling_counts(facts, group, text, order)
-    chosen = canonical_spellings(counts, group).where("n_spellings > 1").select(*group, "fold_key", "canonical")
-    losing = salted_lookup(
-        counts.select(*group, "spelling", "fold_key"), chosen, [*group, "fold_key"], ["spelling"], how="inner"
-    ).where("spelling <> canonical").select(*group, F.col("spelling").alias(text), "canonical")
-    rewritten = salted_lookup(facts, losing, [*group, text], row_key)
-    return rewritten.withColumn(text, F.coalesce("canonical", text)).drop("canonical").select(*facts.columns)
+    variants = Window.partitionBy(*group, "fold_key")  # the spellings of one text
+    losing = counts.withColumn(
+        "canonical", F.min_by("spelling", F.struct(-F.col("n"), F.col("first_seen"))).over(variants)
+    ).where("spelling <> canonical").select(*[F.col(c).alias(f"_{c}") for c in group], F.col("spelling").alias("_spelling"), "canonical")
+    same = facts[text] == F.col("_spelling")
+    for c in group:
+        same = same & (facts[c] == F.col(f"_{c}"))
+    return facts.join(losing, same, "left").withColumn(text, F.coalesce("canonical", text)).select(*facts.columns)
 
 
 def variant_issues(facts: DataFrame, detected_at=None) -> DataFrame:

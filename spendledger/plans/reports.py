@@ -367,6 +367,11 @@ def issue_detail(positions: DataFrame, rule: str, limit: int | None = None) -> D
     return ordered if limit is None else ordered.limit(limit)
 
 
+def staged_record(staged: DataFrame, country: str, source_record_id: str | Column) -> DataFrame:
+    """The staged rows of one record: what a trace starts from where facts are not stored."""
+    return staged.where((F.col("country_code") == country) & (F.col("source_record_id") == source_record_id))
+
+
 def trace(facts: DataFrame, staged: DataFrame, batches: DataFrame, country: str, source_record_id: str) -> DataFrame:
     """Record to staged payload to load, for every record with the id, counted or not."""
     mine = facts.where((F.col("country_code") == country) & (F.col("source_record_id") == source_record_id))

@@ -26,6 +26,8 @@ from ..operators.history import merge_decisions
 SHARED = ""
 _VERSIONS = "_versions"
 _COUNTRY, _LOAD = "country_code", "load"
+#: Tables searched by one value: files are sorted by it and carry a Bloom filter over it, so a look-up reads few of them.
+LOOKED_UP = {"staged": "source_record_id", "facts": "source_record_id"}
 
 
 class ConcurrentChange(RuntimeError):
@@ -173,7 +175,13 @@ class Warehouse:
         if _COUNTRY not in rows.columns:
             rows.write.parquet(f"{self.root}/{folder}")
             return {SHARED: [folder]}
-        rows.write.partitionBy(_COUNTRY).parquet(f"{self.root}/{folder}")
+        by = LOOKED_UP.get(table)
+        if by in rows.columns:
+            rows = rows.sortWithinPartitions(_COUNTRY, by)
+            writer = rows.write.option(f"parquet.bloom.filter.enabled#{by}", "true")
+        else:
+            writer = rows.write
+        writer.partitionBy(_COUNTRY).parquet(f"{self.root}/{folder}")
         return {unquote(n.partition("=")[2]): [f"{folder}/{n}"] for n in self._names(folder) if n.startswith(f"{_COUNTRY}=")}
 
     @contextmanager

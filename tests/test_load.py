@@ -429,3 +429,21 @@ def test_decisions_are_appended(spark, tmp_path):
     compact_history(wh)
     assert tables_of(wh)["classification"] == merged and wh.manifest("CTX")["tables"]["decided"]["paths"] == []
     assert wh.manifest("CTX")["tables"]["classification"]["paths"] != base
+
+
+def test_a_look_up_reads_few_rows(spark, tmp_path):
+    """Of forty files without an order among them, the Bloom filters leave those that hold the record."""
+    wh = Warehouse(spark, str(tmp_path / "wh"))
+    rows = spark.range(40_000).select(F.lit("A").alias("country_code"), F.concat(F.lit("R"), F.md5(F.col("id").cast("string"))).alias("source_record_id"),
+                                      F.col("id").alias("n")).repartition(40)
+    wh.append("facts", rows)
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        wanted = rows.where("n = 777").first()["source_record_id"]
+        found = wh.read("facts").where(F.col("source_record_id") == wanted)
+        assert [r["n"] for r in found.collect()] == [777]
+        scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+        assert 0 < scan.metrics().apply("numOutputRows").value() <= 3_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
