@@ -4,7 +4,7 @@ from __future__ import annotations
 import functools
 import json
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,6 +55,23 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(single_from + dropped), "".join(single_to), multi
 
 
+_BEYOND_LATIN = 0x250
+
+
+def _spans(chars: Iterable[str]) -> str:
+    """A class of few ranges that covers some characters: Latin ones less than 64 apart share a range, all beyond are one.
+
+    A class that lists thousands of characters is tried one by one, and so is every range.
+    """
+    points, spans = sorted(map(ord, chars)), []
+    for p in points:
+        if spans and (p - spans[-1][1] < 64 or spans[-1][0] >= _BEYOND_LATIN):
+            spans[-1][1] = p
+        else:
+            spans.append([p, p])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans) + "]"
+
+
 def fold(col: Column) -> Column:
     """Accent-free lower case used as a matching key; NULL stays NULL.
 
@@ -71,7 +88,7 @@ def fold(col: Column) -> Column:
     expanded = F.translate(expanded, source, target)
     folded = (
         F.when(~col.rlike(r"[^\x00-\x7F]"), col)
-        .when(col.rlike(expanding), expanded)
+        .when(col.rlike(_spans(multi)) & (F.translate(col, "".join(multi), "") != col), expanded)
         .otherwise(plain)
     )
     return strip(F.lower(folded))
