@@ -55,6 +55,28 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(single_from + dropped), "".join(single_to), multi
 
 
+def _ranges(chars: Sequence[str], gap: int) -> str:
+    """Characters as regex ranges; with a ``gap`` above one the ranges also cover what lies between near ones."""
+    ranges: list[list[int]] = []
+    for point in sorted(map(ord, chars)):
+        if ranges and point - ranges[-1][1] <= gap:
+            ranges[-1][1] = point
+        else:
+            ranges.append([point, point])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges)
+
+
+@functools.lru_cache(maxsize=1)
+def _expanding() -> str:
+    """A class of the characters that expand to several.
+
+    A class is tried range by range, so it is nested: ASCII fails at the first test, other
+    scripts at one of a few wide ranges, and the exact ranges are tried for the rest alone.
+    """
+    multi = list(_fold_tables()[2])
+    return rf"[[^\x00-\x7F]&&[{_ranges(multi, 256)}]&&[{_ranges(multi, 1)}]]"
+
+
 def fold(col: Column) -> Column:
     """Accent-free lower case used as a matching key; NULL stays NULL.
 
@@ -65,12 +87,12 @@ def fold(col: Column) -> Column:
     source, target, multi = _fold_tables()
     plain = F.translate(col, source, target)
     table = F.from_json(F.lit(json.dumps(multi)), "map<string,string>")
-    present = F.array_distinct(F.regexp_extract_all(col, F.lit("[" + "".join(multi) + "]"), F.lit(0)))
+    present = F.array_distinct(F.regexp_extract_all(col, F.lit(_expanding()), F.lit(0)))
     expanded = F.aggregate(present, col, lambda text, c: F.replace(text, c, F.element_at(table, c)))
     expanded = F.translate(expanded, source, target)
     folded = (
         F.when(~col.rlike(r"[^\x00-\x7F]"), col)
-        .when(F.translate(col, "".join(multi), "") != col, expanded)
+        .when(col.rlike(_expanding()), expanded)
         .otherwise(plain)
     )
     return strip(F.lower(folded))

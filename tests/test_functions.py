@@ -1,5 +1,6 @@
 """Literal cases for the scalar functions, and brute-force checks against plain Python."""
 import random
+import time
 import unicodedata
 from datetime import date
 from decimal import Decimal
@@ -145,6 +146,15 @@ def test_keywords_with_words_of_ascii_letters(spark):
     assert {r["folded"]: (r["u"], r["a"]) for r in got} == texts
 
 
+def test_fold_of_long_texts_with_expanding_letters_is_quick(spark):
+    """A class tried letter by letter took 49 s for this."""
+    text = F.concat(F.repeat(F.lit("plain words \u4e2d\u0436 \u00e9\u2026 "), 20_000), F.lit("\u00bd \ufb01"))
+    rows = spark.range(40).select(F.concat(F.col("id").cast("string"), text).alias("t"))
+    start = time.monotonic()
+    assert rows.select(F.char_length(fold(F.col("t"))).alias("n")).distinct().count() == 2  # ids of one and two digits
+    assert time.monotonic() - start < 30
+
+
 def test_fold_matches_the_unicode_database(spark):
     def by_hand(s):
         d = unicodedata.normalize("NFKD", s)
