@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .joins import salted_lookup
 from .landing import RECORD_KEY
 
 SCHEME_KEY = (*RECORD_KEY, "scheme")
@@ -73,10 +72,26 @@ def apply_decisions(current_rows: DataFrame, decisions: DataFrame,
     ACCEPT restates the current row as ACCEPTED under its own sequence number;
     CORRECT appends a manual row after it.  Rows without a decision are not returned.
     """
+    return _decide(current_rows.where(is_pending()), decisions, key, seq, "inner")
+
+
+def reviewed(current_rows: DataFrame, decisions: DataFrame,
+             key: Sequence[str] = SCHEME_KEY, seq: str = "seq") -> DataFrame:
+    """The current rows once the decisions are in: those decided on changed, all others as they are.
+
+    What ``current(merge_decisions(…, apply_decisions(…)))`` gives for rows that are all
+    current, by one join: no history is shuffled again and nothing is read twice.
+    """
+    return _decide(current_rows, decisions, key, seq, "left")
+
+
+def _decide(rows: DataFrame, decisions: DataFrame, key: Sequence[str], seq: str, how: str) -> DataFrame:
+    """One join on the record and scheme, of which both sides have one row: no key is hot, so none is salted."""
     first = effective_decisions(decisions, key).select(
         *key, "action", "new_code", F.col("reviewed_by").alias("_by"),
         F.col("review_note").alias("_note"), "decided_at")
-    taken = salted_lookup(current_rows.where(is_pending()), first, key, key, how="inner")
+    taken = rows.join(first, list(key), how)
+    decided = is_pending() & F.col("action").isNotNull()
     fixed = F.col("action") == "CORRECT"
     none = F.lit(None).cast("string")
     changed = {
@@ -98,7 +113,7 @@ def apply_decisions(current_rows: DataFrame, decisions: DataFrame,
         seq: F.when(fixed, F.col(seq) + 1).otherwise(F.col(seq)),
     }
     return taken.select(*[
-        (changed[c] if c in changed else F.col(c)).alias(c) for c in current_rows.columns
+        (F.when(decided, changed[c]).otherwise(F.col(c)) if c in changed else F.col(c)).alias(c) for c in rows.columns
     ])
 
 

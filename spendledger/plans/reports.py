@@ -319,11 +319,16 @@ def review_page(queue: DataFrame, scheme: str, country: str | None = None, limit
     return largest_records(mine, limit, row_key)
 
 
-def decisions_log(current_rows: DataFrame, facts: DataFrame, key: Sequence[str] = RECORD_KEY) -> DataFrame:
-    """Every accept or correction still in force; newest first when shown."""
+def decisions_log(current_rows: DataFrame, facts: DataFrame | None = None, key: Sequence[str] = RECORD_KEY) -> DataFrame:
+    """Every accept or correction still in force; newest first when shown.
+
+    Without ``facts`` the rows carry ``source_record_id`` and ``amount_usd`` themselves and nothing is joined.
+    """
+    shown = ("source_record_id", "amount_usd")
     decided = current_rows.where(F.col("review_status").isin("ACCEPTED", "CORRECTED")).select(
-        *key, "scheme", "code", "outcome", "method", "review_status", "reviewed_by", "reviewed_at", "review_note")
-    return decided.join(facts.select(*key, "source_record_id", "amount_usd"), list(key))
+        *key, "scheme", "code", "outcome", "method", "review_status", "reviewed_by", "reviewed_at", "review_note",
+        *(shown if facts is None else ()))
+    return decided if facts is None else decided.join(facts.select(*key, *shown), list(key))
 
 
 def issues_by_rule(issues: DataFrame) -> DataFrame:
