@@ -57,7 +57,7 @@ def first_rules(texts: DataFrame, rules: DataFrame) -> DataFrame:
     index = keyed.select("pattern", "position", F.explode(F.coalesce("_words", F.array(F.lit("")))).alias("word"))
     distinct = texts.where("folded <> ''").select("folded").distinct()
     held = distinct.select("folded", F.explode(F.array_distinct(F.concat(_word_list(F.col("folded")), F.array(F.lit(""))))).alias("word"))
-    met = held.join(index, "word").where(F.expr("folded rlike concat('(?iU)', pattern)"))
+    met = held.join(index, "word").where(F.expr("folded rlike concat('(?idU)', pattern)"))
     first = met.groupBy("folded").agg(F.min("position").alias("position"))
     named = once.select("position", "pattern", "_rest.*")
     return first.join(named, "position").select("folded", *rules.columns)
