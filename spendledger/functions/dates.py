@@ -47,6 +47,13 @@ def _compile(fmt: str) -> tuple[str, str]:
 def parse_format(col: Column, fmt: str) -> Column:
     """One strptime format; NULL unless the whole text fits."""
     shape, pattern = _compile(fmt)
+    if sorted(d for d, _ in re.findall(r"%(.)|([^%]+)", fmt) if d) == ["Y", "d", "m"]:
+        # Day, month and year as digits: rearranged to an ISO date, which Spark casts without a formatter.
+        order = re.findall(r"%(.)", fmt)
+        shape = shape[:-1] + r"\z"
+        parts = re.sub(r"(\\d\{[^}]*\})", r"(\1)", shape)
+        iso = F.regexp_replace(col, parts, "-".join(f"${order.index(d) + 1}" for d in "Ymd"))
+        return F.when(col.rlike(shape.replace(r"\d{4}", r"(?!0000)\d{4}")), iso.try_cast("date"))
     day = F.try_to_date(col, pattern)
     if "yy" in pattern and "yyyy" not in pattern:
         day = F.when(F.year(day) > 2068, F.add_months(day, -1200)).otherwise(day)
@@ -55,7 +62,7 @@ def parse_format(col: Column, fmt: str) -> Column:
 
 def day_part(col: Column) -> Column:
     """Stripped text without anything from ``T`` on."""
-    return F.substring_index(strip(col), "T", 1)
+    return F.when(col.rlike(r"^[!-SU-~]++\z"), col).otherwise(F.substring_index(strip(col), "T", 1))
 
 
 def declared_date(day: Column, formats: Sequence[str]) -> Column:
@@ -80,9 +87,8 @@ def parse_date(col: Column, formats: Sequence[str]) -> Column:
 
 def date_problem(raw: Column, parsed: Column) -> Column:
     """NULL, ``missing`` or ``unparseable:…`` for a raw text and its parsed date."""
-    return F.when(is_blank(raw), F.lit("missing")).when(
-        parsed.isNull(), F.concat(F.lit("unparseable:"), day_part(raw))
-    )
+    unread = F.when(is_blank(raw), F.lit("missing")).otherwise(F.concat(F.lit("unparseable:"), day_part(raw)))
+    return F.when(parsed.isNull(), unread)
 
 
 def fiscal_year_start(day: Column, first_month: int = 7) -> Column:

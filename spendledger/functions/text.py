@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import unicodedata
 from collections.abc import Sequence
 
@@ -14,14 +15,22 @@ _BLANK = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3
 _BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
+# Printable ASCII: words parted by single spaces, and text without a blank at either end.
+_CLEAN = r"^[!-~]++(?: [!-~]++)*+\z"
+_TRIMMED = r"^[!-~](?:[ -~]*[!-~])?\z"
+
+
 def strip(col: Column) -> Column:
     """Remove leading and trailing blanks of any kind, no-break spaces included."""
     return F.trim(col, F.lit(_BLANKS))
 
 
 def normalise_text(col: Column) -> Column:
-    """Collapse blank runs to one space, trim, empty becomes NULL; case is kept."""
-    return F.nullif(F.trim(F.regexp_replace(col, rf"{_BLANK}+", " ")), F.lit(""))
+    """Collapse blank runs to one space, trim, empty becomes NULL; case is kept.
+
+    Text that is clean already, the common case, only pays for a probe.
+    """
+    return F.when(col.rlike(_CLEAN), col).otherwise(F.nullif(F.trim(F.regexp_replace(col, rf"{_BLANK}+", " ")), F.lit("")))
 
 
 def clean_code(col: Column) -> Column:
@@ -95,7 +104,7 @@ def fold(col: Column) -> Column:
         .when(col.rlike(_expanding()), expanded)
         .otherwise(plain)
     )
-    return strip(F.lower(folded))
+    return F.when(col.rlike(_TRIMMED), F.lower(col)).otherwise(strip(F.lower(folded)))
 
 
 def matching_patterns(col: Column, patterns: Sequence[str]) -> Column:
@@ -110,7 +119,22 @@ def matching_patterns(col: Column, patterns: Sequence[str]) -> Column:
     hits = F.array_compact(
         F.array(*[F.when(col.rlike(f"(?iU){p}"), F.lit(p)) for p in patterns])
     )
-    return F.when(col.rlike(f"(?iU){either}"), hits).otherwise(none)
+    return F.when(found_in(col, either, "i"), hits).otherwise(none)
+
+
+def is_ascii(col: Column) -> Column:
+    return F.octet_length(col) == F.char_length(col)
+
+
+def found_in(col: Column, pattern: str, flags: str) -> Column:
+    """Whether the pattern, read with Unicode classes, is found; on ASCII text the plain reading says the same and is faster.
+
+    That holds for patterns of ASCII characters without property classes, as ``\\p{Punct}`` differs.
+    """
+    unicode = col.rlike(f"(?{flags}U){pattern}")
+    if not pattern.isascii() or re.search(r"\\[pPxuNX0c]|\(\?[a-zA-Z-]*[uU]", pattern):
+        return unicode
+    return F.when(is_ascii(col), col.rlike(f"(?{flags}){pattern}")).otherwise(unicode)
 
 
 def contains_ignoring_case(col: Column, needle: str) -> Column:

@@ -26,6 +26,17 @@ def local_session(app: str = "spendledger", cores: str = "*", shuffle_partitions
     )
 
 
+def compiled(spark: SparkSession) -> SparkSession:
+    """The session, set so that Spark does not fuse operators into methods that the JVM never compiles (over 8,000 bytes).
+
+    For programs that harmonise or classify; a limit below the default that somebody has set stays.
+    """
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(key)) > 8000:
+        spark.conf.set(key, "8000")
+    return spark
+
+
 def values_table(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
     """Configured values as a table whose size the planner knows, unlike one made from Python rows."""
     schema = StructType.fromDDL(ddl)

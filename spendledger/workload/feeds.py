@@ -15,7 +15,7 @@ from ..config import DEFAULT_RULES, Rule, RuleSet, SourceSpec, fx_table, mapping
 from ..operators.canonical import canonicalise
 from ..operators.classify import classify
 from ..operators.harmonise import harmonise
-from ..session import values_table
+from ..session import compiled, values_table
 
 _FIELDS = {
     "source_record_id": "id", "txn_date": "day", "ministry_code": "ministry", "ministry_name": "ministry_name",
@@ -150,7 +150,7 @@ def line_position() -> Column:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as canonical text records of five sources."""
-    nation = table(spark, sf_dir, "nation")
+    nation = table(compiled(spark), sf_dir, "nation")
     supplier = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
         "s_suppkey", "s_name", "n_nationkey", "n_name", F.concat(F.lit("C"), "n_regionkey").alias("country_code"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
@@ -191,7 +191,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # Rendering stands in for the files a source would deliver: evenly sized, and apart from the
     # operators that read them.
-    return rendered.hint("rebalance")
+    # Dealt by the records' own positions: dealt by turns, Spark would sort them all beforehand.
+    return rendered.hint("rebalance", "row_no")
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
