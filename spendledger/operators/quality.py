@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SEVERITY, SourceSpec
-from .joins import salted_lookup
 from .landing import POSITION, RECORD_KEY, convention
 
 ISSUE_COLUMNS = (
@@ -109,28 +108,30 @@ def id_collisions(
     rows: DataFrame,
     group: Sequence[str],
     position: Sequence[str],
-    row_key: Sequence[str],
 ) -> DataFrame:
     """Rows whose id already occurred, with the position of its first occurrence.
 
     First positions come from a partial aggregate, so a hot id is never gathered; only
-    ids that repeat are joined back, salted.
+    ids that repeat are joined back, each once.  The key's hash as a further join key has Spark
+    deal both sides anew, and so split a hot id by the measured size of its part.
     """
+    key = [group[-1], *group[:-1]]  # rows are sorted by it: ids differ early, countries do not
+    named = rows.where(F.col(key[0]).isNotNull() & (F.col(key[0]).cast("string") != ""))
     firsts = (
-        rows.where(F.col(group[-1]).isNotNull() & (F.col(group[-1]).cast("string") != ""))
-        .groupBy(*group)
+        named.groupBy(*key)
         .agg(F.min(F.struct(*position)).alias("first_position"), F.count(F.lit(1)).alias("occurrences"))
         .where("occurrences > 1")
     )
-    return salted_lookup(rows, firsts, group, row_key, how="inner").where(
-        F.struct(*position) != F.col("first_position"))
+    dealt = F.xxhash64(*key).alias("_dealt")
+    found = named.select("*", dealt).join(firsts.select("*", dealt), ["_dealt", *key]).drop("_dealt")
+    return found.where(F.struct(*position) != F.col("first_position"))
 
 
 def collision_issues(harmonised: DataFrame, specs: Sequence[SourceSpec],
                      detected_at: datetime | None = None) -> DataFrame:
     """SOURCE_ID_COLLISION: both records are kept, the later one is reported."""
     own = harmonised.where("child_pos = 0").select(*RECORD_KEY, "source_record_id")
-    repeated = id_collisions(own, ["country_code", "batch_id", "source_record_id"], POSITION, RECORD_KEY)
+    repeated = id_collisions(own, ["country_code", "batch_id", "source_record_id"], POSITION)
     named = [_Named(s.country_code, s.field_map.get("source_record_id")) for s in specs]
     issue = _issue(
         "SOURCE_ID_COLLISION",

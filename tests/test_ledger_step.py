@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+import __spark_entry__ as contract  # noqa: E402
 from spendledger.functions import text as T  # noqa: E402
 from spendledger.functions.amounts import compact  # noqa: E402
 from spendledger.functions.dates import day_part, parse_format  # noqa: E402
+from spendledger.operators.quality import id_collisions  # noqa: E402
 from spendledger.session import compiled  # noqa: E402
 from spendledger.workload import feeds  # noqa: E402
 
@@ -54,6 +56,14 @@ def test_numeric_dates_without_a_formatter(spark, fmt, values):
     assert [r[0] for r in df.select(parse_format(F.col("t"), fmt)).collect()] == list(values.values())
 
 
+def test_repeated_ids_are_joined_once(spark):
+    rows = spark.createDataFrame([("C", "x", n) for n in range(40)] + [("C", "y", 1), ("D", "x", 1), ("C", None, 1), ("C", None, 2), ("C", "", 1), ("C", "", 2)],
+                                 "country string, id string, at int")
+    found = id_collisions(rows, ["country", "id"], ["at"])
+    assert sorted((r["id"], r["at"], r["first_position"]["at"], r["occurrences"]) for r in found.collect()) == [("x", n, 0, 40) for n in range(1, 40)]
+    assert "explode" not in _plan(found)
+
+
 @pytest.mark.skipif(not Path(SF).is_dir(), reason="driver tables are not here")
 def test_lines_are_dealt_by_position_and_stay_compiled(spark):
     assert "RebalancePartitions [row_no" in _plan(feeds.lines(spark, SF))
@@ -61,3 +71,10 @@ def test_lines_are_dealt_by_position_and_stay_compiled(spark):
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "4000")
     assert compiled(spark).conf.get("spark.sql.codegen.hugeMethodLimit") == "4000"
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
+@pytest.mark.skipif(not Path(SF).is_dir(), reason="driver tables are not here")
+@pytest.mark.parametrize("name", ["dq_register_summary", "dq_drilldown", "dq_ranked", "dq_catalogue", "dq_severity", "load_report_issues"])
+def test_register_stores_and_copies_nothing(spark, name):
+    plan = _plan(contract.queries()[name](spark, SF))
+    assert "Relation [l_orderkey" in plan and "_salt" not in plan
