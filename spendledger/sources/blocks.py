@@ -106,8 +106,8 @@ def quoted_records(spark: SparkSession, path: str, quote: str = '"', encoding: s
     def pick(name: str) -> Column:
         return F.when(F.col("start") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
 
-    # A file has a row for each of its blocks: the planner sends this table to the lines.
-    placed = landed.join(blocks, ["file", "block"]).select(
+    # A file has a row for each of its blocks: every task that reads lines gets this table, and no line is shuffled for it.
+    placed = landed.join(F.broadcast(blocks), ["file", "block"]).select(
         "file", "block", "place", "text", pick("inside").alias("inside"), pick("begins").alias("begins"),
         F.col("after").bitwiseXOR(F.col("start")).alias("after"),
         (F.col("earlier") + pick("number")).alias("ordinal"))

@@ -1,6 +1,7 @@
 """Landing, register, splits, canonical spelling, dimensions and maintenance over the driver's tables."""
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import replace
@@ -212,6 +213,16 @@ def _small_blocks(spark: SparkSession, size: str = "256k") -> Iterator[None]:
         spark.conf.set(key, old)
 
 
+#: Bytes of text in a file that a query writes to read it back.
+_FILE_BYTES = 64 << 20
+
+
+def _in_files(rows: DataFrame, size: Column) -> DataFrame:
+    """The rows dealt to tasks that write one file each: three, and more where those would exceed ``_FILE_BYTES``; ``size`` is a row's bytes."""
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    return rows.repartition(max(3, math.ceil(total / _FILE_BYTES)))
+
+
 def _framed(head: str, tail: str):
     """Each partition's records between two lines."""
     def run(batches):
@@ -254,7 +265,8 @@ FROM documents WHERE text IS NOT NULL GROUP BY 1
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of many lines as quoted fields, read back in blocks that cut through them."""
     path = scratch_path(spark, "texts-csv")
-    feeds.table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "lang", "text").repartition(3).write.options(
+    texts = feeds.table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "lang", "text")
+    _in_files(texts, F.octet_length("text")).write.options(
         header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     with _small_blocks(spark):
         rows = read_delimited(spark, path, SourceSpec("C1", multiline=True))

@@ -3,6 +3,8 @@ import csv
 import io
 import json
 import random
+import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +109,42 @@ def test_documents_of_the_old_reader(spark, tmp_path):
     rows = read_json_array(spark, str(tmp_path / "d.json"), SourceSpec("C", reader="json")).orderBy("row_no")
     assert [(r["row_no"], r["payload"]) for r in rows.collect()] == [(1, '{"a":1.5,"b":"1.50"}'), (2, "7"), (3, '"x"')]
     assert rows.where(F.col("payload").isNull()).count() == 0
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def joins(spark, build):
+    """The joins of a plan from the top, where the planner itself thinks no table small."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        return re.findall(r"(\w+Join)\b", build()._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set(key, old)
+
+
+def files_written(spark, monkeypatch, name, per_file):
+    """The answer of a query and its files, where a file may have few bytes."""
+    import __spark_entry__ as contract
+    from compare import connect, difference
+    from spendledger.workload import ledger_queries
+
+    monkeypatch.setattr(ledger_queries, "_FILE_BYTES", per_file, raising=False)
+    made, path = [], ledger_queries.scratch_path
+    monkeypatch.setattr(ledger_queries, "scratch_path", lambda s, n: made.append(path(s, n)) or made[-1])
+    apart = difference(spark, connect(SF), contract.queries()[name], contract.oracle_sql()[name], SF)
+    return apart, [f for d in made for f in Path(d).glob("part-*")]
+
+
+def test_lines_meet_their_block_without_shuffle(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('n,t\n1,"x\ny"\n')
+    assert joins(spark, lambda: quoted_records(spark, str(tmp_path / "a.csv")))[0] == "BroadcastHashJoin"
+
+
+@pytest.mark.skipif(not Path(SF).is_dir(), reason="driver tables are not here")
+def test_csv_files_grow_in_number(spark, monkeypatch):
+    """More text makes more files, not larger ones: each is written by one task."""
+    apart, files = files_written(spark, monkeypatch, "csv_multiline_blocks", 50_000)
+    assert apart is None and len(files) > 5 and max(f.stat().st_size for f in files) < 250_000
