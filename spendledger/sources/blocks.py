@@ -334,7 +334,9 @@ def json_elements(spark: SparkSession, path: str, keys: Sequence[str] = ()) -> D
     behind = counts.select("file", F.col("block").alias("next_block"), F.col("earlier").alias("_e2"))
     ranges = found.join(first, ["file", "first_block"]).join(behind, ["file", "next_block"], "left").select(
         "file", (F.col("_e1") + F.col("first_place")).alias("first"), (F.col("_e2") + F.col("next_place")).alias("next"))
-    numbered = landed.where("kind IN ('element', 'part')").join(counts, ["file", "block"]).join(ranges, "file").select(
+    # One row for each block here too: no record is shuffled to meet its file, which may hold any share of them.
+    places = counts.join(ranges, "file")
+    numbered = landed.where("kind IN ('element', 'part')").join(F.broadcast(places), ["file", "block"]).select(
         "file", "block", "kind", "text", (F.col("earlier") + F.col("place") - F.col("first") + 1).alias("ordinal"),
         (F.col("next") - F.col("first")).alias("n")).where("ordinal >= 1 AND (n IS NULL OR ordinal <= n)")
     whole = numbered.where("kind = 'element'").select("file", "ordinal", "text")

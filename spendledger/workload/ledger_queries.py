@@ -240,13 +240,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as documents with one long array each, whose texts hold brackets and quotes, cut by all tasks that read a block."""
     path = scratch_path(spark, "array-json")
     record = F.to_json(F.struct("event_id", "event_type", "props", (F.round(F.col("value") * 100).cast("decimal(18,0)") / 100).cast("decimal(18,2)").alias("value")))
-    feeds.table(spark, sf_dir, "events").select(F.concat(record, F.lit(",")).alias("value")).repartition(3).mapInArrow(
+    records = feeds.table(spark, sf_dir, "events").select(F.concat(record, F.lit(",")).alias("value"))
+    _in_files(records, F.octet_length("value")).mapInArrow(
         _framed('{"about": {"made": [1, 2]}, "body": {"other": [{"x": "]"}], "entries": [', 'null], "end": "}"}}'), "value string").write.text(path)
     with _small_blocks(spark):
         rows = read_json_array(spark, path, SourceSpec("C1", reader="json", records_path="body.entries"))
     last = rows.groupBy("source_file").agg(F.max("row_no").alias("hi"), F.count(F.lit(1)).alias("n"), F.count_distinct("row_no").alias("d"),
-                                           F.max_by("payload", "row_no").alias("end"))
-    bad = last.agg(F.count_if((F.col("hi") != F.col("n")) | (F.col("d") != F.col("n")) | (F.col("end") != "null"))).scalar()
+                                           F.max_by(F.col("payload") == "null", "row_no").alias("ends"))
+    bad = last.agg(F.count_if((F.col("hi") != F.col("n")) | (F.col("d") != F.col("n")) | ~F.col("ends"))).scalar()
     doc = F.try_parse_json("payload")
     field = lambda name, kind: F.try_variant_get(doc, f"$.{name}", kind)
     events = rows.where("payload <> 'null'").select(

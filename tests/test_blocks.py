@@ -148,3 +148,15 @@ def test_csv_files_grow_in_number(spark, monkeypatch):
     """More text makes more files, not larger ones: each is written by one task."""
     apart, files = files_written(spark, monkeypatch, "csv_multiline_blocks", 50_000)
     assert apart is None and len(files) > 5 and max(f.stat().st_size for f in files) < 250_000
+
+
+@pytest.mark.parametrize("keys", [(), ("rows",)])
+def test_elements_meet_their_file_without_shuffle(spark, tmp_path, keys):
+    (tmp_path / "a.json").write_text('{"rows": [1, 2]}' if keys else "[1, 2]")
+    assert joins(spark, lambda: json_elements(spark, str(tmp_path / "a.json"), keys))[0] == "BroadcastHashJoin"
+
+
+@pytest.mark.skipif(not Path(SF).is_dir(), reason="driver tables are not here")
+def test_json_files_grow_in_number(spark, monkeypatch):
+    apart, files = files_written(spark, monkeypatch, "json_array_blocks", 10_000)
+    assert apart is None and len(files) > 5 and max(f.stat().st_size for f in files) < 20_000
