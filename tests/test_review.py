@@ -4,6 +4,7 @@ from datetime import datetime
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
@@ -11,6 +12,7 @@ import __spark_entry__ as contract  # noqa: E402
 from spendledger.operators.classify import RESULT_TYPE, classification_rows  # noqa: E402
 from spendledger.operators.history import SCHEME_KEY, apply_decisions, current, merge_decisions, reviewed  # noqa: E402
 from spendledger.plans.views import flatten_results, pivot_schemes  # noqa: E402
+from spendledger.session import stored  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,3 +60,55 @@ def test_view_reads_stored_facts(spark):
     """The lines are parsed once and stored; the view and its dimensions read them from there."""
     plan = contract.queries()["classified_view"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Relation [l_orderkey" not in plan
+
+
+@pytest.mark.skipif(not Path(SF).is_dir(), reason="driver tables are not here")
+@pytest.mark.parametrize("name", ["review_decisions", "review_pending", "decisions_log"])
+def test_only_pending_rows_meet_decisions(spark, name):
+    """The rows without a flag are filtered before the join, and its kind lets none through that was not shuffled for a reason."""
+    plan = contract.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    top = plan.splitlines()
+    join = next(i for i, line in enumerate(top) if " Join " in f" {line.strip(' :+-')} " and "scheme" in line)
+    assert any("Filter" in line and "needs_review" in line for line in top[join + 1:join + 4])
+
+
+def test_shuffle_files_of_a_stored_table_are_gone(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    store = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    seen = {str(b) for b in _blocks(store)}
+    rows = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")), "gone")
+    assert sorted(r["k"] for r in rows.collect()) == list(range(7)) and spark.conf.get(key, None) == before
+    assert not {b for b in map(str, _blocks(store)) if b.startswith("shuffle_")} - seen
+
+
+def _blocks(store):
+    found, n = store.getAllBlocks(), 0
+    return [found.apply(n) for n in range(found.size())]
+
+
+@pytest.mark.skipif(not Path(SF).is_dir(), reason="driver tables are not here")
+@pytest.mark.parametrize("name", ["review_queue_top", "review_queue", "layered_classify"])
+def test_rows_are_not_shuffled_to_meet_similar_texts(spark, name):
+    """What is similar is stored and sent to the rows; lines meet their supplier by broadcast."""
+    plan = contract.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [_open" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.skipif(not Path(SF).is_dir(), reason="driver tables are not here")
+def test_a_whole_sort_makes_its_rows_once(spark):
+    plan = contract.queries()["review_queue"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Sort [amount_usd") < plan.index("RebalancePartitions [") < plan.index("Generate")
+
+
+@pytest.mark.skipif(not Path(SF).is_dir(), reason="driver tables are not here")
+@pytest.mark.parametrize("name", ["headline_kpis", "country_overview"])
+def test_records_are_classified_once_and_the_register_apart(spark, name):
+    plan = contract.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 1
+
+
+@pytest.mark.skipif(not Path(SF).is_dir(), reason="driver tables are not here")
+def test_view_stores_what_it_reads(spark):
+    plan = contract.queries()["classified_view"](spark, SF)._jdf.queryExecution().analyzed().toString()
+    assert "description_raw" in plan and "date_raw" not in plan
