@@ -188,7 +188,12 @@ def search_totals(selected: DataFrame) -> DataFrame:
 
 
 def largest_records(selected: DataFrame, limit: int | None = None, row_key: Sequence[str] = RECORD_KEY) -> DataFrame:
-    """All records by US dollars, NULL last, or the first ``limit``; ties by record key so a cut is reproducible."""
+    """All records by US dollars, NULL last, or the first ``limit``; ties by record key so a cut is reproducible.
+
+    A whole sort draws a sample of what it sorts first: the records are shuffled once before, lest they be made twice.
+    """
+    if limit is None:
+        selected = selected.hint("rebalance", *row_key)
     ordered = selected.orderBy(F.col("amount_usd").desc_nulls_last(), *row_key)
     return ordered if limit is None else ordered.limit(limit)
 
