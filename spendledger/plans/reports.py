@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.text import contains_ignoring_case
 from ..operators.history import is_pending
 from ..operators.landing import POSITION, RECORD_KEY
+from ..session import stored
 from .views import sha_bucket, srhr_bucket
 
 
@@ -28,17 +29,19 @@ def severity_rank(column: str = "severity") -> Column:
     return F.when(F.col(column) == "ERROR", 1).when(F.col(column) == "WARN", 2).otherwise(3)
 
 
-def headline(view: DataFrame, all_classified: DataFrame, issues: DataFrame) -> DataFrame:
+def headline(view: DataFrame | None, all_classified: DataFrame, issues: DataFrame) -> DataFrame:
     """Headline figures as ``metric, value`` rows.
 
-    ``view``: countable records; ``all_classified``: every record with its schemes flat.
+    ``view``: countable records, None: those of ``all_classified``, counted in one pass with the rest;
+    ``all_classified``: every record with its schemes flat.
     """
-    totals = view.agg(
-        F.count(F.lit(1)).cast("double").alias("countable_records"),
-        money(F.sum("amount_usd")).alias("total_usd"),
-        F.count_distinct("country_code").cast("double").alias("countries"),
+    counted = F.col("is_countable") if view is None else F.lit(True)
+    totals = (
+        F.count_if(counted).cast("double").alias("countable_records"),
+        money(F.sum(F.when(counted, F.col("amount_usd")))).alias("total_usd"),
+        F.count_distinct(F.when(counted, F.col("country_code"))).cast("double").alias("countries"),
     )
-    graded = all_classified.agg(
+    graded = (
         F.count(F.lit(1)).cast("double").alias("classifications"),
         F.count_if(F.col("sha_outcome") == "CLASSIFIED").cast("double").alias("sha_classified"),
         F.count_if(F.col("sha_needs_review") & (F.col("sha_review_status") == "PENDING")).cast("double")
@@ -48,28 +51,41 @@ def headline(view: DataFrame, all_classified: DataFrame, issues: DataFrame) -> D
         F.count_if(F.col("severity") == "ERROR").cast("double").alias("dq_errors"),
         F.count_if(F.col("severity") == "WARN").cast("double").alias("dq_warnings"),
     )
+    found = stored(found, "found")  # by a job of its own: the register's shuffles are gone before the records are shuffled
 
     def long(wide: DataFrame) -> DataFrame:
         return wide.unpivot([], wide.columns, "metric", "value")
 
-    return long(totals).unionByName(long(graded)).unionByName(long(found))
+    if view is None:
+        return long(all_classified.agg(*totals, *graded)).unionByName(long(found))
+    return long(view.agg(*totals)).unionByName(long(all_classified.agg(*graded))).unionByName(long(found))
 
 
-def by_country(facts: DataFrame, countries: DataFrame, all_classified: DataFrame, issues: DataFrame) -> DataFrame:
-    """Countable totals per country, records awaiting review in either scheme, and errors."""
-    totals = facts.where("is_countable").groupBy("country_code").agg(
-        F.count(F.lit(1)).alias("records"),
-        money(F.sum("amount_original")).alias("total_local"),
-        money(F.sum("amount_usd")).alias("total_usd"),
+def by_country(facts: DataFrame | None, countries: DataFrame, all_classified: DataFrame, issues: DataFrame) -> DataFrame:
+    """Countable totals per country, records awaiting review in either scheme, and errors.
+
+    Without ``facts`` the classified records carry the amounts themselves, and one pass gives both.
+    """
+    counted = F.col("is_countable")
+    amounts = (
+        F.count_if(counted).alias("records"),
+        money(F.sum(F.when(counted, F.col("amount_original")))).alias("total_local"),
+        money(F.sum(F.when(counted, F.col("amount_usd")))).alias("total_usd"),
     )
     pending = (F.col("sha_needs_review") & (F.col("sha_review_status") == "PENDING")) | (
         F.col("srhr_needs_review") & (F.col("srhr_review_status") == "PENDING"))
-    waiting = all_classified.groupBy("country_code").agg(F.count_if(pending).alias("awaiting_review"))
+    waiting = F.count_if(pending).alias("awaiting_review")
+    if facts is None:
+        totals = all_classified.groupBy("country_code").agg(*amounts, waiting).where("records > 0")
+    else:
+        totals = facts.where(counted).groupBy("country_code").agg(*amounts).join(
+            all_classified.groupBy("country_code").agg(waiting), "country_code", "left")
     errors = issues.where("severity = 'ERROR'").groupBy("country_code").agg(F.count(F.lit(1)).alias("dq_errors"))
+    errors = stored(errors, "errors")  # by a job of its own: the register's shuffles are gone before the records are shuffled
     return (
         totals.join(countries.select("country_code", "country_name", F.col("primary_currency").alias("currency")),
                     "country_code")
-        .join(waiting, "country_code", "left").join(errors, "country_code", "left")
+        .join(errors, "country_code", "left")
         .select("country_code", "country_name", "currency", "records", "total_local", "total_usd",
                 F.coalesce("awaiting_review", F.lit(0)).alias("awaiting_review"),
                 F.coalesce("dq_errors", F.lit(0)).alias("dq_errors"))

@@ -49,9 +49,8 @@ def full_register(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The rules parse each line once; collisions read ids and positions alone, so nothing is stored in between.
     """
-    rows = feeds.ledger(spark, sf_dir)
-    return register(row_issues(guard_text(rows, feeds.RULES), feeds.SPECS, _AT),
-                    collision_issues(rows, feeds.SPECS, _AT))
+    rows, ids = feeds.ledger(spark, sf_dir), feeds.ledger(spark, sf_dir, dealt=False)
+    return register(row_issues(guard_text(rows, feeds.RULES), feeds.SPECS, _AT), collision_issues(ids, feeds.SPECS, _AT))
 
 
 # ------------------------------------------------------------------ landing
